@@ -1,3 +1,4 @@
 """Imports every plan module so that their queries register themselves."""
 
 from . import register  # noqa: F401
+from . import quality  # noqa: F401

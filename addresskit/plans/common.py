@@ -111,3 +111,85 @@ addresses AS (
   FROM addr_join
 )
 """
+
+
+def staged(spark: SparkSession, sf: str) -> DataFrame:
+    """Address records before the bounds and locality filters (what the quality rules see).
+
+    Detail rows with a geocode, locality and street attached by left joins, and
+    the load-variant formatted address. Rows the load would drop stay here so
+    the rules can report why.
+    """
+    from pyspark.sql import functions as F
+
+    from ..functions import address as A
+
+    d = derived(spark, sf, "address_detail").filter(
+        F.col("address_detail_pid").isNotNull() & F.col("locality_pid").isNotNull()
+    )
+    g = geocodes(spark, sf)
+    loc = localities(spark, sf).select(
+        "locality_pid", "locality_name", "state_code", F.col("postcode").alias("locality_postcode")
+    )
+    st = streets(spark, sf).select("street_locality_pid", "street_name", "street_type")
+    j = d.join(g, "address_detail_pid").join(loc, "locality_pid", "left").join(st, "street_locality_pid", "left")
+    c = F.col
+    return j.select(
+        "address_detail_pid", "locality_pid", "street_locality_pid", "building_name", "flat_number",
+        "number_first", "postcode", "street_name", "street_type", "locality_name", "state_code",
+        "latitude", "longitude",
+        A.formatted_address(c("flat_type_code"), c("flat_number"), c("building_name"), c("number_first"),
+                            c("street_name"), c("street_type"), c("locality_name"), c("state_code"),
+                            F.coalesce(c("postcode"), c("locality_postcode"))).alias("formatted_address"),
+    )
+
+
+def validated(spark: SparkSession, sf: str) -> DataFrame:
+    """Loaded addresses with ``validation_status`` set by the rule roll-up (Q7)."""
+    from pyspark.sql import functions as F
+
+    from ..operators import quality as Q
+
+    a = Q.with_issues(addresses(spark, sf))
+    return a.withColumn("validation_status", F.col("rule_status")).drop("issues", "rule_status")
+
+
+O_STAGED = O_REGISTER + """,
+staged AS (
+  SELECT d.address_detail_pid, d.locality_pid, d.street_locality_pid, d.building_name, d.flat_number,
+         d.number_first, d.postcode, s.street_name, s.street_type, l.locality_name, l.state_code,
+         g.latitude, g.longitude,
+         concat_ws(', ',
+           CASE WHEN d.flat_type_code IS NOT NULL AND d.flat_number IS NOT NULL THEN d.flat_type_code || ' ' || d.flat_number END,
+           d.building_name, d.number_first,
+           CASE WHEN s.street_name IS NOT NULL THEN concat_ws(' ', s.street_name, s.street_type) END,
+           CASE WHEN l.locality_name IS NOT NULL
+                THEN concat_ws(' ', l.locality_name, l.state_code, coalesce(d.postcode, l.postcode)) END)
+           AS formatted_address
+  FROM address_detail d
+  JOIN geocodes g ON g.address_detail_pid = d.address_detail_pid
+  LEFT JOIN localities l ON l.locality_pid = d.locality_pid
+  LEFT JOIN streets s ON s.street_locality_pid = d.street_locality_pid
+  WHERE d.locality_pid IS NOT NULL
+),
+addr_issues AS (
+  SELECT address_detail_pid, 'ERROR' AS severity FROM addresses WHERE locality_name IS NULL
+  UNION ALL SELECT address_detail_pid, 'ERROR' FROM addresses WHERE street_name IS NULL AND building_name IS NULL
+  UNION ALL SELECT address_detail_pid, 'ERROR' FROM addresses
+    WHERE NOT (latitude BETWEEN -45 AND -10 AND longitude BETWEEN 110 AND 155)
+  UNION ALL SELECT address_detail_pid, 'WARNING' FROM addresses WHERE postcode IS NULL
+  UNION ALL SELECT address_detail_pid, 'ERROR' FROM addresses
+    WHERE postcode IS NOT NULL AND (TRY_CAST(postcode AS INTEGER) IS NULL
+          OR TRY_CAST(postcode AS INTEGER) < 100 OR TRY_CAST(postcode AS INTEGER) > 9999)
+  UNION ALL SELECT address_detail_pid, 'WARNING' FROM addresses WHERE length(formatted_address) < 10
+  UNION ALL SELECT address_detail_pid, 'WARNING' FROM addresses WHERE length(formatted_address) > 500
+),
+validated AS (
+  SELECT a.* REPLACE (
+           CASE WHEN EXISTS (SELECT 1 FROM addr_issues i WHERE i.address_detail_pid = a.address_detail_pid
+                             AND i.severity = 'ERROR') THEN 'INVALID'
+                WHEN EXISTS (SELECT 1 FROM addr_issues i WHERE i.address_detail_pid = a.address_detail_pid)
+                THEN 'PARTIAL' ELSE 'VALID' END AS validation_status)
+  FROM addresses a
+)
+"""

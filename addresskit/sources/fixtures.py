@@ -130,6 +130,54 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
         """,
         ("orders", "part"),
     ),
+    # parser-variant records (39-column layout: prefixes, suffixes, state abbreviation, lifecycle text)
+    "parser_records": (
+        f"""
+        SELECT 'GA' || CAST(o.o_orderkey AS STRING) AS address_detail_pid,
+               CASE WHEN o.o_orderkey % 6 = 0 THEN 'UNIT' END AS flat_type,
+               CASE WHEN o.o_orderkey % 12 = 0 THEN 'F' END AS flat_number_prefix,
+               CASE WHEN o.o_orderkey % 6 = 0 THEN CAST(1 + o.o_orderkey % 30 AS STRING) END AS flat_number,
+               CASE WHEN o.o_orderkey % 18 = 0 THEN 'B' END AS flat_number_suffix,
+               CASE WHEN o.o_orderkey % 11 = 0 THEN 'BLDG ' || CAST(o.o_custkey % 100 AS STRING) END AS building_name,
+               CASE WHEN o.o_orderkey % 15 = 0 THEN 'LOT' END AS lot_number_prefix,
+               CASE WHEN o.o_orderkey % 5 = 0 THEN CAST(o.o_orderkey % 900 AS STRING) END AS lot_number,
+               CAST(NULL AS STRING) AS lot_number_suffix,
+               CASE WHEN o.o_orderkey % 9 = 0 THEN 'RMB' END AS number_first_prefix,
+               CASE WHEN o.o_orderkey % 7 = 0 THEN NULL ELSE CAST(1 + o.o_custkey % 200 AS STRING) END AS number_first,
+               CASE WHEN o.o_orderkey % 8 = 0 THEN 'A' END AS number_first_suffix,
+               CASE WHEN o.o_orderkey % 19 = 0 THEN NULL ELSE upper(p.p_name) END AS street_name,
+               CASE p.p_size % 5 WHEN 0 THEN 'ST' WHEN 1 THEN 'RD' WHEN 2 THEN 'AVE' WHEN 3 THEN 'LN' END
+                   AS street_type_code,
+               CASE WHEN o.o_orderkey % 23 = 0 THEN 'N' END AS street_suffix_code,
+               CASE WHEN c.c_custkey % 89 = 0 THEN NULL
+                    ELSE upper(c.c_mktsegment || ' ' || CAST(c.c_custkey % 40 AS STRING))
+                         || CASE c.c_custkey % 10 WHEN 0 THEN ' CITY' WHEN 1 THEN ' TOWN' ELSE '' END END
+                   AS locality_name,
+               CASE c.c_nationkey % 10 WHEN 0 THEN 'nsw' WHEN 1 THEN 'VIC' WHEN 2 THEN 'QLD' WHEN 3 THEN 'SA'
+                    WHEN 4 THEN 'WA' WHEN 5 THEN 'Tas' WHEN 6 THEN 'NT' WHEN 7 THEN 'ACT' WHEN 8 THEN 'XX' END
+                   AS state_abbreviation,
+               CASE WHEN o.o_orderkey % 10 = 0 THEN NULL
+                    ELSE CAST(CASE c.c_nationkey % 10 WHEN 1 THEN 3000 WHEN 2 THEN 4000 WHEN 3 THEN 5000
+                                   WHEN 4 THEN 6000 WHEN 5 THEN 7000 WHEN 6 THEN 800 WHEN 7 THEN 2600
+                                   ELSE 2000 END + o.o_custkey % 700 AS STRING) END AS postcode,
+               CASE WHEN o.o_orderkey % 97 = 0 THEN CAST(-60 AS DOUBLE)
+                    ELSE {_city_case('o.o_orderkey', 3)}
+                         + CAST((o.o_orderkey * 7919) % 1000 - 500 AS DOUBLE) / 10000 END AS latitude,
+               {_city_case('o.o_orderkey', 4)}
+                   + CAST((o.o_orderkey * 6007) % 1009 - 504 AS DOUBLE) / 10000 AS longitude,
+               CASE o.o_orderkey % 5 WHEN 0 THEN 'PROPERTY CENTROID' WHEN 1 THEN 'BUILDING CENTROID'
+                    WHEN 2 THEN 'STREET LOCALITY' WHEN 3 THEN 'LOCALITY' END AS geocode_type,
+               CASE o.o_orderkey % 5 WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '3' WHEN 3 THEN '4' END
+                   AS reliability,
+               CASE o.o_orderstatus WHEN 'P' THEN 'Retired' WHEN 'O' THEN 'proposed' ELSE 'Current' END
+                   AS address_status,
+               CASE WHEN o.o_orderkey % 4 = 0 THEN 'LP' || CAST(o.o_orderkey AS STRING) END AS legal_parcel_id
+        FROM {{orders}} o
+        JOIN {{customer}} c ON c.c_custkey = o.o_custkey
+        LEFT JOIN {{part}} p ON p.p_partkey = o.o_custkey % (SELECT count(*) FROM {{part}})
+        """,
+        ("orders", "customer", "part"),
+    ),
     # one proximity request per customer, near one of the five cities
     "requests_point": (
         f"""

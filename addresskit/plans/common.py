@@ -40,7 +40,7 @@ _STATE_CASE = (
     "ELSE 'NSW' END"
 )
 
-O_REGISTER = cte("loc_raw", "streets_raw", "geocodes_raw", "address_detail") + f""",
+O_REGISTER = cte("loc_raw", "streets_raw", "geocodes_raw", "address_detail", "loc_update", "streets_update") + f""",
 localities AS (
   SELECT locality_pid, locality_name, coalesce(locality_class_code, 'S') AS locality_class,
          {_STATE_CASE} AS state_code, primary_postcode AS postcode,

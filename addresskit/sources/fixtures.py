@@ -178,6 +178,32 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
         """,
         ("orders", "customer", "part"),
     ),
+    # a second locality delivery: changed rows for a quarter of the keys plus new keys
+    "loc_update": (
+        """
+        SELECT CASE WHEN c_custkey % 50 = 0 THEN 'LN' ELSE 'L' END || CAST(c_custkey AS STRING) AS locality_pid,
+               upper(c_mktsegment || ' ' || CAST(c_custkey % 40 AS STRING)) || ' NORTH' AS locality_name,
+               'C' AS locality_class_code,
+               CAST(1 + c_custkey % 9 AS STRING) AS state_pid,
+               CAST(3000 + c_custkey % 900 AS STRING) AS primary_postcode
+        FROM {customer}
+        WHERE c_custkey % 4 = 0 OR c_custkey % 50 = 0
+        """,
+        ("customer",),
+    ),
+    # a second street delivery
+    "streets_update": (
+        """
+        SELECT CASE WHEN p_partkey % 45 = 0 THEN 'SN' ELSE 'S' END || CAST(p_partkey AS STRING) AS street_locality_pid,
+               upper(p_name) || ' EAST' AS street_name,
+               'CT' AS street_type_code,
+               'E' AS street_suffix_code,
+               'L' || CAST((p_partkey + 1) % (SELECT count(*) FROM {customer}) AS STRING) AS locality_pid
+        FROM {part}
+        WHERE p_partkey % 3 = 0 OR p_partkey % 45 = 0
+        """,
+        ("part", "customer"),
+    ),
     # one proximity request per customer, near one of the five cities
     "requests_point": (
         f"""

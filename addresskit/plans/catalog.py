@@ -2,3 +2,4 @@
 
 from . import register  # noqa: F401
 from . import quality  # noqa: F401
+from . import spatial  # noqa: F401

@@ -40,7 +40,8 @@ _STATE_CASE = (
     "ELSE 'NSW' END"
 )
 
-O_REGISTER = cte("loc_raw", "streets_raw", "geocodes_raw", "address_detail", "loc_update", "streets_update") + f""",
+_BASE = ("loc_raw", "streets_raw", "geocodes_raw", "address_detail", "loc_update", "streets_update")
+REGISTER_TAIL = f""",
 localities AS (
   SELECT locality_pid, locality_name, coalesce(locality_class_code, 'S') AS locality_class,
          {_STATE_CASE} AS state_code, primary_postcode AS postcode,
@@ -113,6 +114,14 @@ addresses AS (
 """
 
 
+def register_sql(*extra: str) -> str:
+    """Oracle prefix: fixture CTEs (plus ``extra`` fixtures) and the register tables."""
+    return cte(*_BASE, *extra) + REGISTER_TAIL
+
+
+O_REGISTER = register_sql()
+
+
 def staged(spark: SparkSession, sf: str) -> DataFrame:
     """Address records before the bounds and locality filters (what the quality rules see).
 

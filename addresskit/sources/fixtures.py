@@ -222,6 +222,8 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
         WITH base AS (
           SELECT c.c_custkey AS request_id,
                  CAST(1 + c.c_custkey % 200 AS STRING) AS num,
+                 s.street_name AS street_name, s.street_type_code AS street_type,
+                 upper(c.c_mktsegment || ' ' || CAST(c.c_custkey % 40 AS STRING)) AS locality,
                  concat_ws(' ', s.street_name, s.street_type_code,
                            upper(c.c_mktsegment || ' ' || CAST(c.c_custkey % 40 AS STRING)),
                            CASE CAST(c.c_nationkey % 11 AS STRING)
@@ -239,7 +241,11 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
                     WHEN 0 THEN num || ' ' || rest
                     WHEN 1 THEN rest
                     WHEN 2 THEN '  ' || num || '  ' || rest || '.'
-                    ELSE 'xyzzy ' || CAST(request_id AS STRING) || ' plugh nowhere' END AS address_text
+                    ELSE CASE WHEN request_id % 8 = 3 THEN 'xyzzy ' || CAST(request_id AS STRING) || ' plugh nowhere'
+                              ELSE num || ' ' || coalesce(split_part(street_name, ' ', 1), 'MAIN') || ' ' || coalesce(street_type, 'ST')
+                                   || ' ' || locality END END AS address_text,
+               CASE WHEN request_id % 7 = 0 THEN 'vic' END AS state_filter,
+               CAST(NULL AS STRING) AS postcode_filter
         FROM base
         """,
         ("customer", "streets_raw", "part"),

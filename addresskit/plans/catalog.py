@@ -4,3 +4,4 @@ from . import register  # noqa: F401
 from . import quality  # noqa: F401
 from . import spatial  # noqa: F401
 from . import text  # noqa: F401
+from . import logs  # noqa: F401

@@ -287,11 +287,67 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
                '10.0.' || CAST(CAST(floor(CAST(user_id AS DOUBLE) / 256) AS BIGINT) AS STRING) || '.'
                    || CAST(user_id % 256 AS STRING) AS ip,
                event_id % 3 = 0 AS cache_hit,
+               CASE WHEN event_id % 3 = 0 THEN 'l1' WHEN event_id % 5 = 0 THEN 'l2' ELSE 'miss' END AS cache_layer,
+               CAST(floor(value * 5000) AS BIGINT) AS response_bytes,
+               CASE WHEN event_id % 97 = 0 THEN 'q=1 UNION SELECT password FROM users'
+                    WHEN event_id % 89 = 0 THEN 'q=<script>alert(1)</script>'
+                    WHEN event_id % 83 = 0 THEN 'next=javascript:alert(1)'
+                    WHEN event_id % 79 = 0 THEN 'x=1 onload = steal()'
+                    ELSE 'q=' || props END AS query_text,
                event_type
         FROM {events}
         """,
         ("events",),
     ),
+    # per-minute cumulative request counter, reset at the start of each day
+    "counters": (
+        """
+        WITH m AS (
+          SELECT date_trunc('minute', ts) AS minute, CAST(ts AS DATE) AS day, count(*) AS n
+          FROM {events} GROUP BY 1, 2
+        )
+        SELECT 'http_requests_total' AS metric, minute,
+               sum(n) OVER (PARTITION BY day ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+        FROM m
+        """,
+        ("events",),
+    ),
+    # application / error log text: one JSON line per request, stack lines after errors
+    "log_lines": (
+        """
+        WITH r AS (
+          SELECT event_id, ts, event_type, user_id, value, {ts_ms_text} AS ts_text,
+                 CASE WHEN event_type = 'error' THEN 'error' WHEN floor(value * 10) >= 1000 THEN 'warn' ELSE 'info' END
+                   AS level,
+                 CASE WHEN event_type = 'error' THEN 'error.log' ELSE 'application.log' END AS file
+          FROM {events}
+        )
+        SELECT file, event_id * 2 AS line_no,
+               ts_text || ' ' || '{{"timestamp":"' || ts_text || '","level":"' || level
+               || '","message":"request ' || event_type || '","requestId":"req-' || CAST(event_id AS STRING)
+               || '","ip":"10.0.' || CAST(CAST(floor(CAST(user_id AS DOUBLE) / 256) AS BIGINT) AS STRING) || '.'
+               || CAST(user_id % 256 AS STRING) || '","duration":"' || CAST(CAST(floor(value * 10) AS BIGINT) AS STRING) || '"'
+               || CASE WHEN floor(value * 10) >= 1000 THEN ',"performanceLog":true' ELSE '' END
+               || CASE WHEN event_id % 89 = 0 THEN ',"securityLog":true' ELSE '' END
+               || CASE WHEN floor(value * 10) >= 3000 THEN ',"slowQueryLog":true' ELSE '' END
+               || CASE WHEN event_type = 'click' THEN ',"businessMetric":true' ELSE '' END
+               || CASE WHEN event_id % 4 = 1 THEN ',"cacheMissLog":true' ELSE '' END
+               || CASE WHEN event_type = 'error' THEN ',"errorName":"'
+                       || CASE WHEN event_id % 2 = 0 THEN 'InternalError' ELSE 'NotFoundError' END || '"' ELSE '' END
+               || '}}' AS line
+        FROM r
+        UNION ALL
+        SELECT file, event_id * 2 + 1, '    at handler (service.ts:' || CAST(event_id % 500 AS STRING) || ')'
+        FROM r WHERE event_type = 'error'
+        """,
+        ("events",),
+    ),
+}
+
+# Expressions that differ between the two SQL dialects.
+DIALECT = {
+    "spark": {"ts_ms_text": "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS')"},
+    "duckdb": {"ts_ms_text": "strftime(ts, '%Y-%m-%d %H:%M:%S.%g')"},
 }
 
 
@@ -327,7 +383,7 @@ def cte(*names: str) -> str:
     for n in _order():
         if n in needed:
             sql, deps = DERIVED[n]
-            parts.append(f"{n} AS ({sql.format(**{d: d for d in deps})})")
+            parts.append(f"{n} AS ({sql.format(**{d: d for d in deps}, **DIALECT['duckdb'])})")
     return "WITH " + ",\n".join(parts) + "\n"
 
 
@@ -341,7 +397,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return raw(spark, sf_dir, name)
     sql, deps = DERIVED[name]
     frames = {d: derived(spark, sf_dir, d) for d in deps}
-    return spark.sql(sql, **frames)
+    return spark.sql(sql.replace("{ts_ms_text}", DIALECT["spark"]["ts_ms_text"]), **frames)
 
 
 @functools.lru_cache(maxsize=None)

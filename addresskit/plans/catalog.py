@@ -5,3 +5,4 @@ from . import quality  # noqa: F401
 from . import spatial  # noqa: F401
 from . import text  # noqa: F401
 from . import logs  # noqa: F401
+from . import alerts  # noqa: F401

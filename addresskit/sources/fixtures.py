@@ -307,7 +307,8 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
           FROM {events} GROUP BY 1, 2
         )
         SELECT 'http_requests_total' AS metric, minute,
-               sum(n) OVER (PARTITION BY day ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value
+               CAST(sum(n) OVER (PARTITION BY day ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                    AS BIGINT) AS value
         FROM m
         """,
         ("events",),

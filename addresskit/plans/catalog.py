@@ -6,3 +6,5 @@ from . import spatial  # noqa: F401
 from . import text  # noqa: F401
 from . import logs  # noqa: F401
 from . import alerts  # noqa: F401
+from . import health  # noqa: F401
+from . import requests  # noqa: F401

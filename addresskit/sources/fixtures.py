@@ -216,6 +216,41 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
         """,
         ("customer",),
     ),
+    # mixed spatial batch operations (some invalid), 50 operations per batch
+    "api_requests": (
+        f"""
+        SELECT c_custkey AS request_id,
+               CAST(floor(CAST(c_custkey AS DOUBLE) / 50) AS BIGINT) AS batch_id,
+               CASE c_custkey % 7 WHEN 3 THEN 'boundary' WHEN 4 THEN 'boundary' WHEN 5 THEN 'statistical'
+                    WHEN 6 THEN CASE WHEN c_custkey % 14 = 6 THEN 'isochrone' ELSE 'proximity' END
+                    ELSE 'proximity' END AS op_type,
+               CASE WHEN c_custkey % 23 = 0 THEN NULL
+                    WHEN c_custkey % 29 = 0 THEN CAST(-60 AS DOUBLE)
+                    WHEN c_custkey % 31 = 0 THEN CAST('NaN' AS DOUBLE)
+                    ELSE {_city_case('c_custkey', 3)} + CAST((c_custkey * 4019) % 1000 - 500 AS DOUBLE) / 10000 END
+                   AS latitude,
+               CASE WHEN c_custkey % 23 = 0 THEN NULL
+                    ELSE {_city_case('c_custkey', 4)} + CAST((c_custkey * 3001) % 1009 - 504 AS DOUBLE) / 10000 END
+                   AS longitude,
+               CASE WHEN c_custkey % 46 = 0 THEN 'xy' END AS address,
+               CAST(CASE WHEN c_custkey % 37 = 0 THEN 0 WHEN c_custkey % 41 = 0 THEN 9000
+                         WHEN c_custkey % 3 = 0 THEN 500 WHEN c_custkey % 3 = 1 THEN 1000 ELSE 2000 END AS BIGINT)
+                   AS radius,
+               CAST(CASE WHEN c_custkey % 43 = 0 THEN 100 ELSE 10 END AS BIGINT) AS max_results
+        FROM {{customer}}
+        """,
+        ("customer",),
+    ),
+    # user-supplied CIDR ranges for IP enrichment: one /24 per nation plus a covering /16
+    "ip_ranges": (
+        """
+        SELECT '10.0.' || CAST(n_nationkey AS STRING) || '.0/24' AS cidr, n_name AS country
+        FROM {nation}
+        UNION ALL
+        SELECT '10.0.0.0/16', 'PRIVATE'
+        """,
+        ("nation",),
+    ),
     # one free-text address request per customer
     "requests_text": (
         """

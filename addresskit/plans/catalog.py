@@ -8,3 +8,4 @@ from . import logs  # noqa: F401
 from . import alerts  # noqa: F401
 from . import health  # noqa: F401
 from . import requests  # noqa: F401
+from . import sources  # noqa: F401

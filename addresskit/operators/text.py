@@ -46,8 +46,7 @@ def normalise_address(c: Column) -> Column:
 
 def words(c: Column) -> Column:
     """Lower-cased words with every non-word character treated as a separator."""
-    w = F.split(F.regexp_replace(F.lower(c), r"[^\w\s]", " "), r"\s+")
-    return F.filter(w, lambda x: F.length(x) > 0)
+    return F.array_remove(F.split(F.regexp_replace(F.lower(c), r"[^\w\s]", " "), r"\s+"), "")
 
 
 def query_terms(c: Column) -> Column:
@@ -89,18 +88,18 @@ def positional_split(c: Column) -> Column:
     )
 
 
-def weighted_doc(*sources: tuple[Column, float]) -> Column:
-    """array<struct<token, weight>> of distinct tokens with their highest weight."""
-    def tag(col: Column, w: float) -> Column:
-        return F.transform(words(F.coalesce(col, F.lit(""))),
-                           lambda t: F.struct(t.alias("token"), F.lit(w).alias("weight")))
+def weighted_doc(word_cols: list[tuple[str, float]]) -> Column:
+    """map<token, weight> of the distinct tokens with their highest weight.
 
-    tagged = F.flatten(F.array(*[tag(col, w) for col, w in sources]))
-    toks = F.array_distinct(F.transform(tagged, lambda e: e["token"]))
-    return F.transform(toks, lambda t: F.struct(
-        t.alias("token"),
-        F.array_max(F.transform(F.filter(tagged, lambda e: e["token"] == t), lambda e: e["weight"])).alias("weight"),
-    ))
+    ``word_cols`` name array columns already holding each source's words, so
+    the per-token lambda only does ``array_contains`` on existing arrays.
+    """
+    toks = F.array_distinct(F.concat(*[F.col(c) for c, _ in word_cols]))
+
+    def weight(t):
+        return F.greatest(*[F.when(F.array_contains(F.col(c), t), F.lit(w)) for c, w in word_cols])
+
+    return F.map_from_arrays(toks, F.transform(toks, weight))
 
 
 def with_docs(addresses: DataFrame, localities: DataFrame, streets: DataFrame) -> DataFrame:
@@ -108,13 +107,12 @@ def with_docs(addresses: DataFrame, localities: DataFrame, streets: DataFrame) -
     loc = localities.select("locality_pid", F.col("locality_name").alias("_doc_locality"))
     st = streets.select("street_locality_pid", F.col("street_name").alias("_doc_street"))
     a = addresses.join(loc, "locality_pid", "left").join(st, "street_locality_pid", "left")
-    doc = weighted_doc(
-        (F.col("formatted_address"), WEIGHT_A),
-        (F.col("building_name"), WEIGHT_B),
-        (F.col("_doc_locality"), WEIGHT_C),
-        (F.col("_doc_street"), WEIGHT_C),
-    )
-    return a.withColumn("doc", doc).drop("_doc_locality", "_doc_street")
+    sources = [("formatted_address", WEIGHT_A), ("building_name", WEIGHT_B), ("_doc_locality", WEIGHT_C),
+               ("_doc_street", WEIGHT_C)]
+    for i, (c, _) in enumerate(sources):
+        a = a.withColumn(f"_w{i}", words(F.coalesce(F.col(c), F.lit(""))))
+    doc = weighted_doc([(f"_w{i}", w) for i, (_, w) in enumerate(sources)])
+    return a.withColumn("doc", doc).drop("_doc_locality", "_doc_street", *[f"_w{i}" for i in range(len(sources))])
 
 
 def edge_ngrams(token: Column, min_len: int = 3) -> Column:
@@ -125,36 +123,47 @@ def edge_ngrams(token: Column, min_len: int = 3) -> Column:
 
 def postings(docs: DataFrame, key: str = "gnaf_pid", prefix: bool = False) -> DataFrame:
     """Inverted index rows (index_key, key); edge n-grams of each token when ``prefix``."""
-    t = docs.select(key, F.explode(F.transform("doc", lambda e: e["token"])).alias("token"))
+    t = docs.select(key, F.explode(F.map_keys("doc")).alias("token"))
     if prefix:
         t = t.select(key, F.explode(edge_ngrams(F.col("token"))).alias("token")).distinct()
     return t.withColumnRenamed("token", "index_key")
 
 
+def document_frequency(index: DataFrame) -> DataFrame:
+    """Number of documents per index key (a hash aggregate with a map-side partial)."""
+    return index.groupBy("index_key").agg(F.count(F.lit(1)).alias("df"))
+
+
 def _match_weights(doc: Column, terms: Column, prefix: bool) -> Column:
     if prefix:
-        return F.transform(terms, lambda t: F.array_max(F.transform(
-            F.filter(doc, lambda e: F.startswith(e["token"], t)), lambda e: e["weight"])))
-    return F.transform(terms, lambda t: F.element_at(F.map_from_entries(doc), t))
+        return F.transform(terms, lambda t: F.array_max(F.map_values(F.map_filter(doc, lambda k, v: F.startswith(k, t)))))
+    return F.transform(terms, lambda t: F.element_at(doc, t))
 
 
 def match_requests(requests: DataFrame, docs: DataFrame, terms_col: str = "terms", key: str = "gnaf_pid",
-                   prefix: bool = False, index: DataFrame | None = None) -> DataFrame:
+                   prefix: bool = False, index: DataFrame | None = None, doc_freq: DataFrame | None = None
+                   ) -> DataFrame:
     """(request, address) pairs where every term matches, with ``relevance``.
 
     ``requests`` has request_id and an array column of terms; ``docs`` has
     ``key`` and ``doc``. Requests without terms match nothing.
     """
     idx = index if index is not None else postings(docs, key, prefix)
-    df = idx.groupBy("index_key").agg(F.count(F.lit(1)).alias("df"))
+    df = doc_freq if doc_freq is not None else document_frequency(idx)
     rt = requests.select("request_id", F.explode(F.array_distinct(F.col(terms_col))).alias("term"))
     with_df = rt.join(df, rt.term == df.index_key, "left").select(
         "request_id", "term", F.coalesce("df", F.lit(0)).alias("df"))
-    # rarest term per request; a term absent from the index rules the request out
-    rarest = with_df.groupBy("request_id").agg(
-        F.min_by("term", F.struct("df", "term")).alias("term"), F.min("df").alias("min_df"))
-    rarest = rarest.filter(F.col("min_df") > 0)
-    cand = rarest.join(idx, rarest.term == idx.index_key).select("request_id", key)
+    # the two rarest terms per request; a term absent from the index rules the request out
+    ranked = with_df.groupBy("request_id").agg(
+        F.array_sort(F.collect_list(F.struct("df", "term"))).alias("_t"), F.min("df").alias("min_df"))
+    ranked = ranked.filter(F.col("min_df") > 0).select(
+        "request_id", F.col("_t")[0]["term"].alias("term"),
+        F.when(F.size("_t") > 1, F.col("_t")[1]["term"]).alias("term2"))
+    cand = ranked.join(idx, ranked.term == idx.index_key).select("request_id", key, "term2")
+    # second rarest term checked on the index itself: a narrow equi-join on (key, token)
+    hit = idx.select(F.col(key), F.col("index_key").alias("term2"), F.lit(True).alias("_hit"))
+    cand = cand.join(hit, [key, "term2"], "left").filter(F.col("term2").isNull() | F.col("_hit"))
+    cand = cand.select("request_id", key)
     terms = requests.select("request_id", F.array_distinct(F.col(terms_col)).alias("_terms"))
     j = cand.join(terms, "request_id").join(docs, key)
     w = _match_weights(F.col("doc"), F.col("_terms"), prefix)

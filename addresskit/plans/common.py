@@ -10,18 +10,64 @@ from ..sources.fixtures import cte, derived
 AS_OF_DATE = "2024-01-01"
 
 
+_FRAMES: dict[tuple, DataFrame] = {}
+
+
+def memo(fn=None, *, persist: bool = False):
+    """Reuse the lazy DataFrame built for (session, input folder).
+
+    Plans are built once per session, so repeated sub-plans of a query are the
+    same objects. ``persist`` marks the loaded register tables MEMORY_AND_DISK:
+    they are computed once and served to every later query, like a gold table;
+    a lost block is recomputed from lineage.
+    """
+    if fn is None:
+        return lambda f: memo(f, persist=persist)
+
+    def wrapper(spark: SparkSession, sf: str) -> DataFrame:
+        key = (fn.__name__, spark.sparkContext.applicationId, id(spark), sf)
+        df = _FRAMES.get(key)
+        if df is None:
+            df = fn(spark, sf)
+            if persist:
+                from pyspark import StorageLevel
+
+                df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            _FRAMES[key] = df
+        return df
+
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise an intermediate result in the shared checkpoint folder and cut its lineage.
+
+    Used where a multi-stage cascade refers to one stage's output several times.
+    """
+    from ..session import checkpoint_dir
+
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+@memo(persist=True)
 def localities(spark: SparkSession, sf: str) -> DataFrame:
     return R.load_localities(derived(spark, sf, "loc_raw"))
 
 
+@memo(persist=True)
 def streets(spark: SparkSession, sf: str) -> DataFrame:
     return R.load_streets(derived(spark, sf, "streets_raw"))
 
 
+@memo(persist=True)
 def geocodes(spark: SparkSession, sf: str) -> DataFrame:
     return R.load_geocodes(derived(spark, sf, "geocodes_raw"))
 
 
+@memo(persist=True)
 def addresses(spark: SparkSession, sf: str) -> DataFrame:
     return R.load_addresses(
         derived(spark, sf, "address_detail"),
@@ -122,6 +168,7 @@ def register_sql(*extra: str) -> str:
 O_REGISTER = register_sql()
 
 
+@memo
 def staged(spark: SparkSession, sf: str) -> DataFrame:
     """Address records before the bounds and locality filters (what the quality rules see).
 
@@ -153,6 +200,7 @@ def staged(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@memo
 def validated(spark: SparkSession, sf: str) -> DataFrame:
     """Loaded addresses with ``validation_status`` set by the rule roll-up (Q7)."""
     from pyspark.sql import functions as F

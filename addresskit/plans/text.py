@@ -23,12 +23,14 @@ def requests(spark, sf):
     return r.withColumn("normalised", T.normalise_address(F.col("address_text")))
 
 
+@C.memo(persist=True)
 def docs(spark, sf):
     """Addresses with their search documents (kept lean: key, doc and ranking columns)."""
     d = T.with_docs(C.addresses(spark, sf), C.localities(spark, sf), C.streets(spark, sf))
     return d.select("gnaf_pid", "doc", "confidence_score", "address_status")
 
 
+@C.memo
 def search_base(spark, sf):
     """Address -> street (left) -> locality through the street (left); display text P16."""
     a = C.addresses(spark, sf).select(
@@ -86,17 +88,44 @@ def address_split(spark, sf):
 def search_postings(spark, sf):
     """Weighted postings (token, highest weight) of every address."""
     d = docs(spark, sf)
-    return d.select("gnaf_pid", F.explode("doc").alias("p")).select("gnaf_pid", "p.token", "p.weight")
+    return d.select("gnaf_pid", F.explode("doc").alias("token", "weight"))
 
 
 # ------------------------------------------------------------ search, J15-J18
-def _matches(spark, sf, terms, text_col="address_text", prefix=False, doc_filter=None):
+@C.memo(persist=True)
+def index(spark, sf):
+    """Inverted index (token -> address): the GIN-index counterpart, built once per session."""
+    return T.postings(docs(spark, sf).select("gnaf_pid", "doc"))
+
+
+@C.memo(persist=True)
+def doc_freq(spark, sf):
+    return T.document_frequency(index(spark, sf))
+
+
+@C.memo(persist=True)
+def prefix_index(spark, sf):
+    """Edge n-gram index (prefix -> CURRENT address with confidence >= 70) for the geocode search."""
+    d = docs(spark, sf).filter((F.col("address_status") == "CURRENT") & (F.col("confidence_score") >= 70))
+    return T.postings(d.select("gnaf_pid", "doc"), prefix=True)
+
+
+def _matches(spark, sf, terms, prefix=False, doc_filter=None, req_ids=None):
     r = requests(spark, sf)
+    if req_ids is not None:
+        r = r.join(req_ids, "request_id", "left_semi")
     req = r.select("request_id", terms.alias("terms"))
     d = docs(spark, sf)
     if doc_filter is not None:
         d = d.filter(doc_filter)
-    m = T.match_requests(req, d.select("gnaf_pid", "doc"), prefix=prefix)
+    if prefix:
+        idx = prefix_index(spark, sf)
+        m = T.match_requests(req, d.select("gnaf_pid", "doc"), prefix=True, index=idx)
+    elif doc_filter is None:
+        m = T.match_requests(req, d.select("gnaf_pid", "doc"), index=index(spark, sf), doc_freq=doc_freq(spark, sf))
+    else:
+        # the full-index frequencies still pick a valid rarest term; candidates are then restricted to d
+        m = T.match_requests(req, d.select("gnaf_pid", "doc"), index=index(spark, sf), doc_freq=doc_freq(spark, sf))
     return m.select("request_id", "gnaf_pid", "relevance")
 
 
@@ -143,9 +172,7 @@ def validate_exact(spark, sf):
 
 def _fuzzy(spark, sf, req_ids=None):
     r = requests(spark, sf).select("request_id", T.street_number(F.col("normalised")).alias("num"))
-    m = _matches(spark, sf, T.query_terms(F.col("normalised")))
-    if req_ids is not None:
-        m = m.join(req_ids, "request_id", "left_semi")
+    m = _matches(spark, sf, T.query_terms(F.col("normalised")), req_ids=req_ids)
     b = search_base(spark, sf).select("gnaf_pid", "number_first", "display", "confidence_score",
                                       "coordinate_reliability")
     j = m.join(r, "request_id").join(b, "gnaf_pid")
@@ -165,9 +192,7 @@ def validate_fuzzy(spark, sf):
 def _suggestions(spark, sf, req_ids=None):
     r = requests(spark, sf).select("request_id", T.street_number(F.col("normalised")).alias("num"))
     m = _matches(spark, sf, T.suggestion_terms(F.col("normalised")),
-                 doc_filter=F.col("confidence_score") >= MIN_SUGGESTION)
-    if req_ids is not None:
-        m = m.join(req_ids, "request_id", "left_semi")
+                 doc_filter=F.col("confidence_score") >= MIN_SUGGESTION, req_ids=req_ids)
     b = search_base(spark, sf).select("gnaf_pid", "number_first", "display", "confidence_score")
     j = m.join(r, "request_id").join(b, "gnaf_pid")
     j = j.withColumn("bonus", F.when(F.col("number_first") == F.col("num"), 100).otherwise(0))
@@ -192,9 +217,9 @@ def validate_addresses(spark, sf):
     """
     req = requests(spark, sf).select("request_id", "address_text")
     ids = req.select("request_id")
-    ex = _exact(spark, sf)
+    ex = C.cut(_exact(spark, sf))
     rest = ids.join(ex.select("request_id"), "request_id", "left_anti")
-    fz = _fuzzy(spark, sf, rest)
+    fz = C.cut(_fuzzy(spark, sf, rest))
     fbest = fz.filter((F.col("rank") == 1) & (F.col("confidence_score") >= VALID_MATCH))
     fsug = fz.filter(F.col("rank") > 1).groupBy("request_id").agg(F.count(F.lit(1)).alias("n_suggestions"))
     rest2 = rest.join(fbest.select("request_id"), "request_id", "left_anti")
@@ -276,7 +301,7 @@ def geocode_component(spark, sf):
 def geocode_frame(spark, sf):
     """J19 + J5: vector best, else component best, else the failure row (0, 0, REGION, 3)."""
     req = requests(spark, sf).select("request_id")
-    v = _vector(spark, sf).filter(F.col("rank") == 1).select("request_id", "gnaf_pid")
+    v = C.cut(_vector(spark, sf).filter(F.col("rank") == 1).select("request_id", "gnaf_pid"))
     a = C.addresses(spark, sf).select("gnaf_pid", "latitude", "longitude", "coordinate_precision",
                                       "coordinate_reliability", F.col("confidence_score").alias("confidence"))
     vd = v.join(a, "gnaf_pid").withColumn("source", F.lit("vector"))

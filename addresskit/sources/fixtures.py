@@ -424,16 +424,32 @@ def cte(*names: str) -> str:
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A given table. A scan with fewer splits than the cluster has cores (a small single-row-group
+    file) is spread round-robin over the default parallelism; large inputs keep their scan splits."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
+
+
+_FRAMES: dict[tuple, DataFrame] = {}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table as a lazy DataFrame (same SQL text as the oracle's CTE)."""
+    """A derived table as a lazy DataFrame (same SQL text as the oracle's CTE), built once per session."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir, name)
+    df = _FRAMES.get(key)
+    if df is not None:
+        return df
     if name in RAW_TABLES:
-        return raw(spark, sf_dir, name)
-    sql, deps = DERIVED[name]
-    frames = {d: derived(spark, sf_dir, d) for d in deps}
-    return spark.sql(sql.replace("{ts_ms_text}", DIALECT["spark"]["ts_ms_text"]), **frames)
+        df = raw(spark, sf_dir, name)
+    else:
+        sql, deps = DERIVED[name]
+        frames = {d: derived(spark, sf_dir, d) for d in deps}
+        df = spark.sql(sql.replace("{ts_ms_text}", DIALECT["spark"]["ts_ms_text"]), **frames)
+    _FRAMES[key] = df
+    return df
 
 
 @functools.lru_cache(maxsize=None)

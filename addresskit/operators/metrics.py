@@ -59,11 +59,13 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: C
 
 
 def with_halo(df: DataFrame, halo: int, block: int) -> DataFrame:
-    """Block rows by position; the last ``halo`` rows of each block are copied into the next one."""
+    """Block rows by position; each row is also copied into the later blocks whose first ``halo``
+    predecessors it belongs to (one copy when ``halo <= block``)."""
     b = F.floor((F.col("_g") - 1) / block)
     own = df.withColumn("_block", b).withColumn("_halo", F.lit(False))
-    tail = df.filter(F.pmod(F.col("_g") - 1, F.lit(block)) >= block - halo).withColumn(
-        "_block", b + 1).withColumn("_halo", F.lit(True))
+    last_needed = F.floor((F.col("_g") - 1 + halo) / block)
+    tail = df.filter(last_needed > b).withColumn(
+        "_block", F.explode(F.sequence(b + 1, last_needed))).withColumn("_halo", F.lit(True))
     return own.unionByName(tail)
 
 

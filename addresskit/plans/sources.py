@@ -27,7 +27,9 @@ def file_catalog(spark, sf):
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("table_name", "file_name", "size_bytes", "path")
+    # a logical file may be stored as several part files
+    return out.groupBy("table_name", "file_name").agg(F.count(F.lit(1)).alias("parts"),
+                                                      F.sum("size_bytes").alias("size_bytes"))
 
 
 def _table_paths(cat, table):
@@ -62,7 +64,9 @@ def file_record_counts(spark, sf):
     cat = _catalog(spark, sf)
     out = None
     for t in FS.TABLE_PATTERNS:
-        c = _read_table(spark, cat, t).groupBy("source_file").agg(F.count(F.lit(1)).alias("records"))
+        r = _read_table(spark, cat, t).withColumn(
+            "file_name", F.regexp_extract("source_file", r"file_name=([^/]+)/[^/]*$", 1))
+        c = r.groupBy("file_name").agg(F.count(F.lit(1)).alias("records"))
         c = c.withColumn("table_name", F.lit(t))
         out = c if out is None else out.unionByName(c)
     return out

@@ -14,6 +14,7 @@ O = C.O_REGISTER
 
 @query("etl_addresses", O + "SELECT * FROM addresses")
 def etl_addresses(spark, sf):
+    """S10 + P1 + F1 + F4 + J1 + J2: raw address records -> register rows (geocode and locality joins)."""
     return C.addresses(spark, sf)
 
 

@@ -9,3 +9,4 @@ from . import alerts  # noqa: F401
 from . import health  # noqa: F401
 from . import requests  # noqa: F401
 from . import sources  # noqa: F401
+from . import streams  # noqa: F401

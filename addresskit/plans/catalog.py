@@ -10,3 +10,4 @@ from . import health  # noqa: F401
 from . import requests  # noqa: F401
 from . import sources  # noqa: F401
 from . import streams  # noqa: F401
+from . import clusters  # noqa: F401

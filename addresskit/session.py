@@ -43,6 +43,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="addresskit-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", path)
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # static on some deployments; the context setting below is what checkpoint() uses
+            pass
     spark.sparkContext.setCheckpointDir(path)
     return path

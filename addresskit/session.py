@@ -6,10 +6,14 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-# Settings every job relies on. AQE re-plans joins at runtime (broadcast only
-# after the measured shuffle size is under the threshold), splits skewed join
-# partitions and coalesces small shuffle partitions.
+# Settings every job relies on. Static size estimates are not trusted for
+# broadcasting (an exploded or filtered side can be far larger than estimated):
+# AQE converts a join to a broadcast only after the shuffle of that side has
+# been measured under the threshold. It also splits skewed join partitions and
+# coalesces small shuffle partitions. Fixed literal tables carry explicit hints.
 CLUSTER_CONF = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",

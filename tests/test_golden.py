@@ -97,3 +97,24 @@ def test_masking_and_redaction(spark):
     assert red == '{"a":1,"password":"***REDACTED***","auth":"***REDACTED***","n":{"token":"***REDACTED***"}}'
     assert one(spark, L.is_suspicious(F.lit("q=<script>alert(1)</script>")))
     assert not one(spark, L.is_suspicious(F.lit("q=main street")))
+
+
+def test_request_error_codes(spark):
+    from addresskit.plans.requests import request_error_code
+
+    rows = [
+        ("proximity", None, None, None, 1000, 10, "MISSING_LOCATION"),
+        ("proximity", float("nan"), 144.9, None, 1000, 10, "INVALID_COORDINATES"),
+        ("proximity", -60.0, 144.9, None, 1000, 10, "COORDINATES_OUT_OF_BOUNDS"),
+        ("proximity", None, None, "xy", 1000, 10, "INVALID_ADDRESS"),
+        ("proximity", -37.8, 144.9, None, 0, 10, "INVALID_RADIUS"),
+        ("proximity", -37.8, 144.9, None, 1000, 51, "INVALID_LIMIT"),
+        ("proximity", -37.8, 144.9, None, 5000, 50, None),
+        ("boundary", None, None, "12 Main St", None, None, "MISSING_COORDINATES"),
+        ("statistical", None, None, "12 Main St", None, None, None),
+        ("isochrone", -37.8, 144.9, None, None, None, "INVALID_OPERATION_TYPE"),
+    ]
+    df = spark.createDataFrame([r[:6] for r in rows], "op_type string, latitude double, longitude double, "
+                               "address string, radius long, max_results long")
+    got = [r.e for r in df.select(request_error_code(df).alias("e")).collect()]
+    assert got == [r[6] for r in rows]

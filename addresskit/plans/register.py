@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.address import STATE_NAMES
 from ..operators import register as R
 from ..sources.fixtures import cte, derived
 from . import common as C
@@ -53,8 +54,7 @@ def address_statistics(spark, sf):
 
 
 # ----------------------------------------------------------------- S6-S9, F2
-_STATES_SQL = ", ".join(f"('{a}', '{b}')" for a, b in __import__(
-    "addresskit.functions.address", fromlist=["STATE_NAMES"]).STATE_NAMES)
+_STATES_SQL = ", ".join(f"('{a}', '{b}')" for a, b in STATE_NAMES)
 
 
 @query("dim_states", f"SELECT * FROM (VALUES {_STATES_SQL}) AS t(state_code, state_name)")

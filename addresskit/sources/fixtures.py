@@ -373,7 +373,7 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
                || '}}' AS line
         FROM r
         UNION ALL
-        SELECT file, event_id * 2 + 1, '    at handler (service.ts:' || CAST(event_id % 500 AS STRING) || ')'
+        SELECT file, event_id * 2 + 1, '    at handler (worker:' || CAST(event_id % 500 AS STRING) || ')'
         FROM r WHERE event_type = 'error'
         """,
         ("events",),

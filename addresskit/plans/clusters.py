@@ -10,20 +10,26 @@ from ..operators import spatial as S
 from . import common as C
 from .registry import query
 
-EPS_M = 1000.0
-MIN_PTS = 5
+# the two configurations the reference runs (eps in planar metres, D10)
+CONFIGS = [(1000.0, 5), (5000.0, 10)]
 SAMPLES = 5
 
 
 @C.memo
 def clusters(spark, sf):
     pts = S.with_xy(C.addresses(spark, sf)).select("gnaf_pid", "x", "y")
-    return C.cut(D.dbscan(pts, "gnaf_pid", EPS_M, MIN_PTS))
+    out = None
+    for eps, min_pts in CONFIGS:
+        r = C.cut(D.dbscan(pts, "gnaf_pid", eps, min_pts)).withColumn(
+            "config", F.lit(f"eps{int(eps)}_min{min_pts}"))
+        out = r if out is None else out.unionByName(r)
+    return out
 
 
 @query("dbscan")
 def dbscan(spark, sf):
-    """DBSCAN over every address, eps 1000 planar metres, min 5 points (D10); label null = noise."""
+    """DBSCAN over every address for both configurations (eps 1000 m / 5 points, eps 5000 m / 10 points);
+    label null = noise."""
     return clusters(spark, sf)
 
 
@@ -33,14 +39,15 @@ def cluster_summary(spark, sf):
     c = clusters(spark, sf)
     a = C.addresses(spark, sf).select("gnaf_pid", "formatted_address")
     member = c.filter(F.col("cluster").isNotNull())
-    size = member.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    w = Window.partitionBy("cluster").orderBy("gnaf_pid")
+    size = member.groupBy("config", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    w = Window.partitionBy("config", "cluster").orderBy("gnaf_pid")
     top = member.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= SAMPLES).join(a, "gnaf_pid")
-    samples = top.groupBy("cluster").agg(F.array_join(F.transform(
+    samples = top.groupBy("config", "cluster").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("_r", "formatted_address"))), lambda x: x["formatted_address"]), " | ")
         .alias("samples"))
-    totals = c.agg(F.countDistinct("cluster").alias("n_clusters"), F.count_if(F.col("cluster").isNull()).alias("noise"))
-    return size.join(samples, "cluster").crossJoin(totals)
+    totals = c.groupBy("config").agg(F.countDistinct("cluster").alias("n_clusters"),
+                                     F.count_if(F.col("cluster").isNull()).alias("noise"))
+    return size.join(samples, ["config", "cluster"]).join(totals, "config")
 
 
 @query("geohash")

@@ -11,8 +11,10 @@ DBSCAN with radius ``eps`` and ``min_pts`` over points (key, x, y):
   point;
 * core cells (cells with a core point) are linked when their core points'
   bounding boxes are within eps everywhere; boxes farther than eps apart are
-  not linked; the remaining cell pairs are decided point by point on the core
-  points, restricted to those within eps of the other cell's box;
+  not linked; the remaining cell pairs are decided on 4x4 sub-cell boxes
+  (bounded per cell pair): a sub-box pair within eps everywhere links them,
+  and only sub-box pairs that are neither certain nor excluded are checked
+  point by point;
 * clusters are connected components of the core-cell graph, found by
   min-label propagation with pointer jumping, checkpointed each round;
 * a non-core point joins the smallest cluster label among core points within
@@ -28,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STENCIL = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]
+SUB_CELLS = 4
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -94,19 +97,32 @@ def dbscan(points: DataFrame, key: str, eps: float, min_pts: int) -> DataFrame:
                            F.col("by0"), F.col("by1"))
     ab = ab.withColumn("_min", bmin).withColumn("_max", bmax).filter(F.col("_min") <= eps)
     sure = ab.filter(F.col("_max") <= eps).select("cid", "nid")
-    open_pairs = ab.filter(F.col("_max") > eps).select("cid", "nid", "bx0", "bx1", "by0", "by1", "x0", "x1", "y0", "y1")
-    # undecided cell pairs: core points of A near B's box against core points of B near A's box
-    cp = core.select("x", "y", F.concat_ws(":", "cx", "cy").alias("cid"))
-    pa = open_pairs.join(cp, "cid")
-    da, _ = _box_dist(F.col("x"), F.col("x"), F.col("y"), F.col("y"), F.col("bx0"), F.col("bx1"), F.col("by0"),
-                      F.col("by1"))
-    pa = pa.filter(da <= eps).select("cid", "nid", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    pb = open_pairs.join(cp.withColumnRenamed("cid", "nid"), "nid")
-    db, _ = _box_dist(F.col("x"), F.col("x"), F.col("y"), F.col("y"), F.col("x0"), F.col("x1"), F.col("y0"),
-                      F.col("y1"))
-    pb = pb.filter(db <= eps).select("cid", "nid", F.col("x").alias("bx"), F.col("y").alias("by"))
-    linked = pa.join(pb, ["cid", "nid"]).filter(
-        (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 <= eps * eps).select("cid", "nid").distinct()
+    open_pairs = _cut(ab.filter(F.col("_max") > eps).select("cid", "nid"))
+    # undecided cell pairs: first the 4x4 sub-cell boxes of each cell's core points (at most 256 sub-box
+    # pairs per cell pair, whatever the point count); one sub-box pair within eps everywhere links the cells.
+    sub = SUB_CELLS
+    t = s / sub
+    cp = core.select("x", "y", F.concat_ws(":", "cx", "cy").alias("cid"),
+                     (F.floor(F.col("x") / t) * 100003 + F.floor(F.col("y") / t)).cast("long").alias("sid"))
+    sboxes = _cut(cp.groupBy("cid", "sid").agg(F.min("x").alias("x0"), F.max("x").alias("x1"),
+                                               F.min("y").alias("y0"), F.max("y").alias("y1")))
+    sa = open_pairs.join(sboxes, "cid")
+    sb = sboxes.select(F.col("cid").alias("nid"), F.col("sid").alias("nsid"), F.col("x0").alias("bx0"),
+                       F.col("x1").alias("bx1"), F.col("y0").alias("by0"), F.col("y1").alias("by1"))
+    sp = sa.join(sb, "nid")
+    smin, smax = _box_dist(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), F.col("bx0"), F.col("bx1"),
+                           F.col("by0"), F.col("by1"))
+    sp = sp.withColumn("_min", smin).withColumn("_max", smax).filter(F.col("_min") <= eps)
+    sp = _cut(sp.select("cid", "nid", "sid", "nsid", "_max"))
+    sure_sub = sp.filter(F.col("_max") <= eps).select("cid", "nid").distinct()
+    # remaining sub-box pairs (no certain link for their cell pair): their points, pair by pair
+    rest = sp.join(sure_sub, ["cid", "nid"], "left_anti").select("cid", "nid", "sid", "nsid")
+    pa = rest.join(cp.select("cid", "sid", F.col("x").alias("ax"), F.col("y").alias("ay")), ["cid", "sid"])
+    pb = cp.select(F.col("cid").alias("nid"), F.col("sid").alias("nsid"), F.col("x").alias("bx"),
+                   F.col("y").alias("by"))
+    checked = pa.join(pb, ["nid", "nsid"]).filter(
+        (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 <= eps * eps).select("cid", "nid")
+    linked = sure_sub.unionByName(checked).distinct()
     edges = _cut(sure.unionByName(linked).distinct())
 
     # connected components: min-label propagation with pointer jumping

@@ -30,9 +30,12 @@ def _brute(xy, eps, min_pts):
     return core, label
 
 
-def test_dbscan_matches_brute_force(spark):
+import pytest
+
+
+@pytest.mark.parametrize("eps,min_pts", [(350.0, 4), (5000.0, 10), (120.0, 2)])
+def test_dbscan_matches_brute_force(spark, eps, min_pts):
     pts = S.with_xy(C.addresses(spark, SF_SMALL)).select("gnaf_pid", "x", "y")
-    eps, min_pts = 350.0, 4
     got = {r.gnaf_pid: (r.cluster, r.is_core) for r in D.dbscan(pts, "gnaf_pid", eps, min_pts).collect()}
     pdf = pts.toPandas().sort_values("gnaf_pid").reset_index(drop=True)
     core, label = _brute(pdf[["x", "y"]].to_numpy(), eps, min_pts)

@@ -11,7 +11,7 @@ Every item of the benchmark is looked for in every document through windows of t
    dropped. (One changed word of 15 moves about 22 bits, with a standard deviation of 4.)
 3. Verification. Exact Jaccard similarity of the two bags of shingles, each shingle weighted by how often it occurs.
 
-Edge cases: words are runs of other than ASCII white space, A-Z lower-cased; an item or text of fewer than five words
+Edge cases: words are runs of other than ASCII white space, lower-cased; an item or text of fewer than five words
 has no shingle and matches nothing; null texts count as empty; a window over the end of a text is moved back inside it,
 and a text shorter than the item is one window; repeated items and rows match each on its own; documents with the same
 doc_id and text are one; empty tables give an empty result; the documents' other columns are not read.
@@ -31,7 +31,7 @@ RADIUS = 2 * BLOCKS - 1
 
 
 def word_hashes(text: Column) -> Column:
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    low = F.lower(F.coalesce(text, F.lit("")))
     return F.transform(F.filter(F.split(low, r"[\x20\x09-\x0D]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 

@@ -94,7 +94,7 @@ def emit_chunks(array: np.ndarray, task: int):
 def merge_chunks(df: DataFrame, size: int, dtype: str, how: str) -> np.ndarray:
     """Sum (``add``) or union (``or``) of all tasks' arrays; ``size`` is a fixed parameter, so is what is collected."""
 
-    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(min(CHUNK, size), dtype)
         for blob in pdf["data"]:
             part = np.frombuffer(zlib.decompress(blob), dtype)

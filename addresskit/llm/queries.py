@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, mixing, url_filter, winnowing
+from . import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, url_filter, winnowing
 
 QUERIES = {f.__name__: f for f in (
     decontaminate.op1_decontaminate,
@@ -11,9 +11,12 @@ QUERIES = {f.__name__: f for f in (
     language_id.op5_language_id,
     url_filter.op6_url_filter,
     winnowing.op7_fingerprints,
+    line_dedup.op8_line_dedup,
+    ngram_join.op10_ngram_join,
 )}
 
 ORACLES = {
     "op4_mix_sources": mixing.ORACLE,
     "op6_url_filter": url_filter.ORACLE,
+    "op10_ngram_join": ngram_join.ORACLE,
 }

@@ -113,6 +113,21 @@ def hash_word(word: str, table: np.ndarray = NOT_SPACE) -> np.uint64:
     return next(words(pa.array([word]), table)).hash[0]
 
 
+class Runs:
+    """Hashes of any runs of consecutive words, from running sums; equal runs have equal hashes wherever they stand."""
+
+    def __init__(self, h: np.ndarray):
+        self.sums = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * _powers(_BASE, len(h)), out=self.sums[1:])
+        self.back = _powers(_INVERSE, len(h) + 1)
+
+    def raw(self, start, end):
+        return (self.sums[end] - self.sums[start]) * self.back[start]
+
+    def hash(self, start, end):
+        return mix(self.raw(start, end) + (end - start).astype(np.uint64))
+
+
 _PLACE = mix(np.arange(101, 165, dtype=np.uint64)) | _U(1)
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import emit_chunks, id_filter, may_hold, merge_chunks, written
-from .components import components
+from .linking import link, with_root
 from .tokens import mix, shingle_sets
 
 PERCENT = 75
@@ -148,6 +148,18 @@ def _could(cnt: str, subset: str) -> str:
 SIZES_FIT = f"100 * least(n1, n2) >= {PERCENT} * greatest(n1, n2)"
 
 
+def similar_sets(batches):
+    """mapInArrow function over (a, b, set of a, set of b): the pairs (a, b) of similar sets of sorted hashes."""
+    for b in batches:
+        keep = []
+        for x, y in zip(b.column(2), b.column(3), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both = int((y[at] == x).sum())
+            keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+
 def similar(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     """The pairs (a, b) of content ids whose sets are similar. ``firsts``: (cid, doc_id) with one document of each set.
 
@@ -169,19 +181,9 @@ def similar(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
 
     made = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text").mapInArrow(sets, "cid long, s binary")
 
-    def test(batches):
-        for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
     with_a = pairs.join(made.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a")
     with_b = with_a.join(made.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-    return written(with_b.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct(), "similar")
+    return written(with_b.select("a", "b", "sa", "sb").mapInArrow(similar_sets, "a long, b long").distinct(), "similar")
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -202,42 +204,15 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     lists = written(lists.where("lo <> hi OR salt > 0").select("key", "salt", "cid", "n"), "lists")
     firsts = info.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
 
-    edges, labels = None, None
-    for _ in range(STAR_ROUNDS):
-        of = _with_root(lists, labels)
-        hub = F.min(F.struct("root", "cid", "n")).over(w)
-        met = of.select("key", "cid", "n", "root", hub.alias("hub")).where("root <> hub.root").select(
-            F.col("hub.cid").alias("a"), F.col("cid").alias("b"), F.col("hub.n").alias("n1"), F.col("n").alias("n2"), (F.col("key") < 0).alias("sub"))
-        met = met.where(SIZES_FIT).groupBy("a", "b", "n1", "n2", "sub").agg(F.count(F.lit(1)).alias("cnt")).where(_could("cnt", "sub"))
-        best = met.groupBy("b").agg(F.max(F.struct("cnt", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        found = similar(docs, best, firsts)
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-
-    of = _with_root(lists, labels)
-    k = Window.partitionBy("key")
-    mixed = of.select("*", F.min("root").over(k).alias("r1"), F.max("root").over(k).alias("r2")).where("r1 <> r2")
-    mixed = written(mixed.select("key", "cid", "n", "root"), "mixed")
-    one = mixed.select("key", F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("root").alias("root1"))
-    two = mixed.select("key", F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    rest = one.join(two, "key").where(f"a < b AND root1 <> root2 AND {SIZES_FIT}").groupBy("a", "b", "n1", "n2", (F.col("key") < 0).alias("sub"))
-    rest = rest.agg(F.count(F.lit(1)).alias("cnt")).where(_could("cnt", "sub")).select("a", "b").distinct()
-    labels = components(edges.union(similar(docs, rest, firsts)))
-
-    rooted = _with_root(info.where("cid IS NOT NULL"), labels)
+    labels = link(lists, lambda pairs: similar(docs, pairs, firsts), SIZES_FIT, _could("cnt", "sub"), STAR_ROUNDS)
+
+    rooted = with_root(info.where("cid IS NOT NULL"), labels)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     grouped = rooted.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = info.where("cid IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return grouped.union(alone)
 
 
-def _with_root(df: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """``df`` (with cid) and the root of each content id's component, itself where it has no link yet."""
-    if labels is None:
-        return df.withColumn("root", F.col("cid"))
-    return df.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-
-
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set and the smallest doc_id that it reaches by links."""
     from .common import documents

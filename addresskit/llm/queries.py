@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, url_filter, winnowing
+from . import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, pitman_yor, substring_dedup, url_filter, winnowing
 
 QUERIES = {f.__name__: f for f in (
     decontaminate.op1_decontaminate,
+    pitman_yor.op2_lm_scoring,
     license_scan.op3_license_scan,
     mixing.op4_mix_sources,
     language_id.op5_language_id,
     url_filter.op6_url_filter,
     winnowing.op7_fingerprints,
     line_dedup.op8_line_dedup,
+    substring_dedup.op9_substring_dedup,
     ngram_join.op10_ngram_join,
 )}
 

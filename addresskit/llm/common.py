@@ -77,6 +77,18 @@ def maybe_listed(h: str, bloom: str, words: int) -> str:
     return f"(get({bloom}, {_block(h, words)}) & ({_mask(h)})) = ({_mask(h)})"
 
 
+def split_by_keys(df: DataFrame, h: str, keys: DataFrame, key_h: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key, rows that have none): the second kind needs no join with ``keys``.
+
+    ``h`` and ``key_h`` are SQL expressions of 64-bit hashes; the filter has a fixed greatest size.
+    """
+    n = filter_words(keys.count(), 16)
+    bloom = bloom_filter(keys.select(F.expr(key_h).alias("h")), "h", n).scalar()
+    marked = df.withColumn("_h", F.expr(h)).withColumn("_bloom", bloom)
+    marked = marked.withColumn("_maybe", F.expr(maybe_listed("_h", "_bloom", n))).drop("_bloom", "_h")
+    return marked.where("_maybe").drop("_maybe"), marked.where("NOT _maybe").drop("_maybe")
+
+
 # --------------------------- fixed-size arrays summed over all tasks (numpy side)
 CHUNK = 1 << 14
 CHUNK_SCHEMA = "chunk int, salt int, data binary"

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bloom_filter, filter_words, id_filter, may_hold, maybe_listed, written
+from .common import id_filter, may_hold, split_by_keys, written
 from .tokens import Runs, mix, words
 
 MIN_WORDS = 8
@@ -188,12 +188,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     tie = F.xxhash64(F.coalesce("text", F.lit("")))
     gone = written(removed_lines(docs.select(doc.alias("doc"), tie.alias("tie"), "text")), "removed")
-    n = filter_words(gone.count(), 16)
-    bloom = bloom_filter(gone.select(F.xxhash64("doc", "tie").alias("h")), "h", n).scalar()
-    keyed = docs.withColumn("_doc", doc).withColumn("_tie", tie).withColumn("_h", F.xxhash64("_doc", "_tie")).withColumn("_bloom", bloom)
-    keyed = keyed.withColumn("_maybe", F.expr(maybe_listed("_h", "_bloom", n))).drop("_bloom", "_h")
-    hit = keyed.where("_maybe").join(gone.withColumnsRenamed({"doc": "_doc", "tie": "_tie", "gone": "_gone"}), ["_doc", "_tie"], "left")
-    rest = keyed.where("NOT _maybe").withColumn("_gone", F.lit(None).cast("array<int>"))
+    keyed = docs.withColumn("_doc", doc).withColumn("_tie", tie)
+    hit, rest = split_by_keys(keyed, "xxhash64(_doc, _tie)", gone, "xxhash64(doc, tie)")
+    hit = hit.join(gone.withColumnsRenamed({"doc": "_doc", "tie": "_tie", "gone": "_gone"}), ["_doc", "_tie"], "left")
+    rest = rest.withColumn("_gone", F.lit(None).cast("array<int>"))
     out = rest.unionByName(hit)
     left = F.expr(r"array_join(filter(split(text, '\n'), (l, i) -> NOT array_contains(_gone, i)), '\n')")
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")

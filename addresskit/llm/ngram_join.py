@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import emit_chunks, id_filter, may_hold, merge_chunks, written
+from .common import emit_chunks, id_filter, may_hold, merge_chunks, split_by_keys, written
 from .linking import link, with_root
 from .tokens import mix, shingle_sets
 
@@ -213,6 +213,21 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     return grouped.union(alone)
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id, all columns as they are.
+
+    Of rows with that doc_id one stays (the least by hash of the text). A document without doc_id stays if its component
+    has none with one. Documents alone under their doc_id skip the join.
+    """
+    found = written(ngram_components(docs), "components")
+    by_id = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("to"), F.count(F.lit(1)).alias("rows"))
+    touched = written(by_id.where("to <> doc_id OR rows > 1").select(F.col("doc_id").alias("_id"), (F.col("to") == F.col("doc_id")).alias("_first")), "touched")
+    hit, rest = split_by_keys(docs, "xxhash64(cast(doc_id as bigint))", touched, "xxhash64(_id)")
+    judged = hit.join(touched, F.col("doc_id").cast("long") == F.col("_id"), "left")
+    one = judged.where("_first").withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("_n = 1")
+    return rest.unionByName(judged.where("_id IS NULL").select(*docs.columns)).unionByName(one.select(*docs.columns))
+
+
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Size of every document's shingle set and the smallest doc_id that it reaches by links."""
     from .common import documents

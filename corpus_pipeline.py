@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from addresskit.llm import common, decontaminate, language_id, mixing
+from addresskit.llm import common, decontaminate, language_id, line_dedup, mixing, ngram_join
 
 LEAST_SCORE = 0.5
 
@@ -21,6 +21,18 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return told.where((F.col("lang_pred") != language_id.UND) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the first of each group of equal or near lines; a document without a line of its own goes."""
+    out = line_dedup.dedup_lines(docs)
+    changed = F.col("line_counts.removed") > 0
+    return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of similar documents."""
+    return ngram_join.keep_one(docs)
+
+
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
@@ -34,6 +46,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", ngram_stage),
     ("benchmark decontamination", decontamination_stage),
     ("mixing sources to target weights", mix_stage),
 ]

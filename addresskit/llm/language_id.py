@@ -10,7 +10,8 @@ Words are runs of letters, lower-cased; runs over MAX_LETTERS letters are cut, a
 The vocabulary's path is a parameter; its pieces are read on the driver and travel with the task.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled text to learn from every
-text is ``und``; equal posteriors go to the first language in code point order; other columns pass through.
+text is ``und``; equal posteriors go to the first language in code point order; other columns pass through (names with a leading
+underscore are the operator's own).
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .mixing import uniform
 from .tokens import LETTER, mix, words
@@ -204,20 +206,21 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMP
 
 
 def identify(docs: DataFrame, labelled: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score`` (posterior of the predicted language, 0 to 1) added.
+    """``docs`` with ``_language`` struct(pred, score) added: the predicted language and its posterior, 0 to 1.
 
     Predictions read the text alone; ``labelled`` (doc_id, text, lang) is what the model learns from.
     """
     langs, lattice, prob = train(labelled, vocabulary, sample_docs)
     names = docs.columns
-    schema = docs.schema.add("lang_pred", "string").add("lang_score", "double")
+    language = T.StructType([T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField("_language", language)])
     at_text = len(names)
 
     def predict(batches):
         for b in batches:
             pred, score = _predict(b.column(at_text), langs, lattice, prob)
-            yield pa.RecordBatch.from_arrays([*b.columns[:at_text], pa.array(pred, pa.string()), pa.array(score, pa.float64())],
-                                             names=[*names, "lang_pred", "lang_score"])
+            told = pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:at_text], told], names=[*names, "_language"])
 
     return docs.select("*", F.lower("text").alias("_low")).mapInArrow(predict, schema)
 
@@ -257,4 +260,4 @@ def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     learn = docs.where(~held_out(docs)).select("doc_id", "text", "lang")
     out = identify(docs.select("doc_id", "text"), learn)
-    return out.select("doc_id", held_out(out).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return out.select("doc_id", held_out(out).alias("held_out"), F.col("_language.pred").alias("lang_pred"), F.col("_language.score").alias("score"))

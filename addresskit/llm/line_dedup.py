@@ -14,7 +14,7 @@ and lines whose halves nobody shares are left out. That is exact and keeps the n
 
 Edge cases: null text counts as empty; a document left without any word is dropped, one without words before stays as it
 is; rows with the same doc_id and text are one document listed as often as before; an empty table stays empty; other
-columns pass through.
+columns pass through (names with a leading underscore are the operator's own).
 """
 
 from __future__ import annotations
@@ -181,7 +181,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The documents with their repeated lines taken out of ``text``; ``line_counts`` struct(lines, removed) is added.
+    """The documents with their repeated lines taken out of ``text``; ``_line_counts`` struct(lines, removed) is added.
 
     Documents that lose nothing skip the join: a fixed-size filter of the others lets them pass.
     """
@@ -195,10 +195,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     out = rest.unionByName(hit)
     left = F.expr(r"array_join(filter(split(text, '\n'), (l, i) -> NOT array_contains(_gone, i)), '\n')")
     n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    out = out.withColumn("line_counts", F.struct(n_lines.alias("lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed")))
+    out = out.withColumn("_line_counts", F.struct(n_lines.alias("lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("removed")))
     out = out.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(left))
     emptied = F.col("_gone").isNotNull() & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    return out.where(~emptied).select(*docs.columns, "line_counts")
+    return out.where(~emptied).select(*docs.columns, "_line_counts")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -206,4 +206,4 @@ def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 
     out = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("line_counts.lines").alias("n_lines"), F.col("line_counts.removed").alias("n_removed"))
+    return out.select("doc_id", "text", F.col("_line_counts.lines").alias("n_lines"), F.col("_line_counts.removed").alias("n_removed"))

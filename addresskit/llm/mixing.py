@@ -5,7 +5,8 @@ floor(rate) times plus once more when a uniform number hashed from (seed, doc_id
 
 Edge cases: a null or empty text has size 0 and follows its source's rate; a source without words has rate 0 and is
 left out; a null source is a source of its own, last in order; rows with the same doc_id share their hashed number;
-an empty table gives an empty result; other columns of the documents pass through untouched.
+an empty table gives an empty result; other columns of the documents pass through untouched
+(names with a leading underscore are the operator's own; ``copy`` replaces a column of that name).
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ def uniform(key: Column, seed: str = SEED) -> Column:
 
 
 def mix_counts(docs: DataFrame, seed: str = SEED, **targets) -> DataFrame:
-    """The documents with ``mix = struct(size, source_size, target, rate, copies)`` added.
+    """The documents with ``_mix = struct(size, source_size, target, rate, copies)`` added.
 
     The table of sources is small next to the documents: up to BROADCAST_SOURCES of them (counted) are sent to every
     task; beyond that the join is salted, so that a source with a third of all rows spreads over SALTS partitions.
@@ -74,7 +75,7 @@ def mix_counts(docs: DataFrame, seed: str = SEED, **targets) -> DataFrame:
                              & (F.col("_mix_salt") == F.col("_mix_to"))).drop("_mix_salt", "_mix_to")
     rate = F.col("_mix_target.rate")
     extra = F.when(uniform(F.col("doc_id"), seed) < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("mix", F.struct(
+    return joined.withColumn("_mix", F.struct(
         F.col("_mix_size").alias("size"), F.col("_mix_target.source_size").alias("source_size"),
         F.col("_mix_target.target").alias("target"), rate.alias("rate"),
         (F.floor(rate).cast("long") + extra.cast("long")).alias("copies"),
@@ -83,8 +84,8 @@ def mix_counts(docs: DataFrame, seed: str = SEED, **targets) -> DataFrame:
 
 def mix_sources(docs: DataFrame, seed: str = SEED, **targets) -> DataFrame:
     """The mixed corpus: every document as often as its source's rate says, ``copy`` numbering the repeats from 1."""
-    counted = mix_counts(docs, seed, **targets).where(F.col("mix.copies") > 0)
-    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix.copies")))).drop("mix")
+    counted = mix_counts(docs, seed, **targets).where(F.col("_mix.copies") > 0)
+    return counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix.copies")))).drop("_mix")
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
@@ -92,9 +93,9 @@ def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
     from .common import documents
 
     m = mix_counts(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return m.select("doc_id", F.col("mix.size").alias("size"), F.col("mix.source_size").alias("source_size"),
-                    F.col("mix.target").alias("target"), (F.col("mix.size") * F.col("mix.copies")).alias("taken"),
-                    F.col("mix.copies").alias("copies"))
+    return m.select("doc_id", F.col("_mix.size").alias("size"), F.col("_mix.source_size").alias("source_size"),
+                    F.col("_mix.target").alias("target"), (F.col("_mix.size") * F.col("_mix.copies")).alias("taken"),
+                    F.col("_mix.copies").alias("copies"))
 
 
 MIX_CTES = """

@@ -18,13 +18,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose language is told with a posterior of LEAST_SCORE or more; ``und`` goes."""
     learn = docs.where(~language_id.held_out(docs)).select("doc_id", "text", "lang")
     told = language_id.identify(docs, learn)
-    return told.where((F.col("lang_pred") != language_id.UND) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    return told.where((F.col("_language.pred") != language_id.UND) & (F.col("_language.score") >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the first of each group of equal or near lines; a document without a line of its own goes."""
     out = line_dedup.dedup_lines(docs)
-    changed = F.col("line_counts.removed") > 0
+    changed = F.col("_line_counts.removed") > 0
     return out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

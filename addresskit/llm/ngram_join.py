@@ -11,10 +11,10 @@ similar share at least ``a = ceil(0.75 s)`` shingles, so
 
 The boundary is the size up to which enumerating costs fewer rows than scanning, from the counters' measured list length.
 
-Scanning does not pair up a list. A round of stars tests every member against the one hub that it meets most often; what
-links is one component. After the rounds only pairs of different components that meet in a list remain: all of them
-are counted, dropped where the number of common places shows that the sets cannot reach the threshold, and tested. So
-groups of copies cost one test per member, and no link between components is lost.
+Scanning does not pair up a list (see ``linking``). A round of stars tests every member against the one hub that it meets
+most often; what links is one component. After the rounds only pairs of different components that meet in a list remain:
+those are dropped whose flipped bits, or number of common places, show that the sets cannot reach the threshold, and the
+others are tested. So groups of copies cost one test per member and round, and no link between components is lost.
 
 Edge cases: A-Z lower-cased, words are runs of other than ASCII white space; fewer than five words make one shingle of
 the whole sequence; a text without words, or null, has the empty set and links with nothing; repeated rows and equal
@@ -35,7 +35,8 @@ from .tokens import mix, shingle_sets
 
 PERCENT = 75
 COUNTERS = 1 << 22  # of 4 bytes; counts only order shingles, so their number changes speed, never results
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+LONGS = 8  # of 64 bits, in which each shingle of a set flips one
 HOT_LEVEL, SALTS = 8, 16
 _U = np.uint64
 
@@ -47,20 +48,22 @@ def content_id(s: np.ndarray) -> int:
 
 
 def _sets_and_counts(batches):
-    """Rows of (doc_id, n, cid), and at the end of the task its counters in chunks."""
+    """Rows of (doc_id, n, cid, data: the set's flipped bits), and at the end of the task its counters in chunks."""
     from pyspark import TaskContext
 
     total = np.zeros(COUNTERS, np.int32)
     for b in batches:
-        n, cid, index = [], [], []
+        n, cid, index, flips = [], [], [], []
         for _, s in shingle_sets(b.column(1)):
             n.append(len(s))
             cid.append(content_id(s) if len(s) else None)
             index.append((s >> _U(42)).astype(np.int64))
+            odd = np.bincount((s & _U(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
+            flips.append(np.packbits(odd.astype(np.uint8)).tobytes())
         total += np.bincount(np.concatenate(index), minlength=COUNTERS).astype(np.int32) if index else 0
         rows = len(n)
         yield pa.RecordBatch.from_arrays([pa.array(b.column(0)), pa.array(n, pa.int64()), pa.array(cid, pa.int64()),
-                                          pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                                          pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.array(flips, pa.binary())],
                                          names=["doc_id", "n", "cid", "chunk", "salt", "data"])
     for c in emit_chunks(total, TaskContext.get().partitionId()):
         rows = c.num_rows
@@ -145,9 +148,6 @@ def _could(cnt: str, subset: str) -> str:
     return f"{100 + PERCENT} * (CASE WHEN {subset} THEN {subsets} ELSE {lists} END) >= {PERCENT} * (n1 + n2)"
 
 
-SIZES_FIT = f"100 * least(n1, n2) >= {PERCENT} * greatest(n1, n2)"
-
-
 def similar_sets(batches):
     """mapInArrow function over (a, b, set of a, set of b): the pairs (a, b) of similar sets of sorted hashes."""
     for b in batches:
@@ -203,8 +203,10 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     lists = posted.select("*", F.min("cid").over(w).alias("lo"), F.max("cid").over(w).alias("hi"))
     lists = written(lists.where("lo <> hi OR salt > 0").select("key", "salt", "cid", "n"), "lists")
     firsts = info.where("cid IS NOT NULL").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
+    bits = first.where("chunk IS NULL AND cid IS NOT NULL").dropDuplicates(["cid"]).select(
+        "cid", *[F.conv(F.hex(F.substring("data", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"b{i}") for i in range(LONGS)])
 
-    labels = link(lists, lambda pairs: similar(docs, pairs, firsts), SIZES_FIT, _could("cnt", "sub"), STAR_ROUNDS)
+    labels = link(lists, lambda pairs: similar(docs, pairs, firsts), _could("cnt", "sub"), bits, PERCENT, STAR_ROUNDS)
 
     rooted = with_root(info.where("cid IS NOT NULL"), labels)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

@@ -18,45 +18,45 @@ def with_root(df: DataFrame, labels: DataFrame | None) -> DataFrame:
     return df.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
 
 
-def link(lists: DataFrame, similar: Callable[[DataFrame], DataFrame], could: str, bits: DataFrame, percent: int, rounds: int = 3) -> DataFrame:
+TURNS, PARTS, HUBS = 3, 3, 8
+
+
+def link(lists: DataFrame, similar: Callable[[DataFrame], DataFrame], could: str, bits: DataFrame, percent: int) -> DataFrame:
     """(node, root) of the components of all ids that meet in a list and whose sets are similar.
 
     ``lists``: key, salt, cid, n (set size). Ids of one key and salt meet in the star rounds, ids of one key in the last
     pass. ``could``: SQL over n1, n2, cnt (lists in which a pair meets) and sub (key below 0), true for every pair that
     may be similar. ``similar`` keeps the pairs (a, b) whose Jaccard similarity is ``percent`` / 100 or more. ``bits``: cid
-    and longs b0, b1, ... in which every member of the set flips one bit.
+    and longs b0, b1, ... in which every member of the set flips one bit: sets differ in at least as many members as
+    their bits do, so the joins drop pairs that differ too much to be similar.
 
-    In a star round an id is tested against one hub, of those that it meets the one it meets most often; the hub of a
-    list is its member with the most lists (in the next round the second, and so on), which among near copies is the one
-    with the fewest changes. The last pass takes all pairs of different components that meet, so no link between
-    components is lost; sets differ in at least as many members as their bits do, and the join drops pairs that differ
-    too much to be similar.
+    A star round takes a part of the lists (near copies meet in many) and tests each list's members against HUBS of
+    them, drawn by hash. What links is one component. The last pass takes all pairs of different components that meet in
+    any list, so no link between components is lost.
     """
-    fits = f"100 * least(n1, n2) >= {percent} * greatest(n1, n2)"
+    longs = [c for c in bits.columns if c != "cid"]
+    differ = " + ".join(f"bit_count({c}_1 ^ {c}_2)" for c in longs)
+    close = (f"root1 <> root2 AND 100 * least(n1, n2) >= {percent} * greatest(n1, n2) "
+             f"AND {100 - percent} * (n1 + n2) >= {100 + percent} * ({differ})")
+
+    def side(df, number, *more):
+        return df.select(F.col("key").alias(f"key{number}"), F.col("cid").alias("ab"[number - 1]), F.col("n").alias(f"n{number}"),
+                         F.col("root").alias(f"root{number}"), *[F.col(c).alias(f"{c}_{number}") for c in longs], *more)
+
     edges = labels = None
-    weights = lists.groupBy("cid").agg(F.count(F.lit(1)).alias("weight"))
-    lists = written(lists.join(weights, "cid"), "weighed")
-    near = Window.partitionBy("key", "salt")
-    for turn in range(1, rounds + 1):
-        place = F.row_number().over(near.orderBy(F.desc("weight"), "cid"))
-        of = with_root(lists, labels).withColumn("place", place)
-        hub = F.max(F.when(F.col("place") == turn, F.struct("root", "cid", "n"))).over(near)
-        met = of.select("key", "cid", "n", "root", hub.alias("hub")).where("root <> hub.root").select(
-            F.col("hub.cid").alias("a"), F.col("cid").alias("b"), F.col("hub.n").alias("n1"), F.col("n").alias("n2"), (F.col("key") < 0).alias("sub"))
-        met = met.where(fits).groupBy("a", "b", "n1", "n2", "sub").agg(F.count(F.lit(1)).alias("cnt")).where(could)
-        best = met.groupBy("b").agg(F.max(F.struct("cnt", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        found = similar(best)
+    for turn in range(TURNS):
+        part = lists.where(F.pmod(F.xxhash64("key"), F.lit(PARTS)) == turn)
+        drawn = F.row_number().over(Window.partitionBy("key", "salt").orderBy(F.xxhash64("cid", "key")))
+        part = written(with_root(part, labels).join(bits, "cid").withColumn("place", drawn), "star")
+        hubs = side(part.where(F.col("place") <= HUBS), 1, F.col("salt").alias("salt1"))
+        pairs = hubs.join(side(part, 2, F.col("salt").alias("salt2")), F.expr(f"key1 = key2 AND salt1 = salt2 AND {close}"))
+        found = similar(pairs.select("a", "b").distinct())
         edges = found if edges is None else edges.union(found)
         labels = components(edges)
 
     all_of = Window.partitionBy("key")
     mixed = with_root(lists, labels).select("*", F.min("root").over(all_of).alias("r1"), F.max("root").over(all_of).alias("r2"))
     mixed = written(mixed.where("r1 <> r2").select("key", "cid", "n", "root").join(bits, "cid"), "mixed")
-    longs = [c for c in bits.columns if c != "cid"]
-    one = mixed.select("key", F.col("cid").alias("a"), F.col("n").alias("n1"), F.col("root").alias("root1"), *[F.col(c).alias(f"{c}_1") for c in longs])
-    two = mixed.select("key", F.col("cid").alias("b"), F.col("n").alias("n2"), F.col("root").alias("root2"), *[F.col(c).alias(f"{c}_2") for c in longs])
-    differ = " + ".join(f"bit_count({c}_1 ^ {c}_2)" for c in longs)
-    close = F.expr(f"a < b AND root1 <> root2 AND {fits} AND {100 - percent} * (n1 + n2) >= {100 + percent} * ({differ})")
-    rest = one.withColumnRenamed("key", "k1").join(two, (F.col("k1") == F.col("key")) & close).groupBy("a", "b", "n1", "n2", (F.col("key") < 0).alias("sub"))
-    rest = rest.agg(F.count(F.lit(1)).alias("cnt")).where(could).select("a", "b").distinct()
-    return components(edges.union(similar(rest)))
+    rest = side(mixed, 1).join(side(mixed, 2), F.expr(f"key1 = key2 AND a < b AND {close}"))
+    rest = rest.groupBy("a", "b", "n1", "n2", (F.col("key1") < 0).alias("sub")).agg(F.count(F.lit(1)).alias("cnt")).where(could)
+    return components(edges.union(similar(rest.select("a", "b").distinct())))

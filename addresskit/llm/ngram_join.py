@@ -11,8 +11,8 @@ similar share at least ``a = ceil(0.75 s)`` shingles, so
 
 The boundary is the size up to which enumerating costs fewer rows than scanning, from the counters' measured list length.
 
-Scanning does not pair up a list (see ``linking``). A round of stars tests every member against the one hub that it meets
-most often; what links is one component. After the rounds only pairs of different components that meet in a list remain:
+Scanning does not pair up a list (see ``linking``). A round of stars tests a list's members against a few hubs of
+it; what links is one component. After the rounds only pairs of different components that meet in a list remain:
 those are dropped whose flipped bits, or number of common places, show that the sets cannot reach the threshold, and the
 others are tested. So groups of copies cost one test per member and round, and no link between components is lost.
 
@@ -35,7 +35,6 @@ from .tokens import mix, shingle_sets
 
 PERCENT = 75
 COUNTERS = 1 << 22  # of 4 bytes; counts only order shingles, so their number changes speed, never results
-STAR_ROUNDS = 3
 LONGS = 8  # of 64 bits, in which each shingle of a set flips one
 HOT_LEVEL, SALTS = 8, 16
 _U = np.uint64
@@ -206,7 +205,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     bits = first.where("chunk IS NULL AND cid IS NOT NULL").dropDuplicates(["cid"]).select(
         "cid", *[F.conv(F.hex(F.substring("data", 8 * i + 1, 8)), 16, -10).cast("long").alias(f"b{i}") for i in range(LONGS)])
 
-    labels = link(lists, lambda pairs: similar(docs, pairs, firsts), _could("cnt", "sub"), bits, PERCENT, STAR_ROUNDS)
+    labels = link(lists, lambda pairs: similar(docs, pairs, firsts), _could("cnt", "sub"), bits, PERCENT)
 
     rooted = with_root(info.where("cid IS NOT NULL"), labels)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))

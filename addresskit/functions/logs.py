@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Exact route names kept as they are, per section.
 HEALTH_ROUTES = ["/api/v1/health", "/api/v1/health/detailed", "/api/v1/health/ready", "/api/v1/health/live",
@@ -114,16 +118,33 @@ def mask_key(k: Column) -> Column:
     return F.substring(x, 1, 200)
 
 
+def _redacted(value):
+    if isinstance(value, dict):
+        return {k: REDACTED if k in SENSITIVE_KEYS else _redacted(v) for k, v in value.items()}
+    return [_redacted(v) for v in value] if isinstance(value, list) else value
+
+
+def _redact_body(body: str | None) -> str | None:
+    if body is None:
+        return None
+    try:
+        return json.dumps(_redacted(json.loads(body)), separators=(",", ":"), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return REDACTED
+
+
+@F.pandas_udf(StringType())
+def _redact(bodies: pd.Series) -> pd.Series:
+    return bodies.map(_redact_body)
+
+
 def redact_json(js: Column) -> Column:
-    """The value of a sensitive key at any depth -> marker.
+    """The value of a sensitive key at any depth -> marker, whatever is nested in it.
 
-    A sensitive key's value is replaced whole, also when it is an object or an
-    array (one level of nesting inside it; deeper values stay a known limit).
+    The body is parsed, not matched by pattern: SQL has no function that walks nested JSON of unknown shape.
+    A body that cannot be parsed is replaced whole, so that nothing leaks; null stays null.
     """
-    keys = "|".join(SENSITIVE_KEYS)
-    pattern = (r'"(' + keys + r')"\s*:\s*(\{[^{}]*\}|\[[^\[\]]*\]|"(?:[^"\\]|\\.)*"|-?[0-9.eE+]+'
-               r'|true|false|null)')
-    return F.regexp_replace(js, pattern, '"$1":"' + REDACTED + '"')
+    return _redact(js)
 
 
 def load_level(error_pct: Column, mean_ms: Column, cpu: Column, mem: Column) -> Column:

@@ -7,17 +7,19 @@ Skew-aware formulations:
   values; a hot key costs one row per distinct value, not one per request.
 * sequence windows (moving average of the last N calls, EMA) need a global
   position per key. It is built from (key, time chunk) row numbers plus
-  chunk offsets; the window itself runs over fixed-size blocks of positions
-  with an (N-1)-row halo copied from the previous block, so no task ever
-  holds more than one block of a key.
+  chunk offsets; the moving average then runs over fixed-size blocks of
+  positions with an (N-1)-row halo copied from the previous block, and the
+  EMA over blocks that start from a carried value.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, qs: dict[str, float],
@@ -76,22 +78,43 @@ def moving_average(df: DataFrame, keys: Sequence[str], value: str, n: int, block
     return h.withColumn("moving_avg", F.avg(value).over(w)).filter(~F.col("_halo")).drop("_block", "_halo")
 
 
-def ema(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.2, horizon: int = 200,
-        block: int = 10000) -> DataFrame:
-    """e1 = x1, e = (1-alpha) e + alpha x; terms older than ``horizon`` rows weigh < (1-alpha)^horizon."""
-    a = 1.0 - alpha
-    h = with_halo(df, horizon - 1, block)
-    w = Window.partitionBy(*keys, "_block").orderBy("_g").rowsBetween(-(horizon - 1), 0)
-    h = h.withColumn("_win", F.collect_list(F.struct(F.col("_g").alias("g"), F.col(value).cast("double").alias("x")))
-                     .over(w))
-    g = F.col("_g")
+def ema(df: DataFrame, keys: Sequence[str], value: str, alpha: float = 0.2, seed: float | None = None,
+        block: int = 100_000) -> DataFrame:
+    """e = (1-alpha) e + alpha x over each key's whole history (needs ``_g`` from ``positions``).
 
-    def term(acc, e):
-        weight = F.when(e["g"] == 1, F.pow(F.lit(a), g - 1)).otherwise(F.lit(alpha) * F.pow(F.lit(a), g - e["g"]))
-        return acc + weight * e["x"]
-
-    h = h.withColumn("ema", F.aggregate("_win", F.lit(0.0), term))
-    return h.filter(~F.col("_halo")).drop("_block", "_halo", "_win")
+    Without ``seed`` the first value starts the average, else e starts at ``seed``. A full block maps the average
+    before it to (1-alpha)^block e + add; ``add`` is a plain sum, the averages at the block starts are carried over
+    one row per block, and each block then runs from its own start. Values must not be null.
+    """
+    keys, keep = list(keys), 1.0 - alpha
+    d = df.withColumn("_block", F.floor((F.col("_g") - 1) / block))
+    weight = F.lit(alpha) * F.pow(F.lit(keep), block - 1 - (F.col("_g") - 1) % block)
+    if seed is None:
+        weight = F.when(F.col("_g") == 1, F.pow(F.lit(keep), F.lit(block - 1))).otherwise(weight)
+    adds = d.groupBy(*keys, "_block").agg(F.sum(weight * F.col(value)).alias("_add"))
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        e, starts = seed or 0.0, []
+        for add in pdf["_add"]:
+            starts.append(e)
+            e = keep ** block * e + add
+        return pdf.drop(columns="_add").assign(_start=starts)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_g")
+        x = pdf[value].astype("float64")
+        if seed is None and pdf["_block"].iloc[0] == 0:
+            e = x.ewm(alpha=alpha, adjust=False).mean()
+        else:
+            e = pd.concat([pdf["_start"].iloc[:1], x]).ewm(alpha=alpha, adjust=False).mean().iloc[1:]
+        return pdf.drop(columns=["_block", "_start"]).assign(ema=e.to_numpy())
+
+    key_types = [T.StructField(k, df.schema[k].dataType) for k in keys]
+    starts = adds.groupBy(*keys).applyInPandas(carry, T.StructType(
+        [*key_types, T.StructField("_block", T.LongType()), T.StructField("_start", T.DoubleType())]))
+    return d.join(starts, [*keys, "_block"]).select(*df.columns, "_block", "_start").groupBy(*keys, "_block").applyInPandas(
+        run, T.StructType([*df.schema.fields, T.StructField("ema", T.DoubleType())]))
 
 
 def cumulative_histogram(df: DataFrame, keys: Sequence[str], value: Column, bounds: Sequence[float]) -> DataFrame:

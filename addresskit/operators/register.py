@@ -89,21 +89,19 @@ def load_streets(streets_raw: DataFrame) -> DataFrame:
     )
 
 
-def load_geocodes(geo_raw: DataFrame, order_col: str | None = None) -> DataFrame:
+def load_geocodes(geo_raw: DataFrame, order_col: str) -> DataFrame:
     """Keep rows with pid, latitude and longitude; the later row wins per pid.
 
-    ``order_col`` orders duplicates (file name + line); without one the
-    greatest row wins, so the result never depends on task scheduling. The
-    aggregate has a map-side partial, so duplicates collapse before the shuffle.
+    ``order_col`` holds the delivery order of the rows (a sequence number, or the place in the files that
+    ``read_delimited`` gives). The aggregate has a map-side partial, so duplicates collapse before the shuffle.
     """
     g = geo_raw.select(
         A.blank_to_null(F.col("address_detail_pid")).alias("address_detail_pid"),
         _number(geo_raw, "latitude").alias("latitude"),
         _number(geo_raw, "longitude").alias("longitude"),
         F.coalesce(A.blank_to_null(F.col("geocode_type_code")), F.lit("UNKNOWN")).alias("geocode_type"),
-        *([F.col(order_col).alias("_o")] if order_col else []),
+        F.col(order_col).alias("_order"),
     )
-    g = g.withColumn("_order", F.col("_o") if order_col else F.struct("latitude", "longitude", "geocode_type"))
     g = g.filter(F.col("address_detail_pid").isNotNull() & F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     latest = g.groupBy("address_detail_pid").agg(
         F.max_by(F.struct("latitude", "longitude", "geocode_type"), F.col("_order")).alias("g")

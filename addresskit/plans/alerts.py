@@ -174,24 +174,36 @@ def traffic_vs_yesterday(spark, sf):
 # ------------------------------------------------------------------ W4/ST4, W5, W6, W7
 @query("traffic_anomaly", O_LOG + """, b AS (
   SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket, count(*) AS n, count(*) FILTER (WHERE status_code >= 400) AS errors,
-         count(DISTINCT ip) AS distinct_ips FROM rl GROUP BY 1)
+         count(DISTINCT ip) AS distinct_ips FROM rl GROUP BY 1),
+cal AS (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL 5 MINUTE)) AS bucket),
+f AS (SELECT cal.bucket, coalesce(n, 0) AS n, coalesce(errors, 0) AS errors, coalesce(distinct_ips, 0) AS distinct_ips
+      FROM cal LEFT JOIN b ON b.bucket = cal.bucket)
 SELECT strftime(a.bucket, '%Y-%m-%d %H:%M:%S') AS bucket, a.n, a.errors,
-       round(CAST(a.errors AS DOUBLE) / a.n, 4) AS error_share, a.distinct_ips,
+       CASE WHEN a.n > 0 THEN round(CAST(a.errors AS DOUBLE) / a.n, 4) END AS error_share, a.distinct_ips,
        coalesce(p.n, 0) AS prev_n,
-       coalesce(p.n, 0) > 0 AND a.n > 3 * coalesce(p.n, 0) AS spike,
+       p.n IS NOT NULL AND a.n > 3 * p.n AS spike,
        coalesce(p.n, 0) > 10 AND a.n < 0.3 * coalesce(p.n, 0) AS drop
-FROM b a LEFT JOIN b p ON p.bucket = a.bucket - INTERVAL 5 MINUTE""")
+FROM f a LEFT JOIN f p ON p.bucket = a.bucket - INTERVAL 5 MINUTE""")
 def traffic_anomaly(spark, sf):
     """ST4 + W4: 5-minute buckets, error share, distinct IPs; spike / drop against the previous bucket."""
-    r = derived(spark, sf, "request_log")
+    return anomalies(derived(spark, sf, "request_log"))
+
+
+def anomalies(r):
+    """W4 on the bucket calendar: an empty bucket is a row (n = 0), so traffic that stops is a drop and traffic after
+    it a spike; the first bucket has no predecessor and is neither."""
     b = r.groupBy(F.window("ts", "5 minutes").start.alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_code") >= 400).alias("errors"),
         F.countDistinct("ip").alias("distinct_ips"))
+    span = b.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
+    cal = span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 5 MINUTES"))).alias("bucket"))
+    b = cal.join(b, "bucket", "left").fillna(0, ["n", "errors", "distinct_ips"])
     prev = b.select((F.col("bucket") + F.expr("INTERVAL 5 MINUTES")).alias("bucket"), F.col("n").alias("prev_n"))
-    j = b.join(prev, "bucket", "left").withColumn("prev_n", F.coalesce("prev_n", F.lit(0)))
-    return j.select("bucket", "n", "errors", F.round(F.col("errors") / F.col("n"), 4).alias("error_share"),
-                    "distinct_ips", "prev_n", ((F.col("prev_n") > 0) & (F.col("n") > 3 * F.col("prev_n"))).alias("spike"),
-                    ((F.col("prev_n") > 10) & (F.col("n") < 0.3 * F.col("prev_n"))).alias("drop"))
+    j = b.join(prev, "bucket", "left")
+    spike = F.col("prev_n").isNotNull() & (F.col("n") > 3 * F.col("prev_n"))
+    drop = F.col("prev_n").isNotNull() & (F.col("prev_n") > 10) & (F.col("n") < 0.3 * F.col("prev_n"))
+    return j.select("bucket", "n", "errors", F.round(F.try_divide("errors", "n"), 4).alias("error_share"),
+                    "distinct_ips", F.coalesce("prev_n", F.lit(0)).alias("prev_n"), spike.alias("spike"), drop.alias("drop"))
 
 
 def _counters(spark, sf):
@@ -207,12 +219,16 @@ SELECT metric, strftime(t, '%Y-%m-%d %H:%M:%S') AS t, CAST(increase AS BIGINT) A
        round(CAST(increase AS DOUBLE) / 300, 6) AS rate_5m FROM w""")
 def counter_rate(spark, sf):
     """Counter increase and per-second rate over 5 minutes, with counter resets."""
-    c = _counters(spark, sf)
+    return increases(_counters(spark, sf))
+
+
+def increases(c):
+    """W5 over (metric, minute, value) samples; the sample before is found in the day, else on the last day that has one."""
     w = Window.partitionBy("metric", F.to_date("minute")).orderBy("minute")
     d = c.withColumn("prev", F.lag("value").over(w))
-    # the first sample of a day follows the reset; its predecessor is the last sample of the day before
+    # a day's first sample follows the last one of the latest earlier day with samples: one row per metric and day
     last = c.groupBy("metric", F.to_date("minute").alias("day")).agg(F.max_by("value", "minute").alias("last_v"))
-    last = last.withColumn("day", F.date_add("day", 1))
+    last = last.withColumn("last_v", F.lag("last_v").over(Window.partitionBy("metric").orderBy("day")))
     d = d.withColumn("day", F.to_date("minute")).join(last, ["metric", "day"], "left")
     prev = F.coalesce(F.col("prev"), F.col("last_v"))
     delta = F.when(prev.isNull(), 0).when(F.col("value") < prev, F.col("value")).otherwise(F.col("value") - prev)

@@ -64,7 +64,7 @@ def streets(spark: SparkSession, sf: str) -> DataFrame:
 
 @memo(persist=True)
 def geocodes(spark: SparkSession, sf: str) -> DataFrame:
-    return R.load_geocodes(derived(spark, sf, "geocodes_raw"))
+    return R.load_geocodes(derived(spark, sf, "geocodes_raw"), "load_seq")
 
 
 @memo(persist=True)
@@ -106,6 +106,7 @@ geocodes AS (
   SELECT address_detail_pid, latitude, longitude, coalesce(geocode_type_code, 'UNKNOWN') AS geocode_type
   FROM geocodes_raw
   WHERE address_detail_pid IS NOT NULL AND latitude IS NOT NULL AND longitude IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY address_detail_pid ORDER BY load_seq DESC) = 1
 ),
 addr_join AS (
   SELECT d.*, g.latitude, g.longitude, g.geocode_type, l.locality_name, l.state_code,

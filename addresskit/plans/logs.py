@@ -128,24 +128,18 @@ def mask_key(spark, sf):
     return r.select("request_id", L.mask_key(key).alias("masked"))
 
 
-_BODY_SQL = ("'{\"address\":\"' || path || '\",\"token\":\"t' || CAST(request_id AS VARCHAR) || "
-             "'\",\"auth\":{\"user\":\"u' || CAST(client AS VARCHAR) || '\"},\"options\":{\"password\":\"p' || "
-             "CAST(client AS VARCHAR) || '\",\"limit\":10},\"key\":' || CAST(duration_ms AS VARCHAR) || '}'")
+# the expected text is written out by hand, value by value
+_REDACTED_SQL = ("'{\"address\":\"' || path || '\",\"token\":\"***REDACTED***\",\"auth\":\"***REDACTED***\",'"
+                 " || '\"options\":{\"password\":\"***REDACTED***\",\"limit\":10},\"key\":\"***REDACTED***\"}'")
 
 
-def _redact_sql(x):
-    keys = "|".join(L.SENSITIVE_KEYS)
-    pat = ('"(' + keys + r')"\s*:\s*(\{[^{}]*\}|\[[^\[\]]*\]|"(?:[^"\\]|\\.)*"|-?[0-9.eE+]+|true|false|null)')
-    return f"regexp_replace({x}, '{pat}', '\"\\1\":\"{L.REDACTED}\"', 'g')"
-
-
-@query("redact_json", O_LOG + f"SELECT request_id, {_redact_sql(_BODY_SQL)} AS body FROM rl")
+@query("redact_json", O_LOG + f"SELECT request_id, {_REDACTED_SQL} AS body FROM rl")
 def redact_json(spark, sf):
     """Sensitive keys at any depth replaced by the marker in the request body JSON."""
     r = derived(spark, sf, "request_log")
     body = F.concat(F.lit('{"address":"'), F.col("path"), F.lit('","token":"t'), F.col("request_id").cast("string"),
-                    F.lit('","auth":{"user":"u'), F.col("client").cast("string"),
-                    F.lit('"},"options":{"password":"p'), F.col("client").cast("string"),
+                    F.lit('","auth":{"user":{"id":{"pin":"u'), F.col("client").cast("string"),
+                    F.lit('"}},"scopes":[[1],{"x":"}"}]},"options":{"password":"p'), F.col("client").cast("string"),
                     F.lit('","limit":10},"key":'), F.col("duration_ms").cast("string"), F.lit("}"))
     return r.select("request_id", L.redact_json(body).alias("body"))
 
@@ -436,7 +430,6 @@ def histogram_quantile(spark, sf):
 
 # ------------------------------------------------------------ W2, W3
 MOVING_N = 100
-EMA_HORIZON = 200
 
 
 def _positioned(spark, sf):
@@ -458,16 +451,27 @@ def moving_avg(spark, sf):
     return out.select("request_id", "route", F.round("moving_avg", 4).alias("moving_avg"))
 
 
-@query("ema", O_POS + f""", e AS (
+def _ema_sql(alpha: float, seeded: bool):
+    """Closed form over the whole history; with ``seeded`` the first value enters with its full weight."""
+    first = f"WHEN s.g = 1 THEN pow({1 - alpha}, r.g - 1) " if seeded else ""
+    return f""", e AS (
   SELECT r.request_id, r.route,
-         sum(CASE WHEN s.g = 1 THEN pow(0.8, r.g - 1) ELSE 0.2 * pow(0.8, r.g - s.g) END * s.duration_ms) AS ema
-  FROM pos r JOIN pos s ON s.route = r.route AND s.g BETWEEN r.g - {EMA_HORIZON - 1} AND r.g
-  GROUP BY 1, 2)
-SELECT request_id, route, round(ema, 6) AS ema FROM e""")
+         sum(CASE {first}WHEN true THEN {alpha} * pow({1 - alpha}, r.g - s.g) END * s.duration_ms) AS ema
+  FROM pos r JOIN pos s ON s.route = r.route AND s.g <= r.g GROUP BY 1, 2)
+SELECT request_id, route, round(ema, 6) AS ema FROM e"""
+
+
+@query("ema", O_POS + _ema_sql(0.2, True))
 def ema(spark, sf):
     """Exponential moving average (0.8 old + 0.2 new, seeded with the first value) per route."""
-    p = _positioned(spark, sf)
-    out = M.ema(p, ["route"], "duration_ms", 0.2, EMA_HORIZON)
+    out = M.ema(_positioned(spark, sf), ["route"], "duration_ms", 0.2)
+    return out.select("request_id", "route", F.round("ema", 6).alias("ema"))
+
+
+@query("ema_even", O_POS + _ema_sql(0.5, False))
+def ema_even(spark, sf):
+    """The variant that averages the old mean and the new value evenly, from 0."""
+    out = M.ema(_positioned(spark, sf), ["route"], "duration_ms", 0.5, seed=0.0)
     return out.select("request_id", "route", F.round("ema", 6).alias("ema"))
 
 

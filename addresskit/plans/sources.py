@@ -36,9 +36,9 @@ def _table_paths(cat, table):
     return [r.path for r in FS.table_files(cat, table).select("path").collect()]  # file list only, not data
 
 
-def _read_table(spark, cat, table):
+def _read_table(spark, cat, table, place=None):
     paths = _table_paths(cat, table)
-    return FS.read_delimited(spark, paths, "|")
+    return FS.read_delimited(spark, paths, "|", place)
 
 
 def _lower_cols(df):
@@ -51,10 +51,10 @@ def read_psv(spark, sf):
     cat = _catalog(spark, sf)
     loc = _lower_cols(_read_table(spark, cat, "localities").drop("source_file"))
     st = _lower_cols(_read_table(spark, cat, "streets").drop("source_file"))
-    geo = _lower_cols(_read_table(spark, cat, "geocodes").drop("source_file"))
+    geo = _lower_cols(_read_table(spark, cat, "geocodes", "place").drop("source_file"))
     ad = _lower_cols(_read_table(spark, cat, "addresses").drop("source_file"))
     ad = ad.withColumn("date_created", F.col("date_created").try_cast("date"))
-    return R.load_addresses(ad, R.load_geocodes(geo), R.load_localities(loc), R.load_streets(st),
+    return R.load_addresses(ad, R.load_geocodes(geo, "place"), R.load_localities(loc), R.load_streets(st),
                             as_of_date=AS_OF_DATE)
 
 

@@ -59,4 +59,4 @@ def stream_register(spark, sf):
     out = P.run_dir(spark, "register")
     P.register_refresh_stream(spark, src, schema, C.geocodes(spark, sf), C.localities(spark, sf),
                               C.streets(spark, sf), out, C.AS_OF_DATE).awaitTermination()
-    return spark.read.parquet(f"{out}/snapshot/current")
+    return spark.read.parquet(P.latest_snapshot(spark, out))

@@ -77,8 +77,10 @@ def stage_dataset(spark: SparkSession, sf_dir: str) -> str:
     _write(ad.withColumn("file_name", F.concat(_state_of(key), F.lit("_ADDRESS_DETAIL_psv.psv"))), f"{base}/address_detail")
     geo = derived(spark, sf_dir, "geocodes_raw")
     gkey = F.substring("address_detail_pid", 3, 32).cast("long")
-    _write(geo.withColumn("file_name", F.concat(_state_of(gkey), F.lit("_ADDRESS_DEFAULT_GEOCODE_psv.psv"))),
-           f"{base}/address_default_geocode")
+    geo = geo.withColumn("file_name", F.concat(_state_of(gkey), F.lit("_ADDRESS_DEFAULT_GEOCODE_psv.psv")))
+    # rows of one address lie in one file, in delivery order
+    geo = geo.repartition("file_name", F.pmod(gkey, F.lit(8))).sortWithinPartitions("file_name", "load_seq")
+    _write(geo.drop("load_seq"), f"{base}/address_default_geocode")
     site = geo.filter(gkey % 97 == 1).select("address_detail_pid", "latitude", "longitude").withColumn(
         "file_name", F.lit("VIC_ADDRESS_SITE_GEOCODE_psv.psv"))
     _write(site, f"{base}/address_site_geocode")
@@ -120,8 +122,16 @@ def table_files(cat: DataFrame, table: str) -> DataFrame:
     return match_files(cat, p1, p2, ex).withColumn("table_name", F.lit(table))
 
 
-def read_delimited(spark: SparkSession, paths: list[str], sep: str = "|") -> DataFrame:
-    """S3: header row, trimmed values, empty lines skipped, every column text (no inference)."""
-    return (spark.read.option("header", True).option("sep", sep).option("ignoreLeadingWhiteSpace", True)
-            .option("ignoreTrailingWhiteSpace", True).option("inferSchema", False).csv(paths)
+def read_delimited(spark: SparkSession, paths: list[str], sep: str = "|", place: str | None = None) -> DataFrame:
+    """S3: header row, trimmed values, empty lines skipped, every column text (no inference).
+
+    A file whose header differs from the first one's fails the read: its values would land in wrong columns.
+    ``place`` names a column for each row's place in the delivery (file, block, row).
+    """
+    rows = (spark.read.option("header", True).option("sep", sep).option("ignoreLeadingWhiteSpace", True)
+            .option("ignoreTrailingWhiteSpace", True).option("inferSchema", False).option("enforceSchema", False).csv(paths)
             .withColumn("source_file", F.col("_metadata.file_path")))
+    if place is None:
+        return rows
+    return rows.withColumn(place, F.struct("source_file", F.col("_metadata.file_block_start").alias("block"),
+                                           F.monotonically_increasing_id().alias("row")))

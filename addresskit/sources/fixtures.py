@@ -17,7 +17,6 @@ rounds, Spark's truncates), no decimal literals in arithmetic without a cast.
 from __future__ import annotations
 
 import functools
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,9 +90,15 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
                {_city_case('o_orderkey', 4)}
                    + CAST((o_orderkey * 6007) % 1009 - 504 AS DOUBLE) / 10000 AS longitude,
                CASE o_orderkey % 4 WHEN 0 THEN 'PROPERTY CENTROID' WHEN 1 THEN 'STREET LOCALITY'
-                    WHEN 2 THEN 'LOCALITY' ELSE 'GAP' END AS geocode_type_code
+                    WHEN 2 THEN 'LOCALITY' ELSE 'GAP' END AS geocode_type_code,
+               1 AS load_seq
         FROM {{orders}}
         WHERE o_orderkey % 53 <> 0
+        UNION ALL
+        SELECT 'GA' || CAST(o_orderkey AS STRING) AS address_detail_pid, CAST(-11 AS DOUBLE) AS latitude,
+               CAST(153 AS DOUBLE) AS longitude, 'PROPERTY CENTROID' AS geocode_type_code, 0 AS load_seq
+        FROM {{orders}}
+        WHERE o_orderkey % 41 = 0 AND o_orderkey % 53 <> 0
         """,
         ("orders",),
     ),
@@ -424,13 +429,8 @@ def cte(*names: str) -> str:
 
 
 def raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. A scan with fewer splits than the cluster has cores (a small single-row-group
-    file) is spread round-robin over the default parallelism; large inputs keep their scan splits."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    cores = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        df = df.repartition(cores)
-    return df
+    """A given table."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 _FRAMES: dict[tuple, DataFrame] = {}

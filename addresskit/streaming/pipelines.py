@@ -32,6 +32,14 @@ def run_dir(spark: SparkSession, name: str) -> str:
 
 
 # ------------------------------------------------------------------ ST1 + S21
+def route_logs(batch: DataFrame, epoch: int, out: str) -> None:
+    """A batch into the daily logs, its high and critical events into the alerts. Each epoch owns a folder that
+    it overwrites, so a retried batch replaces its rows."""
+    hot = batch.filter(F.col("alert_priority").isin("high", "critical"))
+    for rows, sink in ((batch, "logs"), (hot, "alerts")):
+        rows.write.mode("overwrite").partitionBy("day").parquet(f"{out}/{sink}/epoch={epoch}")
+
+
 def ingest_logs(spark: SparkSession, source: str, out: str, parse, available_now: bool = True):
     """ST1: text log files -> parsed events; S21: daily log sink plus a copy of high/critical events."""
     lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(source)
@@ -40,9 +48,11 @@ def ingest_logs(spark: SparkSession, source: str, out: str, parse, available_now
     parsed = parsed.withColumn("day", F.to_date("ts"))
 
     def route(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("append").partitionBy("day").parquet(f"{out}/logs")
-        batch.filter(F.col("alert_priority").isin("high", "critical")).write.mode("append") \
-            .partitionBy("day").parquet(f"{out}/alerts")
+        batch.persist()  # both sinks read it
+        try:
+            route_logs(batch, epoch, out)
+        finally:
+            batch.unpersist()
 
     w = parsed.writeStream.foreachBatch(route).option("checkpointLocation", f"{out}/_checkpoint")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
@@ -120,9 +130,25 @@ def alert_dedup_stream(spark: SparkSession, source: str, schema, out: str):
 
 
 # ------------------------------------------------------------------ ST15 register refresh
+def latest_snapshot(spark: SparkSession, out: str, before: int | None = None) -> str | None:
+    """Folder of the newest complete register snapshot (of an epoch below ``before``), or None when there is none.
+
+    A snapshot counts once its writer has committed it (``_SUCCESS``), so readers never see half of one, and a
+    retried epoch starts from the same snapshot as its first try.
+    """
+    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/snapshot/v*/_SUCCESS")
+    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    folders = {int(s.getPath().getParent().getName()[1:]): str(s.getPath().getParent()) for s in found}
+    epochs = [e for e in folders if before is None or e < before]
+    return folders[max(epochs)] if epochs else None
+
+
 def register_refresh_stream(spark: SparkSession, source: str, schema, geocodes: DataFrame, localities: DataFrame,
                             streets: DataFrame, out: str, as_of_date: str):
-    """ST15: new address-detail files -> load transform -> upsert into a new register snapshot per batch."""
+    """ST15: new address-detail files -> load transform -> upsert into a new register snapshot per batch.
+
+    The first batch takes the same upsert, onto an empty register; a snapshot that cannot be read fails the batch.
+    """
     from ..operators import register as R
     from ..operators import upsert as U
 
@@ -133,14 +159,9 @@ def register_refresh_stream(spark: SparkSession, source: str, schema, geocodes:
     def apply(batch: DataFrame, epoch: int) -> None:
         b = batch.withColumn("date_created", F.col("date_created").try_cast("date"))
         rows = R.load_addresses(b, geocodes, localities, streets, as_of_date=as_of_date)
-        snap = f"{out}/snapshot"
-        try:
-            cur = spark.read.parquet(f"{snap}/current")
-            merged = U.upsert(cur, rows, "address_detail_pid", upd)
-        except Exception:  # first batch: no snapshot yet
-            merged = rows
-        merged.write.mode("overwrite").parquet(f"{snap}/v{epoch:06d}")
-        spark.read.parquet(f"{snap}/v{epoch:06d}").write.mode("overwrite").parquet(f"{snap}/current")
+        before = latest_snapshot(spark, out, epoch)
+        cur = rows.where(F.lit(False)) if before is None else spark.read.parquet(before)
+        U.upsert(cur, rows, "address_detail_pid", upd).write.mode("overwrite").parquet(f"{out}/snapshot/v{epoch:09d}")
 
     return (raw.writeStream.foreachBatch(apply).option("checkpointLocation", f"{out}/_checkpoint")
             .trigger(availableNow=True).start())

@@ -95,6 +95,10 @@ def test_masking_and_redaction(spark):
     assert one(spark, L.mask_key(F.lit("user:42:session:ab-12:email:x@y.z"))) == "user:***:session:***:email:***"
     red = one(spark, L.redact_json(F.lit('{"a":1,"password":"x","auth":{"t":2},"n":{"token":"y"}}')))
     assert red == '{"a":1,"password":"***REDACTED***","auth":"***REDACTED***","n":{"token":"***REDACTED***"}}'
+    deep = one(spark, L.redact_json(F.lit('{"auth":{"a":{"b":"s3cr3t"},"c":[1,{"d":"}"}]},"l":[{"jwt":[[1]]},2.5,null]}')))
+    assert deep == '{"auth":"***REDACTED***","l":[{"jwt":"***REDACTED***"},2.5,null]}'
+    assert one(spark, L.redact_json(F.lit('{"password":"x"'))) == L.REDACTED
+    assert one(spark, L.redact_json(F.lit(None).cast("string"))) is None
     assert one(spark, L.is_suspicious(F.lit("q=<script>alert(1)</script>")))
     assert not one(spark, L.is_suspicious(F.lit("q=main street")))
 

@@ -61,7 +61,7 @@ def test_moving_average_and_ema_blocks(spark):
                         "v": rng.integers(1, 100, size=n + 40)})
     df = M.positions(spark.createDataFrame(pdf), ["k"], ["t"], F.floor(F.col("t") / 25))
     ma = {(r.k, r.t): r.moving_avg for r in M.moving_average(df, ["k"], "v", 10, block=16).collect()}
-    em = {(r.k, r.t): r.ema for r in M.ema(df, ["k"], "v", 0.2, horizon=120, block=16).collect()}
+    em = {(r.k, r.t): r.ema for r in M.ema(df, ["k"], "v", 0.2, block=16).collect()}
     for k, g in pdf.groupby("k"):
         v = g.sort_values("t")["v"].to_numpy(dtype=float)
         e = v[0]
@@ -116,3 +116,70 @@ def test_stitch_across_splits(spark, tmp_path):
     got = {r.first_line: r.event_text for r in ev}
     assert len(got) == 400
     assert all(got[k] == "\n".join(v) for k, v in expect.items())
+
+
+def test_ema_is_exact_over_the_whole_history(spark):
+    rng = np.random.default_rng(11)
+    v = rng.integers(1, 100, size=5000).astype(float)
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "_g": np.arange(1, 5001), "v": v}), "k string, _g long, v double")
+    for alpha, seed in ((0.01, None), (0.5, 0.0), (0.01, 7.0)):
+        e, expect = seed, []
+        for x in v:
+            e = x if e is None else (1 - alpha) * e + alpha * x
+            expect.append(e)
+        got = [r.ema for r in M.ema(df, ["k"], "v", alpha, seed, block=64).orderBy("_g").collect()]
+        assert np.allclose(got, expect, rtol=1e-9)
+    flat = df.withColumn("v", F.lit(10.0))
+    assert flat.count() == M.ema(flat, ["k"], "v", 0.01, block=64).where(F.abs(F.col("ema") - 10) < 1e-9).count()
+
+
+def test_traffic_anomaly_sees_empty_buckets(spark):
+    from addresskit.plans.alerts import anomalies
+
+    at = ["2024-01-01 00:00:30"] * 20 + ["2024-01-01 00:11:00"] * 9  # the bucket at 00:05 is empty
+    r = spark.createDataFrame([(t, 200, "1.1.1.1") for t in at], "t string, status_code int, ip string").select(
+        F.to_timestamp_ntz("t").alias("ts"), "status_code", "ip")
+    got = [(x.n, x.prev_n, x.spike, x.drop) for x in anomalies(r).orderBy("bucket").collect()]
+    assert got == [(20, 0, False, False), (0, 20, False, True), (9, 0, True, False)]
+
+
+def test_counter_increase_spans_days_without_samples(spark):
+    from addresskit.plans.alerts import increases
+
+    rows = [("m", "2024-01-01 23:59:00", 100), ("m", "2024-01-04 00:00:00", 150), ("m", "2024-01-09 00:00:00", 30)]
+    c = spark.createDataFrame(rows, "metric string, t string, value long").select(
+        "metric", F.to_timestamp_ntz("t").alias("minute"), "value")
+    got = {str(x.t): x.increase_5m for x in increases(c).collect()}
+    assert got["2024-01-04 00:00:00"] == 50 and got["2024-01-09 00:04:00"] == 30 and got["2024-01-01 23:59:00"] == 0
+
+
+def test_later_geocode_wins(spark):
+    from addresskit.operators import register as R
+
+    rows = [("p", -30.0, 150.0, None, 1), ("p", -35.0, 140.0, "GAP", 2), ("p", None, 140.0, "GAP", 3)]
+    g = spark.createDataFrame(rows, "address_detail_pid string, latitude double, longitude double, geocode_type_code string, n int")
+    r = R.load_geocodes(g, "n").first()
+    assert (r.latitude, r.longitude, r.geocode_type) == (-35.0, 140.0, "GAP")
+
+
+def test_delimited_files_keep_their_order_and_headers(spark, tmp_path):
+    import pytest
+    from addresskit.operators import register as R
+    from addresskit.sources import files as FS
+
+    head = "ADDRESS_DETAIL_PID|LATITUDE|LONGITUDE|GEOCODE_TYPE_CODE"
+    body = [f"p{i % 50}|-{20 + i / 100:.2f}|140|GAP" for i in range(500)]
+    (tmp_path / "a.psv").write_text("\n".join([head, *body[:300]]) + "\n")
+    (tmp_path / "b.psv").write_text("\n".join([head, *body[300:]]) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")
+    try:
+        paths = [str(tmp_path / "a.psv"), str(tmp_path / "b.psv")]
+        g = FS.read_delimited(spark, paths, "|", "place")
+        g = g.select([F.col(c).alias(c.lower()) for c in g.columns])
+        got = {r.address_detail_pid: round(r.latitude, 2) for r in R.load_geocodes(g, "place").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"p{i}": -round(20 + (450 + i) / 100, 2) for i in range(50)}
+    (tmp_path / "c.psv").write_text("LATITUDE|ADDRESS_DETAIL_PID|LONGITUDE|GEOCODE_TYPE_CODE\n-20|p0|140|GAP\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        FS.read_delimited(spark, [*paths, str(tmp_path / "c.psv")], "|").collect()

@@ -70,3 +70,24 @@ def test_stream_register_equals_batch_load(spark):
     s = q["stream_register"](spark, SF_SMALL).select("address_detail_pid", "formatted_address").collect()
     b = q["etl_addresses"](spark, SF_SMALL).select("address_detail_pid", "formatted_address").collect()
     assert sorted(map(tuple, s)) == sorted(map(tuple, b))
+
+
+def test_retried_log_epoch_replaces_its_rows(spark):
+    out = P.run_dir(spark, "retry-test")
+    rows = spark.createDataFrame([("high", "a", "2024-01-01"), ("low", "b", "2024-01-02")], "alert_priority string, x string, day string")
+    for epoch in (0, 0, 1):
+        P.route_logs(rows, epoch, out)
+    assert spark.read.parquet(f"{out}/logs").count() == 4
+    assert spark.read.parquet(f"{out}/alerts").count() == 2
+
+
+def test_latest_snapshot_skips_unfinished_and_later_ones(spark):
+    from pathlib import Path
+
+    out = P.run_dir(spark, "snapshot-test")
+    assert P.latest_snapshot(spark, out) is None
+    for epoch in (0, 1):
+        spark.range(epoch + 1).write.parquet(f"{out}/snapshot/v{epoch:09d}")
+    Path(f"{out.removeprefix('file:')}/snapshot/v000000002").mkdir()
+    assert spark.read.parquet(P.latest_snapshot(spark, out)).count() == 2
+    assert spark.read.parquet(P.latest_snapshot(spark, out, 1)).count() == 1

@@ -51,7 +51,9 @@ def read_psv(spark, sf):
     cat = _catalog(spark, sf)
     loc = _lower_cols(_read_table(spark, cat, "localities").drop("source_file"))
     st = _lower_cols(_read_table(spark, cat, "streets").drop("source_file"))
-    geo = _lower_cols(_read_table(spark, cat, "geocodes", "place").drop("source_file"))
+    # discovery for geocodes is permissive; the load takes each state's default geocodes alone
+    default = cat.filter(F.col("file_name").rlike("^[A-Z]+_ADDRESS_DEFAULT_GEOCODE"))
+    geo = _lower_cols(_read_table(spark, default, "geocodes", "place").drop("source_file"))
     ad = _lower_cols(_read_table(spark, cat, "addresses").drop("source_file"))
     ad = ad.withColumn("date_created", F.col("date_created").try_cast("date"))
     return R.load_addresses(ad, R.load_geocodes(geo, "place"), R.load_localities(loc), R.load_streets(st),

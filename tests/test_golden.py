@@ -122,3 +122,13 @@ def test_request_error_codes(spark):
                                "address string, radius long, max_results long")
     got = [r.e for r in df.select(request_error_code(df).alias("e")).collect()]
     assert got == [r[6] for r in rows]
+
+
+def test_read_psv_equals_the_register_load(spark):
+    import __spark_entry__ as E
+    from conftest import SF_SMALL
+
+    q = E.queries()
+    a, b = q["read_psv"](spark, SF_SMALL), q["etl_addresses"](spark, SF_SMALL)
+    assert set(a.columns) == set(b.columns)
+    assert a.select(b.columns).exceptAll(b).count() == 0 and a.count() == b.count() > 0

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .components import components
+from .components import joined
 
 
 def with_root(df: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -43,20 +43,18 @@ def link(lists: DataFrame, similar: Callable[[DataFrame], DataFrame], could: str
         return df.select(F.col("key").alias(f"key{number}"), F.col("cid").alias("ab"[number - 1]), F.col("n").alias(f"n{number}"),
                          F.col("root").alias(f"root{number}"), *[F.col(c).alias(f"{c}_{number}") for c in longs], *more)
 
-    edges = labels = None
+    labels = None
     for turn in range(TURNS):
         part = lists.where(F.pmod(F.xxhash64("key"), F.lit(PARTS)) == turn)
         drawn = F.row_number().over(Window.partitionBy("key", "salt").orderBy(F.xxhash64("cid", "key")))
         part = written(with_root(part, labels).join(bits, "cid").withColumn("place", drawn), "star")
         hubs = side(part.where(F.col("place") <= HUBS), 1, F.col("salt").alias("salt1"))
         pairs = hubs.join(side(part, 2, F.col("salt").alias("salt2")), F.expr(f"key1 = key2 AND salt1 = salt2 AND {close}"))
-        found = similar(pairs.select("a", "b").distinct())
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+        labels = joined(labels, similar(pairs.select("a", "b").distinct()))
 
     all_of = Window.partitionBy("key")
     mixed = with_root(lists, labels).select("*", F.min("root").over(all_of).alias("r1"), F.max("root").over(all_of).alias("r2"))
     mixed = written(mixed.where("r1 <> r2").select("key", "cid", "n", "root").join(bits, "cid"), "mixed")
     rest = side(mixed, 1).join(side(mixed, 2), F.expr(f"key1 = key2 AND a < b AND {close}"))
     rest = rest.groupBy("a", "b", "n1", "n2", (F.col("key1") < 0).alias("sub")).agg(F.count(F.lit(1)).alias("cnt")).where(could)
-    return components(edges.union(similar(rest.select("a", "b").distinct())))
+    return joined(labels, similar(rest.select("a", "b").distinct()))

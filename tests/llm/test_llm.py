@@ -280,6 +280,21 @@ def test_repeated_passages(spark):
 
 
 # ----------------------------------------------------------------- operator 10
+def test_components_joined_in_parts(spark):
+    from addresskit.llm.components import joined
+
+    rng = random.Random(11)
+    parts = [[(rng.randint(1, 60), rng.randint(1, 60)) for _ in range(n)] for n in (12, 0, 15, 9)] + [[(k, k + 1) for k in range(100, 140)]]
+    labels = None
+    for part in parts:
+        labels = joined(labels, spark.createDataFrame(part, "a long, b long"))
+    root = {x: x for part in parts for e in part if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in (e for part in parts for e in part if e[0] != e[1]):
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.node: r.root for r in labels.collect()} == root
+
+
 def test_components_of_random_near_copies(spark):
     from addresskit.llm.ngram_join import keep_one, ngram_components
 

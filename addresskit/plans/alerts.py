@@ -89,9 +89,9 @@ def _trail_sql(name, minutes):
 
 
 def _islands_sql(src, rule, cond, step_s, hold_s):
-    return f"""SELECT '{rule}' AS rule, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS start,
-       strftime(max(t), '%Y-%m-%d %H:%M:%S') AS last, count(*) AS buckets,
-       strftime(min(t) + INTERVAL {hold_s} SECOND, '%Y-%m-%d %H:%M:%S') AS fires_at
+    return f"""SELECT '{rule}' AS rule, strftime(min(t), '%Y-%m-%d %H:%M:%S.%f') AS start,
+       strftime(max(t), '%Y-%m-%d %H:%M:%S.%f') AS last, count(*) AS buckets,
+       strftime(min(t) + INTERVAL {hold_s} SECOND, '%Y-%m-%d %H:%M:%S.%f') AS fires_at
 FROM (SELECT t, c, sum(g) OVER (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl
       FROM (SELECT t, c, CASE WHEN lag(t) OVER (ORDER BY t) IS NULL
                                OR epoch(t) - epoch(lag(t) OVER (ORDER BY t)) > {step_s}
@@ -178,7 +178,7 @@ def traffic_vs_yesterday(spark, sf):
 cal AS (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL 5 MINUTE)) AS bucket),
 f AS (SELECT cal.bucket, coalesce(n, 0) AS n, coalesce(errors, 0) AS errors, coalesce(distinct_ips, 0) AS distinct_ips
       FROM cal LEFT JOIN b ON b.bucket = cal.bucket)
-SELECT strftime(a.bucket, '%Y-%m-%d %H:%M:%S') AS bucket, a.n, a.errors,
+SELECT strftime(a.bucket, '%Y-%m-%d %H:%M:%S.%f') AS bucket, a.n, a.errors,
        CASE WHEN a.n > 0 THEN round(CAST(a.errors AS DOUBLE) / a.n, 4) END AS error_share, a.distinct_ips,
        coalesce(p.n, 0) AS prev_n,
        p.n IS NOT NULL AND a.n > 3 * p.n AS spike,
@@ -215,7 +215,7 @@ def _counters(spark, sf):
 d2 AS (SELECT *, CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END AS delta FROM d),
 w AS (SELECT metric, minute + k * INTERVAL 1 MINUTE AS t, sum(delta) AS increase
       FROM d2 CROSS JOIN range(0, 5) r(k) GROUP BY 1, 2)
-SELECT metric, strftime(t, '%Y-%m-%d %H:%M:%S') AS t, CAST(increase AS BIGINT) AS increase_5m,
+SELECT metric, strftime(t, '%Y-%m-%d %H:%M:%S.%f') AS t, CAST(increase AS BIGINT) AS increase_5m,
        round(CAST(increase AS DOUBLE) / 300, 6) AS rate_5m FROM w""")
 def counter_rate(spark, sf):
     """Counter increase and per-second rate over 5 minutes, with counter resets."""
@@ -240,7 +240,7 @@ def increases(c):
                     F.round(F.col("increase_5m") / 300.0, 6).alias("rate_5m"))
 
 
-@query("counter_growth", cte("counters") + """SELECT a.metric, strftime(a.minute, '%Y-%m-%d %H:%M:%S') AS minute, a.value,
+@query("counter_growth", cte("counters") + """SELECT a.metric, strftime(a.minute, '%Y-%m-%d %H:%M:%S.%f') AS minute, a.value,
   CAST(b.value AS DOUBLE) AS value_5m_ago, b.value IS NOT NULL AND a.value > b.value AS grew
 FROM counters a LEFT JOIN counters b ON b.metric = a.metric AND b.minute = a.minute - INTERVAL 5 MINUTE""")
 def counter_growth(spark, sf):
@@ -290,7 +290,7 @@ def _top_sql(src, item, k=10):
 @query("error_burst", O_LOG + f""", s AS ({_sliding_sql('status_code >= 400', 300, 60)}),
 c AS (SELECT wstart, count(*) AS n_errors FROM s GROUP BY 1 HAVING count(*) > 5),
 t AS ({_top_sql('s', 'path')})
-SELECT strftime(c.wstart, '%Y-%m-%d %H:%M:%S') AS window_start, c.n_errors, t.top_paths
+SELECT strftime(c.wstart, '%Y-%m-%d %H:%M:%S.%f') AS window_start, c.n_errors, t.top_paths
 FROM c JOIN t ON t.wstart = c.wstart""")
 def error_burst(spark, sf):
     """ST2: every minute over the last 5: more than 5 errors, with the top 10 error paths."""
@@ -302,7 +302,7 @@ def error_burst(spark, sf):
 
 
 @query("slow_query_pattern", O_LOG + f""", s AS ({_sliding_sql('duration_ms >= 1000', 600, 120)})
-SELECT strftime(wstart, '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n_slow, round(avg(duration_ms), 4) AS avg_ms,
+SELECT strftime(wstart, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS n_slow, round(avg(duration_ms), 4) AS avg_ms,
        max(duration_ms) AS max_ms FROM s GROUP BY wstart HAVING count(*) > 3""")
 def slow_query_pattern(spark, sf):
     """ST3: every 2 minutes over the last 10: more than 3 requests of >= 1000 ms; mean and max."""
@@ -319,7 +319,7 @@ _SUSP_WHERE = " OR ".join(f"regexp_matches(query_text, '{p}', 'i')" for p in L.S
 @query("security_events", O_LOG + f""", s AS ({_sliding_sql(_SUSP_WHERE, 120, 30)}),
 c AS (SELECT wstart, count(*) AS n_events FROM s GROUP BY 1),
 t AS ({_top_sql('s', 'ip')})
-SELECT strftime(c.wstart, '%Y-%m-%d %H:%M:%S') AS window_start, c.n_events, t.top_ips
+SELECT strftime(c.wstart, '%Y-%m-%d %H:%M:%S.%f') AS window_start, c.n_events, t.top_ips
 FROM c JOIN t ON t.wstart = c.wstart""")
 def security_events(spark, sf):
     """ST5: every 30 s over the last 2 minutes: any suspicious request, with the top source IPs."""
@@ -365,7 +365,7 @@ a AS (
   SELECT ws, 'throughput', CASE WHEN thr < 10 THEN 'warning' END, 10, thr FROM s
   UNION ALL
   SELECT ws, 'cache', CASE WHEN cache < 0.7 THEN 'warning' END, 0.7, round(cache, 4) FROM s)
-SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, alert_type, severity, CAST(threshold AS DOUBLE) AS threshold,
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start, alert_type, severity, CAST(threshold AS DOUBLE) AS threshold,
        value FROM a WHERE severity IS NOT NULL""")
 def threshold_alerts(spark, sf):
     """ST6: per 5-minute window, tiered alerts on p95, error %, throughput and cache-hit ratio."""
@@ -394,7 +394,7 @@ def threshold_alerts(spark, sf):
 @query("load_level", O_LOG + """, w AS (SELECT time_bucket(INTERVAL 10 SECOND, ts) AS ws, count(*) AS n,
   CAST(count(*) FILTER (WHERE status_code >= 400) AS DOUBLE) / count(*) * 100 AS error_pct,
   avg(duration_ms) AS mean_ms FROM rl GROUP BY 1)
-SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, n, round(error_pct, 4) AS error_pct, round(mean_ms, 4) AS mean_ms,
+SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start, n, round(error_pct, 4) AS error_pct, round(mean_ms, 4) AS mean_ms,
   CASE WHEN error_pct >= 20 OR mean_ms >= 5000 THEN 'emergency' WHEN error_pct >= 10 OR mean_ms >= 2000 THEN 'minimal'
        WHEN error_pct >= 5 OR mean_ms >= 1000 THEN 'reduced' ELSE 'normal' END AS level
 FROM w""")

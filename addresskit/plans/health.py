@@ -235,9 +235,9 @@ def recent_alerts(spark, sf):
 
 # the oracle reuses the threshold-alert SQL with the 24 h filter
 ORACLES["recent_alerts"] = ORACLES["threshold_alerts"].replace(
-    "SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, alert_type, severity, CAST(threshold AS DOUBLE) AS threshold,\n"
+    "SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start, alert_type, severity, CAST(threshold AS DOUBLE) AS threshold,\n"
     "       value FROM a WHERE severity IS NOT NULL",
-    "SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, alert_type, severity, CAST(threshold AS DOUBLE) AS threshold,\n"
+    "SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start, alert_type, severity, CAST(threshold AS DOUBLE) AS threshold,\n"
     f"       value, false AS resolved FROM a WHERE severity IS NOT NULL AND ws >= TIMESTAMP '{LOG_AS_OF}' - INTERVAL 24 HOUR\n"
     f"       AND ws < TIMESTAMP '{LOG_AS_OF}' ORDER BY ws DESC, alert_type LIMIT {ALERT_HISTORY}")
 _ = O_LOG

@@ -95,7 +95,7 @@ def request_priority(spark, sf):
 _SUSP_SQL = " OR ".join(f"regexp_matches(query_text, '{p}', 'i')" for p in L.SUSPICIOUS_PATTERNS)
 
 
-@query("suspicious_requests", O_LOG + f"SELECT request_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, ip, query_text "
+@query("suspicious_requests", O_LOG + f"SELECT request_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, ip, query_text "
        f"FROM rl WHERE {_SUSP_SQL}")
 def suspicious_requests(spark, sf):
     """requests whose query text matches a suspicious pattern (security events)."""
@@ -214,7 +214,7 @@ def _stats(df, keys, period_s):
 @query("request_stats", O_LOG + f""", h AS (SELECT date_trunc('hour', ts) AS period_start, duration_ms, status_code,
   cache_hit, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY duration_ms) AS rn,
   count(*) OVER (PARTITION BY date_trunc('hour', ts)) AS n FROM rl)
-SELECT strftime(period_start, '%Y-%m-%d %H:%M:%S') AS period_start, count(*) AS requests,
+SELECT strftime(period_start, '%Y-%m-%d %H:%M:%S.%f') AS period_start, count(*) AS requests,
   CAST(floor(avg(duration_ms) + 0.5) AS BIGINT) AS avg_ms,
   {_pct_sql('count(*) FILTER (WHERE status_code >= 400) / count(*)')} AS error_rate,
   {_r2('CAST(count(*) AS DOUBLE) / 3600')} AS throughput,
@@ -533,7 +533,7 @@ def _lines(spark, sf):
     return parse_log_lines(derived(spark, sf, "log_lines"))
 
 
-@query("log_categories", O_LINES + """SELECT file, line_no, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, level,
+@query("log_categories", O_LINES + """SELECT file, line_no, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, level,
   correlation_id, ip, CAST(duration AS BIGINT) AS duration, log_category, alert_priority, log_type, error_name FROM parsed""")
 def log_categories(spark, sf):
     """X25 + X26 + X27: parsed log events with category, priority and type."""

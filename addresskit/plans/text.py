@@ -10,7 +10,8 @@ from ..sources.fixtures import derived
 from . import common as C
 from .registry import query
 
-SEARCH_LIMIT = 10
+# request limits and match scores (fixed values of the service contract)
+SEARCH_LIMIT, SEARCH_MAX = 10, 50
 SUGGESTION_LIMIT = 5
 VALID_MATCH = 80
 HIGH_CONFIDENCE = 90
@@ -131,9 +132,10 @@ def _matches(spark, sf, terms, prefix=False, doc_filter=None, req_ids=None):
 
 @query("search_addresses")
 def search_addresses(spark, sf):
-    """F9 + F11 + J4 + T1: all-terms match, optional state/postcode filters, bonus/relevance/confidence top 10."""
+    """F9 + F11 + J4 + T1: all-terms match, optional state/postcode filters, bonus/relevance/confidence, the request's limit (10, at most 50)."""
     r = requests(spark, sf).select(
-        "request_id", T.street_number(F.col("address_text")).alias("num"), "state_filter", "postcode_filter")
+        "request_id", T.street_number(F.col("address_text")).alias("num"), "state_filter", "postcode_filter",
+        F.least(F.coalesce("max_results", F.lit(SEARCH_LIMIT)), F.lit(SEARCH_MAX)).alias("k"))
     m = _matches(spark, sf, T.query_terms(F.col("address_text")))
     b = search_base(spark, sf).select("gnaf_pid", "number_first", "display", "confidence_score", "l_state_code",
                                       "l_postcode")
@@ -142,7 +144,7 @@ def search_addresses(spark, sf):
                  & (F.col("postcode_filter").isNull() | (F.col("postcode_filter") == F.col("l_postcode"))))
     j = j.withColumn("bonus", F.when(F.col("number_first") == F.col("num"), 100).otherwise(0))
     top = S.top_k(j, "request_id", [F.desc("bonus"), F.desc("relevance"), F.desc("confidence_score"),
-                                    F.col("gnaf_pid")], SEARCH_LIMIT)
+                                    F.col("gnaf_pid")], SEARCH_MAX, F.col("k"))
     return top.select("request_id", "gnaf_pid", F.col("display").alias("formatted_address"), "confidence_score",
                       "relevance", "bonus", F.col("rank").cast("long").alias("rank"))
 
@@ -434,7 +436,8 @@ ORACLES["search_postings"] = O_TXT + "SELECT gnaf_pid, token, weight FROM post"
 ORACLES["search_addresses"] = O_TXT + _match_sql("m", _qterms_sql("address_text")) + f""",
 j AS (
   SELECT m.request_id, b.gnaf_pid, b.display, b.confidence_score, m.relevance,
-         CASE WHEN b.number_first = {_NUM.format(x='r.address_text')} THEN 100 ELSE 0 END AS bonus
+         CASE WHEN b.number_first = {_NUM.format(x='r.address_text')} THEN 100 ELSE 0 END AS bonus,
+         least(coalesce(r.max_results, {SEARCH_LIMIT}), {SEARCH_MAX}) AS lim
   FROM m JOIN rq r ON r.request_id = m.request_id JOIN sbase b ON b.gnaf_pid = m.gnaf_pid
   WHERE (r.state_filter IS NULL OR upper(r.state_filter) = b.l_state_code)
     AND (r.postcode_filter IS NULL OR r.postcode_filter = b.l_postcode)
@@ -443,7 +446,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY request_id
                                    ORDER BY bonus DESC, relevance DESC, confidence_score DESC, gnaf_pid) AS rk FROM j)
 SELECT request_id, gnaf_pid, display AS formatted_address, confidence_score, relevance, CAST(bonus AS BIGINT) AS bonus,
        CAST(rk AS BIGINT) AS rank
-FROM k WHERE rk <= {SEARCH_LIMIT}"""
+FROM k WHERE rk <= lim"""
 
 _EXACT = """,
 ex AS (

@@ -285,6 +285,7 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
                               ELSE num || ' ' || coalesce(split_part(street_name, ' ', 1), 'MAIN') || ' ' || coalesce(street_type, 'ST')
                                    || ' ' || locality END END AS address_text,
                CASE WHEN request_id % 7 = 0 THEN 'vic' END AS state_filter,
+               CASE request_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 50 WHEN 3 THEN 500 WHEN 4 THEN 3 END AS max_results,
                CAST(NULL AS STRING) AS postcode_filter
         FROM base
         """,

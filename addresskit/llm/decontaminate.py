@@ -5,10 +5,9 @@ Every item of the benchmark is looked for in every document through windows of t
 1. Placement. A window can only be similar to an item if they share a five-word shingle, so windows are placed where a
    document holds a shingle of the benchmark, aligned with that shingle's place in an item. A fixed-size blocked Bloom
    filter finds these places inside each row; an exact join on the shingle hash removes its false positives.
-2. Candidates. Windows and items get 240-bit SimHash fingerprints of their words. Fingerprints are cut into 20 blocks of
-   12 bits; items list every value within one bit of each block. Two fingerprints at most RADIUS = 39 bits apart have a
-   block at most one bit apart, so the join on (item size, block, value) finds all of them; whatever is farther apart is
-   dropped. (One changed word of 15 moves about 22 bits, with a standard deviation of 4.)
+2. Candidates. Two bags of a and b shingles with a Jaccard similarity of t share at least t / (1 + t) * (a + b), so a window
+   with fewer places that the filter let through is no candidate. An item's similar windows hold one of its rarest
+   a - ceil(t * a) + 1 shingles (rare in the benchmark); windows and items are joined on those. Nothing similar is lost.
 3. Verification. Exact Jaccard similarity of the two bags of shingles, each shingle weighted by how often it occurs.
 
 Edge cases: words are runs of other than ASCII white space, lower-cased; an item or text of fewer than five words
@@ -19,15 +18,13 @@ doc_id and text are one; empty tables give an empty result; the documents' other
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bloom_filter, filter_words, maybe_listed, written
 
 SHINGLE = 5
 THRESHOLD = 0.75
-BLOCKS, BLOCK_BITS = 20, 12
-RADIUS = 2 * BLOCKS - 1
 
 
 def word_hashes(text: Column) -> Column:
@@ -47,20 +44,14 @@ def bag(ordered: str) -> Column:
     return F.expr(f"transform({ordered}, (s, i) -> xxhash64(s, i - array_position({ordered}, s)))")
 
 
-def simhash(words: str) -> Column:
-    """SimHash of words as BLOCKS numbers of BLOCK_BITS bits; a bit is set where most words' hashes have it set."""
-    votes = f"aggregate(transform({words}, w -> xxhash64(w, k)), 0, (s, w) -> s + 2 * cast(getbit(w, b) as int) - 1)"
-    value = f"aggregate(sequence(0, {BLOCK_BITS - 1}), 0, (v, b) -> v + if({votes} > 0, shiftleft(1, b), 0))"
-    return F.expr(f"transform(sequence(0, {BLOCKS - 1}), k -> {value})")
-
-
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, text_hash, item_id, start_word, n_words, similarity) of the best window of every document and item it leaks.
 
     ``docs`` needs doc_id and text, ``items`` item_id and text.
     """
     it = items.select("item_id", word_hashes(F.col("text")).alias("words")).select("*", shingles("words").alias("sh")).where("size(sh) > 0")
-    it = written(it.select("item_id", "words", "sh", F.size("words").alias("n"), simhash("words").alias("print")), "items")
+    it = it.select("item_id", "sh", F.size("words").alias("n"), F.array_sort("sh").alias("ordered"))
+    it = written(it.select("item_id", "sh", "n", bag("ordered").alias("a")), "items")
     places = it.select("n", F.posexplode("sh").alias("offset", "h")).distinct()
     blocks = filter_words(places.count(), 128)
     bloom = bloom_filter(places, "h", blocks).scalar()
@@ -77,30 +68,30 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     found = found.where("words IS NOT NULL")
 
     key = ["doc_id", "text_hash"]
-    hits = found.select(*key, F.size("words").alias("size"), F.explode("hits").alias("hit")).select(*key, "size", "hit.at", "hit.h")
+    hits = found.select(*key, F.size("words").alias("size"), F.posexplode("hits").alias("nth", "hit")).select(*key, "size", "nth", "hit.at", "hit.h")
     placed = hits.join(places, "h").select(
-        *key, F.col("n").alias("item_n"), F.least("n", "size").alias("n"),
+        *key, "nth", F.col("n").alias("item_n"), F.least("n", "size").alias("n"),
         F.greatest(F.lit(0), F.least(F.col("at") - F.col("offset"), F.col("size") - F.col("n"))).alias("start"),
-    ).distinct()
-    texts = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "words").dropDuplicates(["_d", "_t"])
-    windows = placed.join(texts, (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d"))).select(
-        "doc_id", "text_hash", "item_n", "n", "start", F.expr("slice(words, start + 1, n)").alias("words"))
-    windows = windows.select("*", simhash("words").alias("print"))
-    windows = written(windows.select("doc_id", "text_hash", "item_n", "n", "start", "words", "print"), "windows")
-
-    near = F.expr(f"concat(array(value), transform(sequence(0, {BLOCK_BITS - 1}), b -> value ^ shiftleft(1, b)))")
-    listed = (it.select("item_id", "n", F.posexplode("print").alias("block", "value")).select("item_id", F.col("n").alias("item_n"), "block", F.explode(near).alias("value")))
-    asked = windows.select("doc_id", "text_hash", "item_n", "n", "start", F.posexplode("print").alias("block", "value"))
-    pairs = (asked.join(listed, ["item_n", "block", "value"])
-             .select("doc_id", "text_hash", "item_n", "start", "n", "item_id").distinct())
-    w = windows.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("item_n").alias("_n"), F.col("start").alias("_s"),
-                       F.col("words").alias("w_words"), F.col("print").alias("w_print"))
+    ).groupBy(*key, "item_n", "n", "start").agg(F.min("nth").alias("nth"))
+    texts = found.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "words", F.expr("hits.at").alias("ats")).dropDuplicates(["_d", "_t"])
+    windows = placed.join(texts, (F.col("text_hash") == F.col("_t")) & F.col("doc_id").eqNullSafe(F.col("_d")))
+    # The window's own places are among the n before and after the one that placed it.
+    inside = F.expr("size(filter(slice(ats, greatest(nth - n, 0) + 1, 2 * n + 1), x -> x >= start AND x < start + n))")
+    need = F.ceil((F.col("item_n") + F.col("n") - 2 * (SHINGLE - 1)) * (threshold / (1 + threshold)) - 1e-6)
+    windows = windows.where(inside >= need).select(*key, "item_n", "n", "start", F.expr("slice(words, start + 1, n)").alias("words"))
+    windows = windows.select(*key, "item_n", "n", "start", F.array_sort(shingles("words")).alias("ordered"))
+    windows = written(windows.select(*key, "item_n", "n", "start", bag("ordered").alias("b")), "windows")
+
+    of_item = it.select("item_id", F.col("n").alias("item_n"), F.xxhash64("a").alias("item"), F.size("a").alias("size"), F.explode("a").alias("e"))
+    common = of_item.groupBy("e").agg(F.count(F.lit(1)).alias("items"))
+    rank = F.row_number().over(Window.partitionBy("item_id", "item").orderBy("items", "e"))
+    keep = F.col("size") - F.ceil(F.col("size") * threshold - 1e-6) + 1
+    rare = of_item.distinct().join(common, "e").withColumn("rank", rank).where(F.col("rank") <= keep).select("item_id", "item_n", "e")
+    asked = windows.select(*key, "item_n", "n", "start", F.explode("b").alias("e"))
+    pairs = asked.join(rare, ["item_n", "e"]).select(*key, "item_n", "start", "n", "item_id").distinct()
+    w = windows.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("item_n").alias("_n"), F.col("start").alias("_s"), "b")
     pairs = pairs.join(w, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("text_hash") == F.col("_t")) & (F.col("start") == F.col("_s")) & (F.col("item_n") == F.col("_n")))
-    pairs = pairs.join(it.select("item_id", F.col("sh").alias("i_sh"), F.col("print").alias("i_print")), "item_id")
-    apart = F.expr("aggregate(zip_with(w_print, i_print, (a, b) -> bit_count(a ^ b)), 0, (s, x) -> s + x)")
-    pairs = pairs.where(apart <= RADIUS).select("doc_id", "text_hash", "item_id", "start", "n", "i_sh", shingles("w_words").alias("w_sh"))
-    pairs = pairs.select("doc_id", "text_hash", "item_id", "start", "n", F.array_sort("i_sh").alias("a"), F.array_sort("w_sh").alias("b"))
-    pairs = pairs.select("doc_id", "text_hash", "item_id", "start", "n", bag("a").alias("a"), bag("b").alias("b"))
+    pairs = pairs.join(it.select("item_id", "a"), "item_id")
     both = F.size(F.array_intersect("a", "b"))
     pairs = pairs.withColumn("similarity", both / (F.size("a") + F.size("b") - both))
     best = F.max_by(F.struct("start", "n"), F.struct(F.col("similarity"), -F.col("start")))

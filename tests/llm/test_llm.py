@@ -76,6 +76,32 @@ def test_leaks_equal_brute_force(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_leaks_keep_every_window_near_the_threshold(spark):
+    """Items with their first or last words replaced (by other words, or by one word again and again)."""
+    from addresskit.llm.decontaminate import leaks
+
+    rng = random.Random(15)
+    items, docs, want = [], [], {}
+    bag = lambda w: collections.Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+    for k in range(120):
+        n = (30, 60, 60, 200)[k % 4]
+        item, other = sentence(rng, n).split(), sentence(rng, n).split()
+        j = n // 7 - k % 2
+        if k % 5 == 0:
+            other = ["again"] * n
+        text = item[:n - j] + other[:j] if k % 3 else other[:j] + item[j:]
+        a, b = bag(item), bag(text)
+        similarity = sum((a & b).values()) / sum((a | b).values())
+        items.append(" ".join(item))
+        docs.append(" ".join(text))
+        if similarity >= 0.75:
+            want[k, k] = similarity
+    it = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in leaks(frame(spark, docs).select("doc_id", "text"), it).collect()}
+    assert len(want) > 80 and sorted(want.values())[len(want) // 2] < 0.82
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 # ------------------------------------------------------------------ operator 2
 def test_scores_of_every_document(spark, small):
     from addresskit.llm.pitman_yor import op2_lm_scoring

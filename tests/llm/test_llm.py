@@ -305,6 +305,20 @@ def test_repeated_passages(spark):
     assert {1, 2, 6} == set(got) and got[1] == 0 and got[2] >= 40 and got[6] >= 20
 
 
+def test_near_copies_of_long_lines(spark):
+    from addresskit.llm.substring_dedup import repeats
+
+    rng = random.Random(19)
+    docs = []
+    for k in range(100):
+        line = sentence(rng, 41 + k % 20).split()
+        at = rng.randrange(len(line))
+        docs += [" ".join(line), " ".join(line[:at] + ["changed"] + line[at + 1:])]
+    got = {(r.doc_id, r.start_word, r.n_words, r.removed_words) for r in repeats(frame(spark, docs)).collect()}
+    whole = {(d, 0, len(t.split()), len(t.split()) if d % 2 else 0) for d, t in enumerate(docs)}
+    assert len(got & whole) >= 0.95 * len(docs)
+
+
 # ----------------------------------------------------------------- operator 10
 def test_components_joined_in_parts(spark):
     from addresskit.llm.components import joined

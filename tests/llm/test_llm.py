@@ -319,6 +319,17 @@ def test_near_copies_of_long_lines(spark):
     assert len(got & whole) >= 0.95 * len(docs)
 
 
+def test_short_lines_continue_passages(spark):
+    from addresskit.llm.substring_dedup import repeats
+
+    rng = random.Random(29)
+    mixed = "\n".join(sentence(rng, n) for n in (15, 5, 15, 5, 15))
+    verse = "\n".join(sentence(rng, n) for n in (6, 4, 7, 5, 6))
+    docs = [sentence(rng, 30) + "\n" + t + "\n" + sentence(rng, 30) for t in (mixed, verse, mixed, verse)] + [sentence(rng, 3)] * 2
+    got = {(r.doc_id, r.start_word, r.n_words, r.n_paragraphs, r.removed_words) for r in repeats(frame(spark, docs)).collect()}
+    assert got == {(0, 30, 55, 5, 0), (2, 30, 55, 5, 55), (1, 30, 28, 5, 0), (3, 30, 28, 5, 28)}
+
+
 # ----------------------------------------------------------------- operator 10
 def test_components_joined_in_parts(spark):
     from addresskit.llm.components import joined

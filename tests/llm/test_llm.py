@@ -330,6 +330,26 @@ def test_short_lines_continue_passages(spark):
     assert got == {(0, 30, 55, 5, 0), (2, 30, 55, 5, 55), (1, 30, 28, 5, 0), (3, 30, 28, 5, 28)}
 
 
+def test_passages_inside_longer_lines(spark):
+    from addresskit.llm.substring_dedup import repeats
+
+    rng = random.Random(39)
+    docs, want = [], {}
+    for k in range(100):
+        passage = sentence(rng, 51 + k % 10)
+        for side in "ab":
+            before = rng.randint(60, 90)
+            want[len(docs)] = (before, 51 + k % 10)
+            docs.append(" ".join([f"{side}{k}x{i}" for i in range(before)] + [passage] + [f"{side}{k}y{i}" for i in range(90)]))
+    got = collections.defaultdict(list)
+    for r in repeats(frame(spark, docs)).collect():
+        got[r.doc_id].append((r.start_word, r.n_words, r.removed_words))
+    assert set(got) == set(want)
+    for d, (start, n) in want.items():
+        (at, size, removed), = got[d]
+        assert start - 8 <= at <= start and start + n <= at + size <= start + n + 8 and removed == (size if d % 2 else 0)
+
+
 # ----------------------------------------------------------------- operator 10
 def test_components_joined_in_parts(spark):
     from addresskit.llm.components import joined

@@ -15,6 +15,7 @@ columns of the documents are not read, join them by doc_id.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
 
@@ -40,52 +41,53 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 # ------------------------------------------------------------------ token ids
 AT_ONCE = 1 << 20
-CACHE_WORDS = 200_000
-# A byte-level vocabulary never merges over a space between two other than white-space characters.
-SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
+# Fixed value: how the vocabulary cuts a text into words before it merges bytes.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")  # tokens never reach over a space between two visible characters
+LONG_SPACE = re.compile(r"\s{1000}")
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary file stands for."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in plain]
+    return {**{chr(b): b for b in plain}, **{chr(256 + i): b for i, b in enumerate(other)}}
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, by a byte-level vocabulary.
+    """Token ids of texts as little-endian 32-bit bytes, by a byte-level vocabulary file of the tokenizers library.
 
-    A text falls apart at single spaces, where its tokens do too, so that a word met before is looked up; new words are
-    encoded together, and the tokens that start with a space say where each begins. At most CACHE_WORDS are kept.
+    The file's own merges are run by a faster implementation, which gives the same ids (tests compare them over every code
+    point); it cannot take endless white space, so a text with such a run goes to the tokenizers library itself.
     """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.spaced = np.zeros(self.tok.get_vocab_size(), bool)
-        for token, i in self.tok.get_vocab().items():
-            self.spaced[i] = token.startswith("Ġ")
-        self.known: dict[str, bytes] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        for lo in range(0, len(words), 4096):
-            part = words[lo:lo + 4096]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.spaced[ids])
-            if len(cuts) != len(part):
-                self.known.update(zip(part, self._plain([" " + w for w in part])))
-                continue
-            data, ends = ids.tobytes(), np.append(cuts[1:], len(ids)).tolist()
-            self.known.update(zip(part, [data[4 * a:4 * b] for a, b in zip(cuts.tolist(), ends)]))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [SAFE_CUT.split(t) for t in texts]
-        first = self._plain([s[0] for s in split])
-        last = self._plain([" " + s[-1] if len(s) > 1 else "" for s in split])  # its end may be white space
-        words = {w for s in split for w in s[1:-1]}
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = {}
-        self._learn(list(words.difference(self.known)))
-        find = self.known.__getitem__
-        return [a + b"".join(map(find, s[1:-1])) + b for a, s, b in zip(first, split, last)]
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        byte_of, vocab = _byte_of(), model["vocab"]
+        merged = [vocab[m.replace(" ", "") if isinstance(m, str) else "".join(m)] for m in model["merges"]]
+        if any(x >= y for x, y in zip(merged, merged[1:])):
+            raise ValueError("the vocabulary's ids are not in the order of its merges")
+        special = {t.content for t in self.tok.get_added_tokens_decoder().values()}
+        ranks = {bytes(map(byte_of.__getitem__, t)): i for t, i in vocab.items() if t not in special}
+        self.merges = tiktoken.Encoding("merges", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def plain(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def encode(self, text: str) -> bytes:
+        out, at = [], 0
+        while at < len(text) or not out:
+            cut = SAFE_CUT.search(text, at + AT_ONCE)
+            part = text[at:cut.start()] if cut else text[at:]
+            at += max(1, len(part))
+            out.append(self.plain(part) if LONG_SPACE.search(part) else np.array(self.merges.encode_ordinary(part), "<u4").tobytes())
+        return b"".join(out)
 
 
 @lru_cache(1)
@@ -93,18 +95,6 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _portions(texts: list):
-    """Index ranges of consecutive texts of about AT_ONCE characters, at least one text each."""
-    lo, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > lo and size + len(t) > AT_ONCE:
-            yield lo, i
-            lo, size = i, 0
-        size += len(t)
-    if texts:
-        yield lo, len(texts)
-
-
 def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenizer: str = TOKENIZER) -> DataFrame:
     """The documents' ids and the end id, cut into full windows and what is left: a row per piece, with its group."""
     size = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 0
@@ -117,20 +107,18 @@ def pieces(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, tokenize
     def cut(batches):
         enc = _encoder(tokenizer_path(tokenizer))
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                part = b.slice(lo, 512)
-                texts = part.column("text").to_pylist()
-                for i, j in _portions(texts):
-                    ids = [x + end for x in enc.encode(texts[i:j])]
-                    n = np.array([len(x) // 4 for x in ids], np.int64)
-                    of = np.repeat(np.arange(j - i), -(-n // window))
-                    start = (np.arange(len(of)) - np.searchsorted(of, of)) * window
-                    length = np.minimum(n[of] - start, window)
-                    data = [ids[k][4 * a:4 * (a + m)] for k, a, m in zip(of.tolist(), start.tolist(), length.tolist())]
-                    at = pa.array(of + i)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("row").take(at), part.column("doc_id").take(at), pa.array(n[of]), pa.array(start),
-                         pa.array(length), pa.array(data, pa.binary()), part.column("group").take(at)], names)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                ids = [enc.encode(t.as_py()) + end for t in part.column("text")]
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                of = np.repeat(np.arange(len(ids)), -(-n // window))
+                start = (np.arange(len(of)) - np.searchsorted(of, of)) * window
+                length = np.minimum(n[of] - start, window)
+                data = [ids[k][4 * a:4 * (a + m)] for k, a, m in zip(of.tolist(), start.tolist(), length.tolist())]
+                at = pa.array(of)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("row").take(at), part.column("doc_id").take(at), pa.array(n[of]), pa.array(start),
+                     pa.array(length), pa.array(data, pa.binary()), part.column("group").take(at)], names)
 
     return rows.mapInArrow(cut, PIECES.format(id=dict(docs.dtypes)["doc_id"]))
 

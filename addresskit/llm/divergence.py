@@ -2,8 +2,8 @@
 
 Single-pass in-memory indexing: a task counts the terms of its documents in memory, per language and source, until the
 index holds ENTRIES entries, and spills it as a run sorted by term, cut into blocks of BLOCK postings per hash shard. A
-shard's blocks arrive ordered by their first term; a heap over the blocks that are begun yields the terms in order, so that
-a term's postings of all runs are summed, and its frequencies written or dropped, while at most one block a run is open.
+shard's blocks arrive ordered by their first term; a heap of the blocks that are begun merges them, so that the postings of
+all runs are summed, and a term's frequencies written or dropped, while little more than one block a run is open.
 
 Smoothed shares p and their distances are whole numbers. The distance of two sources over all kept terms is not summed term
 by term for each pair: it starts as if both had none of the terms, is corrected for the terms that one of them has (from a
@@ -19,11 +19,12 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +36,13 @@ UNIT = 1_000_000_000
 # Terms are runs of ASCII letters and of characters beyond ASCII; in UTF-8 bytes, lower-cased.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 NO_TERM = re.compile(rb"[^a-z\x80-\xff]")
-ENTRIES = 400_000
+ENTRIES = 800_000
 BLOCK = 128
+POSTINGS_AT_ONCE = 1 << 18
 TEXT_AT_ONCE = 1 << 20
 ROWS_AT_ONCE = 64
 
-RUNS = "lang string, shard int, first binary, terms array<binary>, sources array<string>, counts array<long>"
+RUNS = "lang string, shard int, first binary, source string, terms array<binary>, counts array<long>, documents array<long>"
 FREQUENCIES = "lang string, term string, documents long, sources array<string>, counts array<long>"
 
 
@@ -58,82 +60,117 @@ def _portions(data: bytes):
 
 
 class Index:
-    """Postings of a block of documents: occurrences per (lang, source) and documents per lang."""
+    """Postings of a block of documents: per (lang, source), how often each term occurs and in how many documents."""
 
     def __init__(self):
-        self.counts: dict[str, dict[str | None, Counter]] = {}
+        self.counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         self.entries = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        of = self.counts.setdefault(lang, {})
-        found, documents = of.setdefault(source, Counter()), of.setdefault(None, Counter())
-        before = len(found) + len(documents)
+        found, documents = self.counts.setdefault((lang, source), (Counter(), Counter()))
+        before = len(found)
         distinct: set[bytes] = set()
         for part in _portions(text.lower()):
             words = TERM.findall(part)
             found.update(words)
             distinct.update(words)
         documents.update(distinct)
-        self.entries += len(found) + len(documents) - before
+        self.entries += len(found) - before
 
     def spill(self, shards: int):
-        """The run: rows of RUNS, sorted by term inside each language and shard. The index is empty then."""
-        for lang, of in self.counts.items():
-            split: list[list] = [[] for _ in range(shards)]
-            for source, counter in of.items():
-                for term, n in counter.items():
-                    split[zlib.crc32(term) % shards].append((term, source, n))
-            of.clear()
-            for shard, postings in enumerate(split):
-                postings.sort(key=lambda x: x[0])
-                for i in range(0, len(postings), BLOCK):
-                    terms, sources, counts = zip(*postings[i:i + BLOCK])
-                    yield lang, shard, terms[0], terms, sources, counts
-                split[shard] = []
+        """The run: batches of RUNS, each block sorted by term. The index is empty then."""
+        for (lang, source), (found, documents) in self.counts.items():
+            if found:
+                terms = sorted(found)
+                shard = np.fromiter(map(zlib.crc32, terms), np.uint32, len(terms)) % np.uint32(shards)
+                order = np.argsort(shard, kind="stable")
+                shard = shard[order]
+                starts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+                ends = np.append(starts[1:], len(shard))
+                cuts = np.concatenate([np.arange(a, b, BLOCK) for a, b in zip(starts.tolist(), ends.tolist())])
+                offsets = pa.array(np.append(cuts, len(shard)), pa.int32())
+                columns = [pa.array(terms, pa.binary()), *(pa.array(list(map(c.__getitem__, terms)), pa.int64()) for c in (found, documents))]
+                columns = [c.take(pa.array(order)) for c in columns]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(cuts), pa.string()), pa.array(shard[cuts], pa.int32()), columns[0].take(pa.array(cuts)),
+                     pa.array([source] * len(cuts), pa.string()), *(pa.ListArray.from_arrays(offsets, c) for c in columns)],
+                    [c.split()[0] for c in RUNS.split(", ")])
         self.__init__()
 
 
-def _batches(rows, schema: pa.Schema, size: int):
-    held = []
-    for r in rows:
-        held.append(r)
-        if len(held) == size:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
-
-
-RUN_SCHEMA = pa.schema([("lang", pa.string()), ("shard", pa.int32()), ("first", pa.binary()), ("terms", pa.list_(pa.binary())),
-                        ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-FREQUENCY_SCHEMA = pa.schema([("lang", pa.string()), ("term", pa.string()), ("documents", pa.int64()),
-                              ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-
-
-def merged(blocks):
-    """(term, documents, {source: n}) of one language and shard, from blocks ordered by their first term."""
-    heap: list = []
-    blocks = enumerate(blocks)
-    new = next(blocks, None)
-    while heap or new:
-        while new and (not heap or new[1][0][0] <= heap[0][0]):
-            heapq.heappush(heap, (new[1][0][0], new[0], 0, new[1]))
-            new = next(blocks, None)
-        term, documents, sources = heap[0][0], 0, {}
-        while heap and heap[0][0] == term:
-            _, no, at, block = heap[0]
-            terms, of, counts = block
-            while at < len(terms) and terms[at] == term:
-                if of[at] is None:
-                    documents += counts[at]
-                else:
-                    sources[of[at]] = sources.get(of[at], 0) + counts[at]
-                at += 1
-            if at < len(terms):
-                heapq.heapreplace(heap, (terms[at], no, at, block))
-            else:
-                heapq.heappop(heap)
-        yield term, documents, sources
+class Merge:
+    """Merges the blocks of one language and shard, which come in the order of their first terms.
+
+    Begun blocks lie in a heap by their last terms. No later block has a term before the next one's first: up to there the heap
+    gives up its blocks, or what of them lies before it, and the frequencies of those terms are final.
+    """
+
+    def __init__(self, least: int):
+        self.least, self.begun, self.no, self.held, self.sources = least, [], 0, 0, {}
+
+    def add(self, source: str, columns: list[pa.Array]) -> None:
+        self._push(self.sources.setdefault(source, len(self.sources)), columns)
+
+    def _push(self, source: int, columns: list[pa.Array]) -> None:
+        heapq.heappush(self.begun, (columns[0][-1].as_py(), self.no, source, columns))
+        self.no += 1
+        self.held += len(columns[0])
+
+    def settle(self, next_first: bytes | None):
+        """(terms, documents, sources, counts) of the kept terms before ``next_first`` (None: of all), in order."""
+        done, on = [], []
+        while self.begun and (next_first is None or self.begun[0][0] < next_first):
+            done.append(heapq.heappop(self.begun)[2:])
+        for _, _, source, columns in self.begun:
+            at = bisect_left(columns[0], next_first, key=lambda t: t.as_py())
+            if at:
+                done.append((source, [c[:at] for c in columns]))
+            on.append((source, [c[at:] for c in columns]))
+        self.begun, self.held = [], 0
+        for x in on:
+            self._push(*x)
+        if not done:
+            return None
+        sizes = [len(c[0]) for _, c in done]
+        t = pa.table([pa.concat_arrays([c[i] for _, c in done]) for i in range(3)] + [pa.array(np.repeat([x for x, _ in done], sizes))],
+                     ["term", "n", "df", "source"])
+        df = t.group_by("term").aggregate([("df", "sum")])
+        kept = df.filter(pc.greater_equal(df["df_sum"], self.least)).sort_by("term")
+        if not len(kept):
+            return None
+        t = t.filter(pc.is_in(t["term"], kept["term"].combine_chunks()))
+        t = t.group_by(["term", "source"]).aggregate([("n", "sum")]).sort_by([("term", "ascending"), ("source", "ascending")]).combine_chunks()
+        term = t["term"].combine_chunks()
+        starts = np.flatnonzero(np.append(True, pc.not_equal(term[1:], term[:-1]).to_numpy(zero_copy_only=False)))
+        offsets = pa.array(np.append(starts, len(term)), pa.int32())
+        names = pa.array(list(self.sources), pa.string()).take(t["source"].combine_chunks())
+        return (kept["term"].combine_chunks().cast(pa.string()), kept["df_sum"].combine_chunks(),
+                pa.ListArray.from_arrays(offsets, names), pa.ListArray.from_arrays(offsets, t["n_sum"].combine_chunks()))
+
+
+def merge_runs(batches, least: int, at_once: int = POSTINGS_AT_ONCE):
+    """Batches of FREQUENCIES from batches of RUNS that are ordered by language, shard and first term."""
+    merge, place = Merge(least), None
+
+    def out(settled):
+        if settled:
+            terms, documents, sources, counts = settled
+            yield pa.RecordBatch.from_arrays([pa.array([place[0]] * len(terms), pa.string()), terms, documents, sources, counts],
+                                             [c.split()[0] for c in FREQUENCIES.split(", ")])
+
+    for b in batches:
+        lists = [b.column(c) for c in ("terms", "counts", "documents")]
+        flat = [x.flatten() for x in lists]
+        ends = np.cumsum(lists[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)).tolist()
+        rows = zip(*(b.column(c).to_pylist() for c in ("lang", "shard", "first", "source")), [0, *ends], ends)
+        for lang, shard, first, source, lo, hi in rows:
+            if (lang, shard) != place:
+                yield from out(merge.settle(None))
+                merge, place = Merge(least), (lang, shard)
+            elif merge.held >= at_once:
+                yield from out(merge.settle(first))
+            merge.add(source, [x[lo:hi] for x in flat])
+    yield from out(merge.settle(None))
 
 
 def frequencies(docs: DataFrame, least: int = LEAST_DOCUMENTS, entries: int = ENTRIES, shards: int | None = None) -> DataFrame:
@@ -150,26 +187,11 @@ def frequencies(docs: DataFrame, least: int = LEAST_DOCUMENTS, entries: int = EN
                 for lang, source, text in zip(*[part.column(c).to_pylist() for c in ("lang", "source", "text")]):
                     held.add(lang, source, text)
                     if held.entries >= entries:
-                        yield from _batches(held.spill(shards), RUN_SCHEMA, 512)
-        yield from _batches(held.spill(shards), RUN_SCHEMA, 512)
-
-    def merge(batches):
-        def rows():
-            for b in batches:
-                for lo in range(0, b.num_rows, ROWS_AT_ONCE):
-                    part = b.slice(lo, ROWS_AT_ONCE)
-                    yield from zip(*[part.column(c).to_pylist() for c in ("lang", "shard", "terms", "sources", "counts")])
-
-        def kept():
-            for (lang, _), blocks in groupby(rows(), key=lambda r: r[:2]):
-                for term, documents, of in merged(b[2:] for b in blocks):
-                    if documents >= least:
-                        yield lang, term.decode(), documents, list(of), list(of.values())
-
-        yield from _batches(kept(), FREQUENCY_SCHEMA, 4096)
+                        yield from held.spill(shards)
+        yield from held.spill(shards)
 
     runs = texts.mapInArrow(index, RUNS).repartition(shards, "lang", "shard")
-    return runs.sortWithinPartitions("lang", "shard", "first").mapInArrow(merge, FREQUENCIES)
+    return runs.sortWithinPartitions("lang", "shard", "first").mapInArrow(lambda batches: merge_runs(batches, least), FREQUENCIES)
 
 
 def _text(c: str) -> Column:

@@ -3,15 +3,18 @@
 A text's score in a language is the product, over its words, of the probability that the language's unigram model emits
 the word: the forward algorithm adds up all ways of cutting it into pieces of a fixed public vocabulary. Each language
 has its own piece probabilities, trained by expectation maximisation (forward-backward over all segmentations) on a
-bounded sample: SAMPLE_DOCS documents per language, taken whole, by hash. Everything else reads all rows. A word scores
-the same wherever it stands, so each batch scores its distinct words once.
+bounded sample: SAMPLE_DOCS documents per language, taken whole, by hash. Everything else reads all rows.
 
-Words are runs of letters, lower-cased; runs over MAX_LETTERS letters are cut, and their parts score as words that go on.
-The vocabulary's path is a parameter; its pieces are read on the driver and travel with the task.
+Texts are scored about two megabytes at a time. A word scores the same wherever it stands, so a task scores only words that
+it has not met (up to KNOWN_WORDS, then it starts anew). The forward pass holds as many characters' sums as the longest
+piece has, scaled so that no word is too long for it. Memory follows neither the batch nor the text but for its own bytes.
+
+Words are runs of letters, lower-cased. In training alone, runs over MAX_LETTERS letters are cut and their parts learned
+from as words that go on. The vocabulary's path is a parameter; its pieces are read on the driver and travel with the task.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; with no labelled text to learn from every
-text is ``und``; equal posteriors go to the first language in code point order; other columns pass through (names with a leading
-underscore are the operator's own).
+text is ``und``; equal posteriors go to the first language in code point order; other columns pass through whatever their
+names; a column named like the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -117,14 +120,52 @@ def by_length(texts: list[str]) -> dict[int, list[int]]:
     return out
 
 
-def log_likelihoods(lattice: Lattice, prob: np.ndarray, texts: list[str], at_once: int = 20_000) -> np.ndarray:
-    """log P(word | language) of every word (a row each), over all segmentations."""
+CELLS = 1 << 20
+RESCALE = 8
+
+
+def log_likelihoods(lattice: Lattice, prob: np.ndarray, texts: list[str], cells: int = CELLS) -> np.ndarray:
+    """log P(word | language) of every word (a row each), over all segmentations; words of like length go together."""
     out = np.zeros((len(texts), prob.shape[1]))
-    for rows in by_length(texts).values():
-        for k in range(0, len(rows), at_once):
-            part = rows[k:k + at_once]
-            alpha, _ = forward(lattice, prob, _codes([texts[i] for i in part]))
-            out[part] = np.log(alpha[:, -1])
+    size = np.array([len(t) for t in texts], np.int64)
+    order = np.argsort(size, kind="stable")
+    lo = 0
+    while lo < len(order):
+        fits = np.arange(1, len(order) - lo + 1) * np.maximum(size[order[lo:]], 1) <= cells  # words x letters of the longest
+        hi = lo + max(1, int(np.argmin(fits)) if not fits.all() else len(fits))
+        part = order[lo:hi]
+        out[part] = _forward_ends(lattice, prob, [texts[i] for i in part], size[part])
+        lo = hi
+    return out
+
+
+def _forward_ends(lattice: Lattice, prob: np.ndarray, texts: list[str], size: np.ndarray) -> np.ndarray:
+    """Log of the forward sum at each word's end; of the sums before, only those that a piece can reach back to are held."""
+    widest = int(size[-1])
+    codes = np.frombuffer("".join(t.ljust(widest, "\0") for t in texts).encode("utf-32-le"), np.uint32).reshape(len(texts), widest)
+    codes = np.ascontiguousarray(mix(codes.T.astype(np.uint64) + np.uint64(1)))  # a row a place
+    ring = lattice.longest + 1
+    sums = np.zeros((ring, len(texts), prob.shape[1]))
+    sums[0] = 1.0
+    scale, out = np.zeros((len(texts), prob.shape[1])), np.zeros((len(texts), prob.shape[1]))
+    for i in range(widest):
+        live = int(np.searchsorted(size, i, "right"))  # words are in order of length; those before are over
+        here, h = sums[i % ring, live:], np.zeros(len(texts) - live, np.uint64)
+        for length in range(1, min(lattice.longest, widest - i) + 1):
+            h = h * _B + codes[i + length - 1, live:]
+            span = mix(h + np.uint64(length))
+            at = np.minimum(np.searchsorted(lattice.hashes, span), len(lattice.hashes) - 1)
+            piece = np.where(lattice.hashes[at] == span, lattice.ids[at], 0 if length == 1 else -1)
+            has = np.flatnonzero((piece >= 0) & (size[live:] >= i + length))
+            sums[(i + length) % ring, live + has] += here[has] * prob[piece[has]]
+        done = np.flatnonzero(size[live:] == i + 1) + live
+        out[done] = np.log(sums[(i + 1) % ring, done]) + scale[done]
+        sums[i % ring] = 0.0
+        if i % RESCALE == RESCALE - 1 and i + 1 < widest:
+            most = sums[:, live:].max(axis=0)
+            most[most == 0] = 1.0
+            sums[:, live:] /= most
+            scale[live:] += np.log(most)
     return out
 
 
@@ -160,17 +201,8 @@ def _cut(word: str) -> list[str]:
     return [marked[i:i + MAX_LETTERS] for i in range(0, len(marked), MAX_LETTERS)]
 
 
-def _batch_words(column):
-    """Distinct words of a whole batch: (their texts, index per occurrence, text of each occurrence)."""
-    found = [(w.hash, w.text + w.lo, w.start + w.base, w.end + w.base) for w in words(column, LETTER)]
-    if not found:
-        return [], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h, text, start, end = (np.concatenate(x) for x in zip(*found, strict=True))
-    _, first, at = np.unique(h, return_index=True, return_inverse=True)
-    from .tokens import buffers
-
-    data = buffers(column)[0].tobytes() if len(h) else b""
-    return [data[start[i]:end[i]].decode("utf-8", "replace") for i in first], at, text
+def _text_of(w, i: int) -> str:
+    return w.data[w.start[i]:w.end[i]].tobytes().decode("utf-8", "replace")
 
 
 def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS):
@@ -187,13 +219,14 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMP
 
     def count(batches):
         for b in batches:
-            texts, at, of = _batch_words(b.column(1))
-            lang = np.array([langs.index(x) for x in b.column(0).to_pylist()], np.int64)
-            if not texts:
-                continue
-            key, n = np.unique(lang[of] * len(texts) + at, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([langs[k // len(texts)] for k in key]),
-                                              "word": pa.array([texts[k % len(texts)] for k in key]), "n": n})
+            for w in words(b.column(1), LETTER):
+                lang = np.array([langs.index(x) for x in b.column(0).slice(w.lo, w.hi - w.lo).to_pylist()], np.int64)
+                _, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
+                if not len(first):
+                    continue
+                key, n = np.unique(lang[w.text] * len(first) + at, return_counts=True)
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([langs[k // len(first)] for k in key]),
+                                                  "word": pa.array([_text_of(w, first[k % len(first)]) for k in key]), "n": n})
 
     rows = (sample.select("lang", F.lower("text").alias("text")).mapInArrow(count, "lang string, word string, n long")
             .groupBy("lang", "word").agg(F.sum("n").alias("n")).collect())  # words of the bounded sample
@@ -205,47 +238,78 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMP
     return langs, lattice, fit(lattice, len(pieces), samples)
 
 
-def identify(docs: DataFrame, labelled: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """``docs`` with ``_language`` struct(pred, score) added: the predicted language and its posterior, 0 to 1.
+def identify(docs: DataFrame, labelled: DataFrame, vocabulary: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS,
+             into: str = "_language") -> DataFrame:
+    """``docs`` with the column ``into`` struct(pred, score) added: the predicted language and its posterior, 0 to 1.
 
     Predictions read the text alone; ``labelled`` (doc_id, text, lang) is what the model learns from.
     """
     langs, lattice, prob = train(labelled, vocabulary, sample_docs)
-    names = docs.columns
+    names = [c for c in docs.columns if c != into]
+    rows = docs.select(F.struct(*names).alias("row"), F.lower("text").alias("low"))
     language = T.StructType([T.StructField("pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    schema = T.StructType([*docs.schema.fields, T.StructField("_language", language)])
-    at_text = len(names)
+    schema = T.StructType([rows.schema["row"], T.StructField("told", language)])
 
     def predict(batches):
+        scores = WordScores(langs, lattice, prob)
         for b in batches:
-            pred, score = _predict(b.column(at_text), langs, lattice, prob)
+            pred, score = scores.predict(b.column(1))
             told = pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["pred", "score"])
-            yield pa.RecordBatch.from_arrays([*b.columns[:at_text], told], names=[*names, "_language"])
-
-    return docs.select("*", F.lower("text").alias("_low")).mapInArrow(predict, schema)
-
-
-def _predict(column, langs, lattice, prob):
-    n = len(column)
-    pred, score = [UND] * n, np.zeros(n)
-    texts, at, of = _batch_words(column)
-    letters = np.array([any(c.isalpha() for c in t) for t in texts], bool)
-    if not langs or not letters.any():
+            yield pa.RecordBatch.from_arrays([b.column(0), told], names=["row", "told"])
+
+    return rows.mapInArrow(predict, schema).select(*[F.col("row").getField(c).alias(c) for c in names], F.col("told").alias(into))
+
+
+KNOWN_WORDS = 200_000
+
+
+class WordScores:
+    """Scores of the words that a task has met, by their hashes, and predictions from them."""
+
+    def __init__(self, langs: list[str], lattice: Lattice, prob: np.ndarray):
+        self.langs, self.lattice, self.prob = langs, lattice, prob
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.table = np.zeros((0, len(self.langs) + 1))  # the last column: whether the word holds a letter
+
+    def _learn(self, w, hashes: np.ndarray, first: np.ndarray) -> None:
+        texts = [_text_of(w, i) for i in first]
+        rows = np.zeros((len(texts), len(self.langs) + 1))
+        rows[:, :-1] = log_likelihoods(self.lattice, self.prob, [START + t for t in texts])
+        rows[:, -1] = [any(c.isalpha() for c in t) for t in texts]
+        order = np.argsort(both := np.concatenate([self.hashes, hashes]), kind="stable")
+        self.hashes, self.table = both[order], np.concatenate([self.table, rows])[order]
+
+    def _of(self, w, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """A row of the table for each distinct word of a piece."""
+        if len(self.hashes) + len(hashes) > KNOWN_WORDS:
+            self._forget()
+        at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
+        new = np.ones(len(hashes), bool) if not len(self.hashes) else self.hashes[at] != hashes
+        if new.any():
+            self._learn(w, hashes[new], first[new])
+        return self.table[np.searchsorted(self.hashes, hashes)]
+
+    def predict(self, column) -> tuple[list, np.ndarray]:
+        n = len(column)
+        pred, score = [UND] * n, np.zeros(n)
+        if not self.langs:
+            return pred, score
+        for w in words(column, LETTER):
+            if not len(w.hash):
+                continue
+            distinct, first, at = np.unique(w.hash, return_index=True, return_inverse=True)
+            rows = self._of(w, distinct, first)
+            starts = np.flatnonzero(np.append(True, w.text[1:] != w.text[:-1]))
+            total = np.add.reduceat(rows[at], starts, axis=0)
+            best = total[:, :-1].argmax(axis=1)
+            post = 1.0 / np.exp(total[:, :-1] - total[np.arange(len(best)), best][:, None]).sum(axis=1)
+            for i in np.flatnonzero(total[:, -1] > 0):
+                at_text = w.lo + int(w.text[starts[i]])
+                pred[at_text], score[at_text] = self.langs[best[i]], min(1.0, post[i])
         return pred, score
-    parts = [(i, p) for i, t in enumerate(texts) for p in _cut(t)]
-    each = log_likelihoods(lattice, prob, [p for _, p in parts])
-    word = np.zeros((len(texts), len(langs)))
-    np.add.at(word, [i for i, _ in parts], each)
-    total = np.zeros((n, len(langs)))
-    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-    total[of[first]] = np.add.reduceat(word[at], first, axis=0)
-    has = np.zeros(n, bool)
-    has[of[letters[at]]] = True
-    best = total.argmax(axis=1)
-    post = 1.0 / np.exp(total - total[np.arange(n), best][:, None]).sum(axis=1)
-    for i in np.flatnonzero(has):
-        pred[i], score[i] = langs[best[i]], min(1.0, post[i])
-    return pred, score
 
 
 def held_out(docs: DataFrame):

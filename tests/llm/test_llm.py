@@ -206,6 +206,58 @@ def test_forward_sums_all_segmentations():
         assert abs(math.exp(log_likelihoods(lattice, prob, [word])[0, 0]) - total(word)) < 1e-12
 
 
+def test_scores_of_a_long_word_and_of_words_scored_together():
+    import numpy as np
+
+    from addresskit.llm.language_id import Lattice, log_likelihoods
+
+    rng = random.Random(4)
+    pieces = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 4))) for _ in range(30)} | {"a", "b", "c"})
+    prob = np.array([[rng.random(), rng.random()] for _ in range(len(pieces) + 1)])
+    lattice = Lattice.of(pieces)
+
+    def total(word, lang):  # logarithms all the way
+        best = [0.0]
+        for i in range(1, len(word) + 1):
+            ways = [best[i - k] + math.log(prob[pieces.index(word[i - k:i]) + 1, lang]) for k in range(1, min(4, i) + 1) if word[i - k:i] in pieces]
+            top = max(ways)
+            best.append(top + math.log(sum(math.exp(x - top) for x in ways)))
+        return best[-1]
+
+    texts = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 2, 3, 3, 40, 41, 900, 3000)]
+    for cells in (1, 100, 1 << 20):
+        got = log_likelihoods(lattice, prob, texts, cells)
+        assert all(abs(got[i, lang] - total(t, lang)) < 1e-6 * max(1, len(t)) for i, t in enumerate(texts) for lang in (0, 1))
+
+
+def test_language_of_a_text_of_five_megabytes_and_of_clashing_columns(spark):
+    from addresskit.llm import language_id
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("lang IS NOT NULL AND text IS NOT NULL")
+    one = docs.where("lang = 'de' AND length(text) > 300").orderBy("doc_id").first()
+    long = " ".join([one.text] * (5_000_000 // len(one.text)))
+    rows = spark.createDataFrame([(1, long, "x", "y", "z"), (2, one.text, "x", "y", "z"), (3, None, "x", "y", "z")],
+                                 "doc_id long, text string, _low string, _language string, row string")
+    got = {r.doc_id: r for r in language_id.identify(rows, docs.select("doc_id", "text", "lang"), into="told").collect()}
+    assert [got[i].told.pred for i in (1, 2, 3)] == ["de", "de", "und"]
+    assert got[1].text == long and (got[2]._low, got[2]._language, got[2].row) == ("x", "y", "z")
+
+
+def test_words_are_forgotten_without_a_difference(spark, monkeypatch):
+    import pyarrow as pa
+
+    from addresskit.llm import language_id, tokens
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    langs, lattice, prob = language_id.train(docs)
+    texts = pa.array([(r.text or "").lower() for r in docs.orderBy("doc_id").limit(60).collect()])
+    whole = language_id.WordScores(langs, lattice, prob).predict(texts)
+    monkeypatch.setattr(language_id, "KNOWN_WORDS", 50)
+    monkeypatch.setattr(tokens, "PIECE", 3000)
+    small = language_id.WordScores(langs, lattice, prob).predict(texts)
+    assert small[0] == whole[0] and max(abs(a - b) for a, b in zip(small[1], whole[1])) < 1e-9
+
+
 # ------------------------------------------------------------------ operator 6
 def test_urls(spark):
     from addresskit.llm.url_filter import op6_url_filter, rule_of, url_parts

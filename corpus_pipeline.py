@@ -17,8 +17,9 @@ LEAST_SCORE = 0.5
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a posterior of LEAST_SCORE or more; ``und`` goes."""
     learn = docs.where(~language_id.held_out(docs)).select("doc_id", "text", "lang")
-    told = language_id.identify(docs, learn)
-    return told.where((F.col("_language.pred") != language_id.UND) & (F.col("_language.score") >= LEAST_SCORE)).select(*docs.columns)
+    into = common.free_name("language", docs.columns)
+    told = language_id.identify(docs, learn, into=into)
+    return told.where((F.col(into)["pred"] != language_id.UND) & (F.col(into)["score"] >= LEAST_SCORE)).select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Imports every plan module so that their queries register themselves."""
 
 from . import register  # noqa: F401
+from . import store  # noqa: F401
 from . import quality  # noqa: F401
 from . import spatial  # noqa: F401
 from . import text  # noqa: F401

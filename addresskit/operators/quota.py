@@ -1,18 +1,9 @@
 """Fixed-window request quota (ST13) without collecting a client's requests in one task.
 
-A client's windows start at its first request; each next window starts at the
-first request at or after the previous start + W. With requests numbered
-1..n per client (``metrics.positions``), let nxt(i) be the position of the
-first request with time >= t_i + W. Window starts are the orbit 1, nxt(1),
-nxt(nxt(1)), ... It is found by pointer doubling: J_0 = nxt, J_{k+1} =
-J_k o J_k, and the orbit prefix O_{k+1} = O_k U J_k(O_k). Every step is an
-equi-join on (client, position), so a client with a third of all requests
-is spread over all tasks; the number of rounds is log2 of the windows per
-client, and each round's result is checkpointed to cut the lineage.
-
-nxt(i) itself is a rank lookup: probe rows (t_i + W) are merged with the
-request rows and the running count of requests before each probe gives its
-position, again from chunked row numbers plus chunk offsets.
+A client's windows start at its first request; a window lasts until its start + W, that moment included, and the next
+one starts at the first request after it. With requests numbered 1..n per client (``metrics.positions``), each request points
+to the first one after its own time + W; the window starts are what is reached from request 1 (``pointers``), so a
+client with a third of all requests is spread over all tasks.
 """
 
 from __future__ import annotations
@@ -21,24 +12,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import metrics as M
+from .pointers import cut, first_at_or_after, reachable
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    from ..session import checkpoint_dir
-
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def running_count(df: DataFrame, key: str, order: list[str], chunk, flag: str) -> DataFrame:
+def running_count(df: DataFrame, key: str | list[str], order: list[str], chunk, flag: str) -> DataFrame:
     """Per key, the number of rows with ``flag`` = 1 up to and including each row (in ``order``)."""
+    keys = [key] if isinstance(key, str) else list(key)
     d = df.withColumn("_chunk", chunk)
-    w = Window.partitionBy(key, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("_run", F.sum(flag).over(w))
-    sizes = d.groupBy(key, "_chunk").agg(F.sum(flag).alias("_s"))
-    wo = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy(*keys, "_chunk").agg(F.sum(flag).alias("_s"))
+    wo = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_off", F.coalesce(F.sum("_s").over(wo), F.lit(0))).drop("_s")
-    return d.join(sizes, [key, "_chunk"]).withColumn("_count", F.col("_run") + F.col("_off")).drop(
+    return d.join(sizes, [*keys, "_chunk"]).withColumn("_count", F.col("_run") + F.col("_off")).drop(
         "_run", "_off", "_chunk")
 
 
@@ -51,29 +37,11 @@ def fixed_windows(requests: DataFrame, key: str, ts_us: str, window_us: int, lim
     base = requests.select(key, "request_id", ts_us)
     chunk = F.floor(F.col(ts_us) / chunk_us)
     pos = M.positions(base, [key], [ts_us, "request_id"], chunk)  # _g
-    pos = _cut(pos)
-    # nxt(g): 1 + number of requests with t < t_g + W
-    probes = pos.select(key, F.col("_g").alias("_src"), (F.col(ts_us) + window_us).alias(ts_us),
-                        F.lit(0).alias("_kind"), F.lit(0).alias("_is_req"))
-    rows = pos.select(key, F.lit(None).cast("long").alias("_src"), ts_us, F.lit(1).alias("_kind"),
-                      F.lit(1).alias("_is_req"))
-    merged = probes.unionByName(rows)
-    rc = running_count(merged, key, [ts_us, "_kind", "_src"], F.floor(F.col(ts_us) / chunk_us), "_is_req")
-    n = pos.groupBy(key).agg(F.max("_g").alias("_n"))
-    nxt = rc.filter(F.col("_kind") == 0).join(n, key).select(
-        key, F.col("_src").alias("g"),
-        F.when(F.col("_count") + 1 <= F.col("_n"), F.col("_count") + 1).alias("to"))
-    jump = _cut(nxt)
-    orbit = _cut(pos.filter(F.col("_g") == 1).select(key, F.col("_g").alias("g")))
-    while True:
-        step = orbit.join(jump, [key, "g"]).filter(F.col("to").isNotNull()).select(key, F.col("to").alias("g"))
-        grown = _cut(orbit.unionByName(step).distinct())
-        if grown.count() == orbit.count():
-            break
-        orbit = grown
-        j2 = jump.alias("a").join(jump.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}"))
-                                  & (F.col("a.to") == F.col("b.g")), "left")
-        jump = _cut(j2.select(F.col(f"a.{key}").alias(key), F.col("a.g").alias("g"), F.col("b.to").alias("to")))
+    pos = cut(pos)
+    probes = pos.select(key, F.col("_g").alias("src"), (F.col(ts_us) + window_us + 1).alias("t"))
+    rows = pos.select(key, F.col("_g").alias("g"), F.col(ts_us).alias("t"))
+    pointers = first_at_or_after(rows, probes, [key], chunk_us).select(key, F.col("src").alias("g"), F.col("g").alias("to"))
+    orbit = reachable(pos.where("_g = 1").select(key, F.col("_g").alias("g")), pointers, [key])
     starts = orbit.withColumn("_start", F.lit(1))
     p = pos.join(starts.withColumnRenamed("g", "_g"), [key, "_g"], "left")
     p = p.withColumn("_start_g", F.when(F.col("_start") == 1, F.col("_g")))

@@ -22,8 +22,8 @@ SUSPICIOUS = L.is_suspicious
 
 
 # ------------------------------------------------------------------ series
-def _per_minute(spark, sf):
-    r = log(spark, sf)
+def _per_minute(spark, sf, source="request_log"):
+    r = derived(spark, sf, source)
     bounds = [F.count_if(F.col("duration_ms") / 1000.0 <= b).alias(f"le{i}") for i, b in enumerate(HIST_BOUNDS)]
     return r.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(
         F.count(F.lit(1)).alias("total"),
@@ -70,7 +70,7 @@ def _islands_out(df, rule: str, cond, step_s: int, hold_s: int):
 
 
 # ------------------------------------------------------------------ oracle helpers
-_PM_SQL = O_LOG + ", pm AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS total, " + ", ".join([
+_PM = ", pm AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS total, " + ", ".join([
     "count(*) FILTER (WHERE status_code >= 500) AS err5xx",
     "count(*) FILTER (WHERE status_code = 403) AS f403",
     "count(*) FILTER (WHERE status_code = 429) AS r429",
@@ -80,6 +80,8 @@ _PM_SQL = O_LOG + ", pm AS (SELECT date_trunc('minute', ts) AS minute, count(*)
     "sum(duration_ms) AS duration_sum",
 ] + [f"count(*) FILTER (WHERE CAST(duration_ms AS DOUBLE) / 1000 <= CAST({b!r} AS DOUBLE)) AS le{i}"
      for i, b in enumerate(HIST_BOUNDS)]) + " FROM rl GROUP BY 1)\n"
+O_BURST = cte("burst_log") + O_LOG.removeprefix(cte("request_log")).replace("FROM request_log", "FROM burst_log")
+_PM_SQL, _PM_BURST_SQL = O_LOG + _PM, O_BURST + _PM
 
 
 def _trail_sql(name, minutes):
@@ -126,10 +128,15 @@ _RULES = {
 }
 
 
+_ON_BURSTS = {"rule_forbidden", "rule_ratelimit"}  # the plain log has neither
+
+
 def _make_rule(name, minutes, cond, cond_sql, hold):
-    @query(name, _PM_SQL + _trail_sql("tr", minutes) + _islands_sql("tr", name, cond_sql, 60, hold))
+    source, pm_sql = ("burst_log", _PM_BURST_SQL) if name in _ON_BURSTS else ("request_log", _PM_SQL)
+
+    @query(name, pm_sql + _trail_sql("tr", minutes) + _islands_sql("tr", name, cond_sql, 60, hold))
     def q(spark, sf):
-        s = trailing(_per_minute(spark, sf), minutes, _SERIES_COLS)
+        s = trailing(_per_minute(spark, sf, source), minutes, _SERIES_COLS)
         return _islands_out(s, name, F.coalesce(cond(), F.lit(False)), 60, hold)
 
     q.__doc__ = f"ST7-ST9: '{name}' over a trailing {minutes}-minute window, held for {hold} s."
@@ -172,38 +179,48 @@ def traffic_vs_yesterday(spark, sf):
 
 
 # ------------------------------------------------------------------ W4/ST4, W5, W6, W7
-@query("traffic_anomaly", O_LOG + """, b AS (
+TOP_ENDPOINTS = 10
+
+
+@query("traffic_anomaly", O_BURST + """, b AS (
   SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket, count(*) AS n, count(*) FILTER (WHERE status_code >= 400) AS errors,
          count(DISTINCT ip) AS distinct_ips FROM rl GROUP BY 1),
+e AS (SELECT bucket, string_agg(route || ':' || CAST(n AS VARCHAR), '|' ORDER BY rk) AS top_endpoints FROM (
+  SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS bucket, route, count(*) AS n,
+         row_number() OVER (PARTITION BY time_bucket(INTERVAL 5 MINUTE, ts) ORDER BY count(*) DESC, route) AS rk
+  FROM rl GROUP BY 1, 2) WHERE rk <= 10 GROUP BY 1),
 cal AS (SELECT unnest(generate_series((SELECT min(bucket) FROM b), (SELECT max(bucket) FROM b), INTERVAL 5 MINUTE)) AS bucket),
-f AS (SELECT cal.bucket, coalesce(n, 0) AS n, coalesce(errors, 0) AS errors, coalesce(distinct_ips, 0) AS distinct_ips
-      FROM cal LEFT JOIN b ON b.bucket = cal.bucket)
+f AS (SELECT cal.bucket, coalesce(n, 0) AS n, coalesce(errors, 0) AS errors, coalesce(distinct_ips, 0) AS distinct_ips,
+             coalesce(top_endpoints, '') AS top_endpoints
+      FROM cal LEFT JOIN b ON b.bucket = cal.bucket LEFT JOIN e ON e.bucket = cal.bucket)
 SELECT strftime(a.bucket, '%Y-%m-%d %H:%M:%S.%f') AS bucket, a.n, a.errors,
-       CASE WHEN a.n > 0 THEN round(CAST(a.errors AS DOUBLE) / a.n, 4) END AS error_share, a.distinct_ips,
+       CASE WHEN a.n > 0 THEN round(CAST(a.errors AS DOUBLE) / a.n, 4) END AS error_share, a.distinct_ips, a.top_endpoints,
        coalesce(p.n, 0) AS prev_n,
        p.n IS NOT NULL AND a.n > 3 * p.n AS spike,
        coalesce(p.n, 0) > 10 AND a.n < 0.3 * coalesce(p.n, 0) AS drop
 FROM f a LEFT JOIN f p ON p.bucket = a.bucket - INTERVAL 5 MINUTE""")
 def traffic_anomaly(spark, sf):
-    """ST4 + W4: 5-minute buckets, error share, distinct IPs; spike / drop against the previous bucket."""
-    return anomalies(derived(spark, sf, "request_log"))
+    """ST4 + W4: 5-minute buckets, error share, distinct IPs, top endpoints; spike / drop against the previous bucket."""
+    return anomalies(derived(spark, sf, "burst_log").withColumn("route", L.route_pattern(F.col("path"))))
 
 
 def anomalies(r):
     """W4 on the bucket calendar: an empty bucket is a row (n = 0), so traffic that stops is a drop and traffic after
-    it a spike; the first bucket has no predecessor and is neither."""
-    b = r.groupBy(F.window("ts", "5 minutes").start.alias("bucket")).agg(
+    it a spike; the first bucket has no predecessor and is neither. ``r`` holds ``ts, status_code, ip, route``."""
+    r = r.withColumn("bucket", F.window("ts", "5 minutes").start)
+    b = r.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("status_code") >= 400).alias("errors"),
         F.countDistinct("ip").alias("distinct_ips"))
+    top = _top_list(r, "bucket", "route", TOP_ENDPOINTS).withColumnRenamed("top_routes", "top_endpoints")
     span = b.agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
     cal = span.select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 5 MINUTES"))).alias("bucket"))
-    b = cal.join(b, "bucket", "left").fillna(0, ["n", "errors", "distinct_ips"])
+    b = cal.join(b, "bucket", "left").join(top, "bucket", "left").fillna(0, ["n", "errors", "distinct_ips"]).fillna("", ["top_endpoints"])
     prev = b.select((F.col("bucket") + F.expr("INTERVAL 5 MINUTES")).alias("bucket"), F.col("n").alias("prev_n"))
     j = b.join(prev, "bucket", "left")
     spike = F.col("prev_n").isNotNull() & (F.col("n") > 3 * F.col("prev_n"))
     drop = F.col("prev_n").isNotNull() & (F.col("prev_n") > 10) & (F.col("n") < 0.3 * F.col("prev_n"))
-    return j.select("bucket", "n", "errors", F.round(F.try_divide("errors", "n"), 4).alias("error_share"),
-                    "distinct_ips", F.coalesce("prev_n", F.lit(0)).alias("prev_n"), spike.alias("spike"), drop.alias("drop"))
+    return j.select("bucket", "n", "errors", F.round(F.try_divide("errors", "n"), 4).alias("error_share"), "distinct_ips",
+                    "top_endpoints", F.coalesce("prev_n", F.lit(0)).alias("prev_n"), spike.alias("spike"), drop.alias("drop"))
 
 
 def _counters(spark, sf):
@@ -287,47 +304,91 @@ def _top_sql(src, item, k=10):
   FROM {src} GROUP BY 1, 2) WHERE rk <= {k} GROUP BY 1"""
 
 
-@query("error_burst", O_LOG + f""", s AS ({_sliding_sql('status_code >= 400', 300, 60)}),
+@query("error_burst", O_BURST + f""", s AS ({_sliding_sql('status_code >= 400', 300, 60)}),
 c AS (SELECT wstart, count(*) AS n_errors FROM s GROUP BY 1 HAVING count(*) > 5),
-t AS ({_top_sql('s', 'path')})
-SELECT strftime(c.wstart, '%Y-%m-%d %H:%M:%S.%f') AS window_start, c.n_errors, t.top_paths
-FROM c JOIN t ON t.wstart = c.wstart""")
+t AS ({_top_sql('s WHERE error_name IS NOT NULL', 'error_name')})
+SELECT strftime(c.wstart, '%Y-%m-%d %H:%M:%S.%f') AS window_start, c.n_errors, coalesce(t.top_error_names, '') AS top_error_names
+FROM c LEFT JOIN t ON t.wstart = c.wstart""")
 def error_burst(spark, sf):
-    """ST2: every minute over the last 5: more than 5 errors, with the top 10 error paths."""
-    r = derived(spark, sf, "request_log").filter(F.col("status_code") >= 400)
+    """ST2: every minute over the last 5: more than 5 errors, with the top 10 error names."""
+    r = derived(spark, sf, "burst_log").filter(F.col("status_code") >= 400)
     s = r.withColumn("wstart", F.window("ts", "5 minutes", "1 minute").start)
-    c = s.groupBy("wstart").agg(F.count(F.lit(1)).alias("n_errors")).filter(F.col("n_errors") > 5)
-    t = _top_list(s, "wstart", "path")
-    return c.join(t, "wstart").select(F.col("wstart").alias("window_start"), "n_errors", "top_paths")
+    c = s.groupBy("wstart").agg(F.count(F.lit(1)).alias("n_errors")).filter(F.col("n_errors") > BURST_ERRORS)
+    t = _top_list(s.where("error_name IS NOT NULL"), "wstart", "error_name")
+    return c.join(t, "wstart", "left").select(F.col("wstart").alias("window_start"), "n_errors",
+                                              F.coalesce("top_error_names", F.lit("")).alias("top_error_names"))
 
 
-@query("slow_query_pattern", O_LOG + f""", s AS ({_sliding_sql('duration_ms >= 1000', 600, 120)})
+@query("slow_query_pattern", O_BURST + f""", s AS ({_sliding_sql('duration_ms >= 1000', 600, 120)})
 SELECT strftime(wstart, '%Y-%m-%d %H:%M:%S.%f') AS window_start, count(*) AS n_slow, round(avg(duration_ms), 4) AS avg_ms,
        max(duration_ms) AS max_ms FROM s GROUP BY wstart HAVING count(*) > 3""")
 def slow_query_pattern(spark, sf):
     """ST3: every 2 minutes over the last 10: more than 3 requests of >= 1000 ms; mean and max."""
-    r = derived(spark, sf, "request_log").filter(F.col("duration_ms") >= 1000)
-    s = r.groupBy(F.window("ts", "10 minutes", "2 minutes").start.alias("window_start")).agg(
-        F.count(F.lit(1)).alias("n_slow"), F.round(F.avg("duration_ms"), 4).alias("avg_ms"),
-        F.max("duration_ms").alias("max_ms"))
-    return s.filter(F.col("n_slow") > 3)
+    return slow_windows(derived(spark, sf, "burst_log"))
+
+
+# An error burst has more than 5 errors; a slow-query pattern more than 3 calls of 1000 ms.
+BURST_ERRORS = 5
+SLOW_CALLS, SLOW_MS = 3, 1000
+
+
+def slow_windows(r):
+    """ST3 on a table or a stream of ``ts, duration_ms``."""
+    s = r.filter(F.col("duration_ms") >= SLOW_MS).groupBy(F.window("ts", "10 minutes", "2 minutes").alias("w")).agg(
+        F.count(F.lit(1)).alias("n_slow"), F.round(F.avg("duration_ms"), 4).alias("avg_ms"), F.max("duration_ms").alias("max_ms"))
+    return s.filter(F.col("n_slow") > SLOW_CALLS).select(F.col("w.start").alias("window_start"), "n_slow", "avg_ms", "max_ms")
+
+
+# Names of the security events.
+SECURITY_EVENTS = ["suspicious_query_params", "suspicious_request_body", "suspicious_header"]
+
+
+def security_hits(r):
+    """a row per security event of a request (suspicious query, suspicious body, ``..`` in the proxy header)."""
+    found = [SUSPICIOUS(F.col("query_text")), SUSPICIOUS(F.col("body_text")), F.col("forwarded_for").contains("..")]
+    events = F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in zip(found, SECURITY_EVENTS)]), lambda x: x.isNotNull())
+    return r.select("request_id", "ts", "ip", "path", F.explode(events).alias("event"))
 
 
-_SUSP_WHERE = " OR ".join(f"regexp_matches(query_text, '{p}', 'i')" for p in L.SUSPICIOUS_PATTERNS)
+def _susp_sql(col):
+    return "(" + " OR ".join(f"regexp_matches({col}, '{p}', 'i')" for p in L.SUSPICIOUS_PATTERNS) + ")"
 
 
-@query("security_events", O_LOG + f""", s AS ({_sliding_sql(_SUSP_WHERE, 120, 30)}),
+O_HITS = O_BURST + f""", hits AS (
+  SELECT request_id, ts, ip, path, '{SECURITY_EVENTS[0]}' AS event FROM rl WHERE {_susp_sql('query_text')}
+  UNION ALL SELECT request_id, ts, ip, path, '{SECURITY_EVENTS[1]}' FROM rl WHERE {_susp_sql('body_text')}
+  UNION ALL SELECT request_id, ts, ip, path, '{SECURITY_EVENTS[2]}' FROM rl WHERE contains(forwarded_for, '..'))
+"""
+
+
+@query("security_hits", O_HITS + """SELECT request_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, ip, path, event FROM hits""")
+def security_hits_query(spark, sf):
+    """security events by query, body and proxy header."""
+    return security_hits(derived(spark, sf, "burst_log"))
+
+
+@query("security_events", O_HITS + f""", s AS ({_sliding_sql('true', 120, 30).replace("FROM rl", "FROM hits")}),
 c AS (SELECT wstart, count(*) AS n_events FROM s GROUP BY 1),
-t AS ({_top_sql('s', 'ip')})
-SELECT strftime(c.wstart, '%Y-%m-%d %H:%M:%S.%f') AS window_start, c.n_events, t.top_ips
-FROM c JOIN t ON t.wstart = c.wstart""")
+t AS ({_top_sql('s', 'ip')}),
+v AS ({_top_sql('s', 'event')})
+SELECT strftime(c.wstart, '%Y-%m-%d %H:%M:%S.%f') AS window_start, c.n_events, v.top_events, t.top_ips
+FROM c JOIN t ON t.wstart = c.wstart JOIN v ON v.wstart = c.wstart""")
 def security_events(spark, sf):
-    """ST5: every 30 s over the last 2 minutes: any suspicious request, with the top source IPs."""
-    r = derived(spark, sf, "request_log").filter(SUSPICIOUS(F.col("query_text")))
-    s = r.withColumn("wstart", F.window("ts", "2 minutes", "30 seconds").start)
+    """ST5: every 30 s over the last 2 minutes: any security event, with the top events and source IPs."""
+    s = security_hits(derived(spark, sf, "burst_log")).withColumn("wstart", F.window("ts", "2 minutes", "30 seconds").start)
     c = s.groupBy("wstart").agg(F.count(F.lit(1)).alias("n_events"))
-    t = _top_list(s, "wstart", "ip")
-    return c.join(t, "wstart").select(F.col("wstart").alias("window_start"), "n_events", "top_ips")
+    t = c.join(_top_list(s, "wstart", "event"), "wstart").join(_top_list(s, "wstart", "ip"), "wstart")
+    return t.select(F.col("wstart").alias("window_start"), "n_events", "top_events", "top_ips")
+
+
+@query("rule_security", O_HITS + """, pm AS (SELECT date_trunc('minute', ts) AS minute, count(*) AS hits FROM hits GROUP BY 1),
+tr AS (SELECT minute + k * INTERVAL 1 MINUTE AS t, sum(hits) AS hits FROM pm CROSS JOIN range(0, 5) r(k) GROUP BY 1)
+""" + _islands_sql("tr", "rule_security", "hits > 0", 60, 0))
+def rule_security(spark, sf):
+    """ST9: security events increased over the last 5 minutes (fires at once)."""
+    h = security_hits(derived(spark, sf, "burst_log"))
+    pm = h.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(F.count(F.lit(1)).alias("hits"))
+    return _islands_out(trailing(pm, 5, ["hits"]), "rule_security", F.col("hits") > 0, 60, 0)
 
 
 # Performance alert thresholds (ms, %, requests/s, ratio).
@@ -346,33 +407,46 @@ def _tiered(value, tiers):
     return sev, thr
 
 
-@query("threshold_alerts", O_LOG + """, w AS (SELECT time_bucket(INTERVAL 5 MINUTE, ts) AS ws, duration_ms, status_code,
-  cache_hit, row_number() OVER (PARTITION BY time_bucket(INTERVAL 5 MINUTE, ts) ORDER BY duration_ms) AS rn,
-  count(*) OVER (PARTITION BY time_bucket(INTERVAL 5 MINUTE, ts)) AS n FROM rl),
-s AS (SELECT ws, max(duration_ms) FILTER (WHERE rn = floor(n * 0.95) + 1) AS p95,
+def tiered_sql(service: str | None = None) -> str:
+    """CTEs ``w``, ``s`` and ``a`` (ST6 rows over ``rl``), per window or per window and ``service`` expression."""
+    by = "" if service is None else ", service"
+    bucket = "time_bucket(INTERVAL 5 MINUTE, ts)"
+    part = bucket if service is None else f"{bucket}, {service}"
+    return f""", w AS (SELECT {bucket} AS ws{"" if service is None else f", {service} AS service"}, duration_ms, status_code,
+  cache_hit, row_number() OVER (PARTITION BY {part} ORDER BY duration_ms) AS rn, count(*) OVER (PARTITION BY {part}) AS n FROM rl),
+s AS (SELECT ws{by}, max(duration_ms) FILTER (WHERE rn = floor(n * 0.95) + 1) AS p95,
   floor(CAST(count(*) FILTER (WHERE status_code >= 400) AS DOUBLE) / count(*) * 10000 + 0.5) / 100 AS err,
   floor(CAST(count(*) AS DOUBLE) / 300 * 100 + 0.5) / 100 AS thr,
-  CAST(count(*) FILTER (WHERE cache_hit) AS DOUBLE) / count(*) AS cache FROM w GROUP BY ws),
+  CAST(count(*) FILTER (WHERE cache_hit) AS DOUBLE) / count(*) AS cache FROM w GROUP BY ws{by}),
 a AS (
-  SELECT ws, 'response_time' AS alert_type,
+  SELECT ws{by}, 'response_time' AS alert_type,
          CASE WHEN p95 > 3000 THEN 'critical' WHEN p95 > 1000 THEN 'error' WHEN p95 > 500 THEN 'warning' END AS severity,
          CASE WHEN p95 > 3000 THEN 3000 WHEN p95 > 1000 THEN 1000 WHEN p95 > 500 THEN 500 END AS threshold,
          CAST(p95 AS DOUBLE) AS value FROM s
   UNION ALL
-  SELECT ws, 'error_rate', CASE WHEN err > 20 THEN 'critical' WHEN err > 10 THEN 'error' WHEN err > 5 THEN 'warning' END,
+  SELECT ws{by}, 'error_rate', CASE WHEN err > 20 THEN 'critical' WHEN err > 10 THEN 'error' WHEN err > 5 THEN 'warning' END,
          CASE WHEN err > 20 THEN 20 WHEN err > 10 THEN 10 WHEN err > 5 THEN 5 END, err FROM s
   UNION ALL
-  SELECT ws, 'throughput', CASE WHEN thr < 10 THEN 'warning' END, 10, thr FROM s
+  SELECT ws{by}, 'throughput', CASE WHEN thr < 10 THEN 'warning' END, 10, thr FROM s
   UNION ALL
-  SELECT ws, 'cache', CASE WHEN cache < 0.7 THEN 'warning' END, 0.7, round(cache, 4) FROM s)
-SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start, alert_type, severity, CAST(threshold AS DOUBLE) AS threshold,
-       value FROM a WHERE severity IS NOT NULL""")
+  SELECT ws{by}, 'cache', CASE WHEN cache < 0.7 THEN 'warning' END, 0.7, round(cache, 4) FROM s)
+"""
+
+
+@query("threshold_alerts", O_LOG + tiered_sql() + """SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start, alert_type,
+       severity, CAST(threshold AS DOUBLE) AS threshold, value FROM a WHERE severity IS NOT NULL""")
 def threshold_alerts(spark, sf):
     """ST6: per 5-minute window, tiered alerts on p95, error %, throughput and cache-hit ratio."""
-    r = derived(spark, sf, "request_log").withColumn("ws", F.window("ts", "5 minutes").start)
-    s = _stats(r, ["ws"], 300).withColumn("cache", F.col("cache_hit_ratio") / 100)
-    cache = r.groupBy("ws").agg((F.count_if(F.col("cache_hit")) / F.count(F.lit(1))).alias("cache_exact"))
-    s = s.join(cache, "ws")
+    return tiered_alerts(derived(spark, sf, "request_log"))
+
+
+def tiered_alerts(r, by=()):
+    """ST6 rows per 5-minute window and the columns ``by``."""
+    r = r.withColumn("ws", F.window("ts", "5 minutes").start)
+    keys = ["ws", *by]
+    s = _stats(r, keys, 300).withColumn("cache", F.col("cache_hit_ratio") / 100)
+    cache = r.groupBy(*keys).agg((F.count_if(F.col("cache_hit")) / F.count(F.lit(1))).alias("cache_exact"))
+    s = s.join(cache, keys)
     rt_sev, rt_thr = _tiered(F.col("p95_ms"), RESPONSE_TIME)
     er_sev, er_thr = _tiered(F.col("error_rate"), ERROR_RATE)
     alerts = F.array(
@@ -387,7 +461,7 @@ def threshold_alerts(spark, sf):
                  F.when(F.col("cache_exact") < CACHE_MIN, F.lit("warning")).alias("severity"),
                  F.lit(CACHE_MIN).alias("threshold"), F.round("cache_exact", 4).alias("value")),
     )
-    e = s.select(F.col("ws").alias("window_start"), F.explode(alerts).alias("a")).select("window_start", "a.*")
+    e = s.select(F.col("ws").alias("window_start"), *by, F.explode(alerts).alias("a")).select("window_start", *by, "a.*")
     return e.filter(F.col("severity").isNotNull())
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import logs as L
 from ..operators import metrics as M
+from ..operators import quota as Q
 from ..sources.fixtures import cte, derived
 from .registry import ORACLES, query
 
@@ -481,11 +482,31 @@ LOG_SCHEMA = ("timestamp STRING, level STRING, message STRING, requestId STRING,
               "cacheMissLog BOOLEAN, errorName STRING")
 
 
+# Fixed value: a line that matches begins an event.
+START_LINE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
+STITCH_CHUNK = 100_000
+
+
+def stitched_lines(lines):
+    """S20 on numbered lines: each event's first line with ``stack``, the lines after it (null if none).
+
+    Events are numbered by a running count inside chunks of line numbers plus the counts of earlier chunks, so that a long
+    log spreads over tasks; each event is then a group of its own lines. Lines before a file's first event are left out.
+    """
+    d = lines.withColumn("is_start", F.col("line").rlike(START_LINE).cast("int"))
+    d = Q.running_count(d, "file", ["line_no"], F.floor(F.col("line_no") / STITCH_CHUNK), "is_start").where("_count > 0")
+    more = F.array_sort(F.collect_list(F.when(F.col("is_start") == 0, F.struct("line_no", "line"))))
+    e = d.groupBy("file", "_count").agg(F.min("line_no").alias("line_no"), F.max(F.when(F.col("is_start") == 1, F.col("line"))).alias("line"),
+                                        more.alias("more"))
+    stack = F.when(F.size("more") > 0, F.array_join(F.transform("more", lambda x: x["line"]), "\n"))
+    return e.select("file", "line_no", "line", stack.alias("stack"))
+
+
 def parse_log_lines(lines):
     """JSON payload of start lines -> typed columns, category, priority (later rule wins), type."""
-    starts = lines.filter(F.col("line").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"))
-    j = starts.select("file", "line_no", F.from_json(F.regexp_extract("line", r"^\S+ \S+ (\{.*)$", 1),
-                                                     LOG_SCHEMA).alias("j"))
+    starts = lines.filter(F.col("line").rlike(START_LINE))
+    keep = ["file", "line_no", *[c for c in ("stack",) if c in lines.columns]]
+    j = starts.select(*keep, F.from_json(F.regexp_extract("line", r"^\S+ \S+ (\{.*)$", 1), LOG_SCHEMA).alias("j"))
     c = F.col
     level = c("j.level")
     category = F.when(level == "error", "error").when(level == "warn", "warning").otherwise("info")
@@ -498,7 +519,7 @@ def parse_log_lines(lines):
                        ("cacheMissLog", "cache_performance")):
         ltype = F.when(c(f"j.{flag}"), F.lit(name)).otherwise(ltype)
     return j.select(
-        "file", "line_no",
+        *keep,
         F.try_to_timestamp(c("j.timestamp"), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).cast("timestamp_ntz").alias("ts"),
         c("j.level").alias("level"), c("j.requestId").alias("correlation_id"), c("j.ip").alias("ip"),
         c("j.duration").try_cast("int").alias("duration"), category.alias("log_category"),
@@ -533,11 +554,17 @@ def _lines(spark, sf):
     return parse_log_lines(derived(spark, sf, "log_lines"))
 
 
-@query("log_categories", O_LINES + """SELECT file, line_no, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, level,
-  correlation_id, ip, CAST(duration AS BIGINT) AS duration, log_category, alert_priority, log_type, error_name FROM parsed""")
+@query("log_categories", O_LINES + f""", marked AS (
+  SELECT *, regexp_matches(line, '{START_LINE}') AS is_start,
+         count(*) FILTER (WHERE regexp_matches(line, '{START_LINE}')) OVER (PARTITION BY file ORDER BY line_no) AS ev FROM log_lines),
+stacks AS (SELECT file, min(line_no) AS line_no, string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE NOT is_start) AS stack
+           FROM marked WHERE ev > 0 GROUP BY file, ev)
+SELECT p.file, p.line_no, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, level, correlation_id, ip, CAST(duration AS BIGINT) AS duration,
+       log_category, alert_priority, log_type, error_name, s.stack
+FROM parsed p JOIN stacks s ON s.file = p.file AND s.line_no = p.line_no""")
 def log_categories(spark, sf):
-    """X25 + X26 + X27: parsed log events with category, priority and type."""
-    return _lines(spark, sf)
+    """X25 + X26 + X27: parsed log events with category, priority and type, and their stack lines."""
+    return parse_log_lines(stitched_lines(derived(spark, sf, "log_lines")))
 
 
 @query("route_alert_logs", O_LINES + """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS log_events,

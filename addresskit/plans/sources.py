@@ -88,9 +88,11 @@ def dataset_manifest(spark, sf):
 
 
 # ------------------------------------------------------------------ multiline logs
-def stage_logs(spark, sf) -> str:
-    root = FS.staging_root(spark, sf) + "/logs"
-    if FS._fs_exists(spark, f"{root}/_SUCCESS"):
+def stage_logs(spark, sf, root: str | None = None) -> str:
+    """The log files in a folder of their own, or staged once for all readers."""
+    shared = root is None
+    root = root or FS.staging_root(spark, sf) + "/logs"
+    if shared and FS._fs_exists(spark, f"{root}/_SUCCESS"):
         return root
     lines = derived(spark, sf, "log_lines")
     # each log file is written by one task in line order (a file is a sequential artefact)

@@ -224,7 +224,7 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
     # mixed spatial batch operations (some invalid), 50 operations per batch
     "api_requests": (
         f"""
-        SELECT c_custkey AS request_id,
+        SELECT c.c_custkey AS request_id,
                CAST(floor(CAST(c_custkey AS DOUBLE) / 50) AS BIGINT) AS batch_id,
                CASE c_custkey % 7 WHEN 3 THEN 'boundary' WHEN 4 THEN 'boundary' WHEN 5 THEN 'statistical'
                     WHEN 6 THEN CASE WHEN c_custkey % 14 = 6 THEN 'isochrone' ELSE 'proximity' END
@@ -237,14 +237,15 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
                CASE WHEN c_custkey % 23 = 0 THEN NULL
                     ELSE {_city_case('c_custkey', 4)} + CAST((c_custkey * 3001) % 1009 - 504 AS DOUBLE) / 10000 END
                    AS longitude,
-               CASE WHEN c_custkey % 46 = 0 THEN 'xy' END AS address,
+               CASE WHEN c_custkey % 46 = 0 THEN 'xy' WHEN c_custkey % 23 = 0 AND c_custkey % 3 > 0 THEN r.address_text
+                    WHEN c_custkey % 47 = 0 THEN r.address_text END AS address,
                CAST(CASE WHEN c_custkey % 37 = 0 THEN 0 WHEN c_custkey % 41 = 0 THEN 9000
                          WHEN c_custkey % 3 = 0 THEN 500 WHEN c_custkey % 3 = 1 THEN 1000 ELSE 2000 END AS BIGINT)
                    AS radius,
                CAST(CASE WHEN c_custkey % 43 = 0 THEN 100 ELSE 10 END AS BIGINT) AS max_results
-        FROM {{customer}}
+        FROM {{customer}} c JOIN {{requests_text}} r ON r.request_id = c.c_custkey
         """,
-        ("customer",),
+        ("customer", "requests_text"),
     ),
     # user-supplied CIDR ranges for IP enrichment: one /24 per nation plus a covering /16
     "ip_ranges": (
@@ -253,6 +254,9 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
         FROM {nation}
         UNION ALL
         SELECT '10.0.0.0/16', 'PRIVATE'
+        UNION ALL SELECT '0.0.0.0/0', 'ANYWHERE'
+        UNION ALL SELECT '10.0.0.0/8', 'TEN'
+        UNION ALL SELECT '10.0.0.5/32', 'HOST'
         """,
         ("nation",),
     ),
@@ -286,11 +290,56 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
                                    || ' ' || locality END END AS address_text,
                CASE WHEN request_id % 7 = 0 THEN 'vic' END AS state_filter,
                CASE request_id % 5 WHEN 1 THEN 1 WHEN 2 THEN 50 WHEN 3 THEN 500 WHEN 4 THEN 3 END AS max_results,
-               CAST(NULL AS STRING) AS postcode_filter
+               CASE WHEN request_id % 11 = 0 THEN CAST(2000 + request_id % 6000 AS STRING) END AS postcode_filter
         FROM base
         """,
         ("customer", "streets_raw", "part"),
     ),
+    # JSON bodies of requests, one of a list of cases a customer: right ones, and each rule broken
+    "api_bodies": (
+        """
+        WITH cases AS (SELECT * FROM (VALUES
+          (0, 'proximity', '{{"coordinates":{{"latitude":-33.8,"longitude":151.2}},"radius":500,"limit":5}}'),
+          (1, 'proximity', '{{}}'), (2, 'proximity', '{{"coordinates":null,"address":""}}'),
+          (3, 'proximity', '{{"coordinates":{{"latitude":"-33.8","longitude":151.2}}}}'),
+          (4, 'proximity', '{{"coordinates":{{"latitude":-33.8}}}}'), (5, 'proximity', '{{"coordinates":{{"latitude":-50,"longitude":151.2}}}}'),
+          (6, 'proximity', '{{"address":"ab "}}'), (7, 'proximity', '{{"address":42}}'),
+          (8, 'proximity', '{{"address":"1 main street","radius":0}}'), (9, 'proximity', '{{"address":"1 main street","radius":2.5}}'),
+          (10, 'proximity', '{{"address":"1 main street","radius":null}}'), (11, 'proximity', '{{"address":"1 main street","radius":5000.0,"limit":51}}'),
+          (12, 'proximity', '{{"address":"1 main street","propertyTypes":["a",1]}}'), (13, 'proximity', '{{"address":"1 main street","propertyTypes":"a"}}'),
+          (14, 'proximity', '{{"address":"1 main street","propertyTypes":[],"includeDistance":"yes"}}'),
+          (15, 'proximity', '{{"address":"1 main street","includeBearing":1}}'), (16, 'proximity', 'no json'),
+          (17, 'boundary', '{{"coordinates":{{"latitude":-33.8,"longitude":151.2}},"includeLGA":false}}'), (18, 'boundary', '{{"address":"x"}}'),
+          (19, 'boundary', '{{"coordinates":{{}}}}'), (20, 'boundary', '{{"coordinates":{{"latitude":-33.8,"longitude":160}}}}'),
+          (21, 'boundary', '{{"coordinates":{{"latitude":-33.8,"longitude":151.2}},"includeElectoral":"no"}}'),
+          (22, 'boundary', '{{"coordinates":{{"latitude":-33.8,"longitude":151.2}},"includePostal":null}}'),
+          (23, 'statistical', '{{"address":"1 main street","includeHierarchy":true}}'), (24, 'statistical', '{{"includeHierarchy":true}}'),
+          (25, 'statistical', '{{"coordinates":{{"latitude":1e400,"longitude":151.2}}}}'), (26, 'statistical', '{{"coordinates":{{"latitude":-8,"longitude":151.2}}}}'),
+          (27, 'statistical', '{{"address":"  a"}}'), (28, 'statistical', '{{"address":"abc","includeHierarchy":"true"}}'),
+          (29, 'batch', '{{"operations":[{{"id":"a","type":"proximity","parameters":{{}}}}],"options":{{"batchSize":10,"failFast":true}}}}'),
+          (30, 'batch', '{{"operations":[]}}'), (31, 'batch', '{{"operations":{{}}}}'),
+          (32, 'batch', '{{"operations":[{{"id":"a","type":"proximity","parameters":{{}}}},{{"id":7,"type":"x"}}]}}'),
+          (33, 'batch', '{{"operations":[{{"id":"a","type":"isochrone","parameters":{{}}}}]}}'),
+          (34, 'batch', '{{"operations":[{{"id":"a","type":"boundary"}},{{"id":""}}]}}'), (35, 'batch', '{{"operations":[{{"id":"","type":"boundary"}}]}}'),
+          (36, 'batch', '{{"operations":[{{"id":"a","type":"boundary","parameters":{{}}}}],"options":{{"batchSize":1.5}}}}'),
+          (37, 'batch', '{{"operations":[{{"id":"a","type":"boundary","parameters":[]}}],"options":{{"progressCallback":null}}}}'),
+          (38, 'batch', '{{"operations":[{{"id":"a","type":"boundary","parameters":{{}}}}],"options":{{"batchSize":0,"failFast":"x"}}}}'),
+          (39, 'search', '{{"q":" ","limit":5}}'), (40, 'search', '{{"q":"main","limit":51}}'), (41, 'search', '{{"q":"main","limit":0}}'), (42, 'search', '{{}}'),
+          (43, 'validate', '{{"address":""}}'), (44, 'validate', '{{"address":["x"]}}'), (45, 'validate', '{{"address":"LONG"}}'), (46, 'validate', '{{"address":"1 main street"}}'),
+          (47, 'geocode', '{{"address":"1 main street","coordinateSystem":"AGD66"}}'), (48, 'geocode', '{{"address":"1 main street","coordinateSystem":""}}'),
+          (49, 'geocode', '{{"coordinateSystem":"WGS84"}}'), (50, 'geocode', '{{"address":"LONG","coordinateSystem":"x"}}'),
+          (51, 'reverse', '{{"latitude":-33.8,"longitude":151.2,"radius":1000,"limit":10}}'), (52, 'reverse', '{{"latitude":"x","longitude":151.2}}'),
+          (53, 'reverse', '{{"latitude":-91,"longitude":151.2}}'), (54, 'reverse', '{{"latitude":-33.8,"longitude":181}}'),
+          (55, 'reverse', '{{"latitude":-33.8,"longitude":151.2,"coordinateSystem":"x"}}'), (56, 'reverse', '{{"latitude":-33.8,"longitude":151.2,"radius":1001}}'),
+          (57, 'reverse', '{{"latitude":-33.8,"longitude":151.2,"radius":0,"limit":11}}'), (58, 'batch', '{{"operations":MANY}}')
+          ) AS t(case_no, kind, body))
+        SELECT c.c_custkey AS request_id, k.case_no, k.kind,
+               replace(replace(k.body, 'LONG', repeat('1 main street ', 36)), 'MANY',
+                       '[' || repeat('{{"id":"a","type":"boundary","parameters":{{}}}},', 100) || '{{"id":"a","type":"boundary","parameters":{{}}}}]') AS body
+        FROM {customer} c JOIN cases k ON k.case_no = c.c_custkey % 59
+        """,
+        ("customer",),
+    ),
     # five cities x four quadrants; each polygon is a ring of 4 corners (long form)
     "boundaries": (
         """
@@ -307,6 +356,22 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
         """,
         ("cities",),
     ),
+    # three overlapping comb-shaped regions a city, 202 vertices each
+    "regions": (
+        """
+        WITH k AS (SELECT city_id, latitude, longitude, {numbers} AS k FROM {cities}),
+        r AS (SELECT k.*, s.shift FROM k CROSS JOIN (VALUES (0), (1), (2)) AS s(shift) WHERE k.k < 202)
+        SELECT 'R' || CAST(city_id AS STRING) || '-' || CAST(shift AS STRING) AS region_id, k AS vertex_no,
+               longitude + CAST(shift * 30 AS DOUBLE) / 1000
+                 + CASE WHEN k < 200 THEN CAST(k * 8 - 800 AS DOUBLE) / 10000 WHEN k = 200 THEN CAST(8 AS DOUBLE) / 100
+                        ELSE CAST(-8 AS DOUBLE) / 100 END AS x,
+               latitude + CAST(shift * 20 AS DOUBLE) / 1000
+                 + CASE WHEN k >= 200 THEN CAST(-7 AS DOUBLE) / 100 WHEN k % 2 = 0 THEN CAST(7 AS DOUBLE) / 100
+                        ELSE CAST(5 * (k % 7) - 20 AS DOUBLE) / 1000 END AS y
+        FROM r
+        """,
+        ("cities",),
+    ),
     # API request log, one row per event
     "request_log": (
         """
@@ -340,6 +405,41 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
         """,
         ("events",),
     ),
+    # the request log with bursts in it: forbidden and rate-limited requests, errors, slow calls, attacks in the query,
+    # the body and the proxy header
+    "burst_log": (
+        """
+        WITH n AS (
+          SELECT event_id, ts, user_id, {numbers} AS k FROM {events} WHERE event_id % 5000 = 7
+        ),
+        b AS (
+          SELECT 1 AS kind, event_id, ts, user_id, k, k * 150000 AS off_us FROM n
+          UNION ALL SELECT 2, event_id, ts, user_id, k, k * 900000 FROM n WHERE k < 400
+          UNION ALL SELECT 3, event_id, ts, user_id, k, CAST(3600000000 AS BIGINT) + k * 20000000 FROM n WHERE k < 24
+          UNION ALL SELECT 4, event_id, ts, user_id, k, CAST(7200000000 AS BIGINT) + k * 60000000 FROM n WHERE k < 12
+          UNION ALL SELECT 5, event_id, ts, user_id, k, CAST(10800000000 AS BIGINT) + k * 7000000 FROM n WHERE k < 20
+        )
+        SELECT request_id, ts, path, method, status_code, duration_ms, client, ip, cache_hit, query_text,
+               CAST(NULL AS STRING) AS body_text, CAST(NULL AS STRING) AS forwarded_for,
+               CASE status_code WHEN 500 THEN 'InternalError' WHEN 404 THEN 'NotFoundError' END AS error_name
+        FROM {request_log}
+        UNION ALL
+        SELECT 1000000000 + event_id * 100000 + kind * 10000 + k, {shift},
+               CASE WHEN k % 5 = 0 THEN '/api/v1/spatial/proximity' WHEN k % 5 < 3 THEN '/api/v1/addresses/search'
+                    ELSE '/api/v1/addresses/validate' END,
+               'GET', CAST(CASE kind WHEN 1 THEN 403 WHEN 2 THEN 429 WHEN 3 THEN CASE WHEN k % 2 = 0 THEN 500 ELSE 404 END
+                                     ELSE 200 END AS BIGINT),
+               CAST(CASE kind WHEN 4 THEN 1000 + k * 250 ELSE 20 END AS BIGINT), user_id,
+               '10.9.0.' || CAST((k + event_id) % 13 AS STRING), k % 2 = 0,
+               CASE WHEN kind = 5 AND k % 4 = 0 THEN 'q=1 UNION SELECT 2' ELSE 'q=street' END,
+               CASE WHEN kind = 5 AND k % 4 = 1 THEN '{{"address":"<script>alert(1)</script>"}}' WHEN kind = 5 AND k % 4 = 3 THEN '{{}}' END,
+               CASE WHEN kind = 5 AND k % 4 = 2 THEN '10.0.0.1/../1' WHEN k % 3 = 0 THEN '10.0.0.1' END,
+               CASE WHEN kind = 3 THEN CASE WHEN k % 3 = 0 THEN 'TimeoutError' WHEN k % 3 = 1 THEN 'InternalError'
+                                            ELSE 'ValidationError' END END
+        FROM b
+        """,
+        ("events", "request_log"),
+    ),
     # per-minute cumulative request counter, reset at the start of each day
     "counters": (
         """
@@ -388,8 +488,10 @@ DERIVED: dict[str, tuple[str, tuple[str, ...]]] = {
 
 # Expressions that differ between the two SQL dialects.
 DIALECT = {
-    "spark": {"ts_ms_text": "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS')"},
-    "duckdb": {"ts_ms_text": "strftime(ts, '%Y-%m-%d %H:%M:%S.%g')"},
+    "spark": {"ts_ms_text": "date_format(ts, 'yyyy-MM-dd HH:mm:ss.SSS')", "numbers": "explode(sequence(0L, 3599L))",
+              "shift": "timestampadd(MICROSECOND, off_us, ts)"},
+    "duckdb": {"ts_ms_text": "strftime(ts, '%Y-%m-%d %H:%M:%S.%g')", "numbers": "unnest(generate_series(0, 3599))",
+               "shift": "ts + to_microseconds(off_us)"},
 }
 
 
@@ -448,7 +550,9 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     else:
         sql, deps = DERIVED[name]
         frames = {d: derived(spark, sf_dir, d) for d in deps}
-        df = spark.sql(sql.replace("{ts_ms_text}", DIALECT["spark"]["ts_ms_text"]), **frames)
+        for name_, text in DIALECT["spark"].items():
+            sql = sql.replace(f"{{{name_}}}", text)
+        df = spark.sql(sql, **frames)
     _FRAMES[key] = df
     return df
 

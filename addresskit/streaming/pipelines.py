@@ -1,4 +1,4 @@
-"""Structured Streaming jobs (ST1, ST2, ST12, ST15).
+"""Structured Streaming jobs that write tables (ST1, ST15).
 
 Sources are directories of files (new files = new data); every query runs
 with a checkpoint location in the shared folder and can be run with
@@ -11,19 +11,16 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..session import checkpoint_dir
+from ..sources.snapshots import SnapshotTable
+from .stateful import use_rocksdb
+from .stitching import log_events
 
-WATERMARK = "10 minutes"
-
-# Notification repeat interval per severity (seconds); default 1 h.
-REPEAT_S = {"critical": 300, "warning": 1800, "info": 43200}
-DEFAULT_REPEAT_S = 3600
-ALERT_STEP_S = 300
+# Fixed value: a log that is silent for so long (seconds) has its last event put out.
+FLUSH_S = 5
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -41,10 +38,13 @@ def route_logs(batch: DataFrame, epoch: int, out: str) -> None:
 
 
 def ingest_logs(spark: SparkSession, source: str, out: str, parse, available_now: bool = True):
-    """ST1: text log files -> parsed events; S21: daily log sink plus a copy of high/critical events."""
-    lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(source)
-    parsed = parse(lines.select(F.col("file"), F.lit(None).cast("long").alias("line_no"),
-                                F.col("value").alias("line")))
+    """ST1: log files -> whole events (S20) -> parsed events; S21: daily log sink plus a copy of high/critical events.
+
+    A running stream puts out the last event of a silent log after FLUSH_S; a run over what is there leaves it open for the next.
+    """
+    use_rocksdb(spark)
+    e = log_events(spark, source, flush_s=None if available_now else FLUSH_S).where(F.col("first").isNotNull())
+    parsed = parse(e.select("file", F.lit(None).cast("long").alias("line_no"), F.col("first").alias("line"), F.col("rest").alias("stack")))
     parsed = parsed.withColumn("day", F.to_date("ts"))
 
     def route(batch: DataFrame, epoch: int) -> None:
@@ -59,109 +59,29 @@ def ingest_logs(spark: SparkSession, source: str, out: str, parse, available_now
     return w.start()
 
 
-# ------------------------------------------------------------------ ST2 streaming twin
-def error_burst_stream(spark: SparkSession, source: str, schema, out: str):
-    """ST2 on a stream: errors per sliding 5-minute window (1-minute slide), watermark 10 minutes."""
-    ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    ev = ev.withColumn("ets", F.col("ts").cast("timestamp")).filter(F.col("status_code") >= 400)
-    agg = (ev.withWatermark("ets", WATERMARK)
-           .groupBy(F.window("ets", "5 minutes", "1 minute").alias("w"))
-           .agg(F.count(F.lit(1)).alias("n_errors")))
-    q = (agg.select(F.col("w.start").alias("window_start"), "n_errors").writeStream.outputMode("append")
-         .format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/_checkpoint")
-         .trigger(availableNow=True).start())
-    return q
-
-
-# ------------------------------------------------------------------ ST12 alert grouping
-ALERT_OUT = "alert_type string, severity string, window_start timestamp_ntz, notified boolean, episode long"
-
-
-def _dedup_rows(rows: pd.DataFrame, last_sent, prev_ts, episode):
-    """Sequential rule for one alert group: notify when a firing episode starts or the repeat interval passed."""
-    out = []
-    rows = rows.sort_values("window_start")
-    for r in rows.itertuples(index=False):
-        t = pd.Timestamp(r.window_start)
-        repeat = pd.Timedelta(seconds=REPEAT_S.get(r.severity, DEFAULT_REPEAT_S))
-        new_episode = prev_ts is None or (t - prev_ts) > pd.Timedelta(seconds=ALERT_STEP_S)
-        if new_episode:
-            episode += 1
-        notify = new_episode or last_sent is None or (t - last_sent) >= repeat
-        if notify:
-            last_sent = t
-        prev_ts = t
-        out.append((r.alert_type, r.severity, t, notify, episode))
-    return out, last_sent, prev_ts, episode
-
-
-def alert_dedup_batch(alerts: DataFrame) -> DataFrame:
-    """ST12 batch: one pandas group per (alert, severity); a group holds one row per 5-minute alert
-    window, so its size follows the time range covered, not the request volume."""
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, *_ = _dedup_rows(pdf, None, None, 0)
-        return pd.DataFrame(out, columns=["alert_type", "severity", "window_start", "notified", "episode"])
-
-    return alerts.groupBy("alert_type", "severity").applyInPandas(fn, ALERT_OUT)
-
-
-def alert_dedup_stream(spark: SparkSession, source: str, schema, out: str):
-    """ST12 streaming: the same rule with per-group state (last sent, last seen, episode)."""
-    alerts = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-
-    def fn(key, pdfs, state):
-        last_sent, prev_ts, episode = (None, None, 0)
-        if state.exists:
-            ls, pt, episode = state.get
-            last_sent = pd.Timestamp(ls) if ls is not None else None
-            prev_ts = pd.Timestamp(pt) if pt is not None else None
-        rows = pd.concat(list(pdfs)) if pdfs else pd.DataFrame()
-        out, last_sent, prev_ts, episode = _dedup_rows(rows, last_sent, prev_ts, episode)
-        state.update((last_sent.to_pydatetime() if last_sent is not None else None,
-                      prev_ts.to_pydatetime() if prev_ts is not None else None, episode))
-        yield pd.DataFrame(out, columns=["alert_type", "severity", "window_start", "notified", "episode"])
-
-    res = alerts.groupBy("alert_type", "severity").applyInPandasWithState(
-        fn, ALERT_OUT, "last_sent timestamp_ntz, prev_ts timestamp_ntz, episode long", "append",
-        GroupStateTimeout.NoTimeout)
-    return (res.writeStream.outputMode("append").format("parquet").option("path", f"{out}/data")
-            .option("checkpointLocation", f"{out}/_checkpoint").trigger(availableNow=True).start())
-
-
 # ------------------------------------------------------------------ ST15 register refresh
-def latest_snapshot(spark: SparkSession, out: str, before: int | None = None) -> str | None:
-    """Folder of the newest complete register snapshot (of an epoch below ``before``), or None when there is none.
-
-    A snapshot counts once its writer has committed it (``_SUCCESS``), so readers never see half of one, and a
-    retried epoch starts from the same snapshot as its first try.
-    """
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/snapshot/v*/_SUCCESS")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern) or []
-    folders = {int(s.getPath().getParent().getName()[1:]): str(s.getPath().getParent()) for s in found}
-    epochs = [e for e in folders if before is None or e < before]
-    return folders[max(epochs)] if epochs else None
-
-
 def register_refresh_stream(spark: SparkSession, source: str, schema, geocodes: DataFrame, localities: DataFrame,
-                            streets: DataFrame, out: str, as_of_date: str):
-    """ST15: new address-detail files -> load transform -> upsert into a new register snapshot per batch.
+                            streets: DataFrame, table: SnapshotTable, layout, out: str, as_of_date: str):
+    """ST15: new address-detail files -> load transform -> upsert into the stored register, a snapshot per batch.
 
-    The first batch takes the same upsert, onto an empty register; a snapshot that cannot be read fails the batch.
+    Only the partitions that a batch touches are rewritten. A batch's snapshot has the batch's number and starts from the one
+    before it, so a retried batch replaces its own; of two rows of a key in a batch the later by file and place counts.
     """
     from ..operators import register as R
-    from ..operators import upsert as U
 
     raw = spark.readStream.schema(schema).option("header", True).option("sep", "|") \
         .option("maxFilesPerTrigger", 8).csv(source)
+    raw = raw.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("_came"))
     upd = ["formatted_address", "confidence_score", "completeness_score"]
 
     def apply(batch: DataFrame, epoch: int) -> None:
         b = batch.withColumn("date_created", F.col("date_created").try_cast("date"))
-        rows = R.load_addresses(b, geocodes, localities, streets, as_of_date=as_of_date)
-        before = latest_snapshot(spark, out, epoch)
-        cur = rows.where(F.lit(False)) if before is None else spark.read.parquet(before)
-        U.upsert(cur, rows, "address_detail_pid", upd).write.mode("overwrite").parquet(f"{out}/snapshot/v{epoch:09d}")
+        came = b.select("address_detail_pid", F.struct("_came.file", "_came.block", F.monotonically_increasing_id().alias("row")).alias("came"))
+        came = came.groupBy("address_detail_pid").agg(F.max("came").alias("came"))
+        last = b.select("*", F.struct("_came.file", "_came.block", F.monotonically_increasing_id().alias("row")).alias("came"))
+        last = last.join(came, ["address_detail_pid", "came"], "left_semi").drop("_came", "came")
+        rows = R.load_addresses(last, geocodes, localities, streets, as_of_date=as_of_date)
+        table.upsert(layout(rows).withColumn("_order", F.lit(0)), "address_detail_pid", upd, "_order", version=epoch)
 
     return (raw.writeStream.foreachBatch(apply).option("checkpointLocation", f"{out}/_checkpoint")
             .trigger(availableNow=True).start())

@@ -104,22 +104,86 @@ def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(False), edge)
 
 
-def contains_join(points: DataFrame, polygons: DataFrame, cell_deg: float = 0.05, key: str = "boundary_id") -> DataFrame:
-    """(point, polygon) pairs with the point inside; bbox cells make it an equi-join.
+EDGE = 1e-6  # of a cell: more than a computed crossing can be from the true one
+FLAT = 1e-3  # of a cell: an edge that rises less counts with its whole width
 
-    ``points`` needs px, py (lon, lat); ``polygons`` comes from ``rings``.
-    Polygons are exploded over the cells of their bounding box; each point
-    looks up only its own cell.
+
+def polygon_index(boundaries_long: DataFrame, cell: float = 0.05, key: str = "boundary_id") -> DataFrame:
+    """Rows ``key, cell_x, cell_y, inside, ys, edges`` from vertex rows (``vertex_no, x, y``); no ring travels.
+
+    A ray to the right of a point crosses three kinds of edges, seen from the point's cell and row of cells. Edges that
+    reach the cell's columns inside the row are listed (``edges``) and tested. Edges wholly to the right count whenever the
+    point's y is between their ends, and along a chain of such edges all inner vertices cancel: what is left is the
+    parity of those that cross the whole row (``inside``) and the y of the chain's ends inside the row (``ys``). A cell
+    without edges and ys is wholly inside or, without a row, wholly outside. The work grows with the cells that the edges
+    pass and the cells inside, and no polygon's vertices meet in one row.
     """
-    poly = polygons.withColumn(
-        "cell_x", F.explode(F.sequence(F.floor(F.col("min_x") / cell_deg).cast("long"),
-                                       F.floor(F.col("max_x") / cell_deg).cast("long")))
-    ).withColumn(
-        "cell_y", F.explode(F.sequence(F.floor(F.col("min_y") / cell_deg).cast("long"),
-                                       F.floor(F.col("max_y") / cell_deg).cast("long")))
-    )
-    pts = points.withColumn("cell_x", F.floor(F.col("px") / cell_deg).cast("long")).withColumn(
-        "cell_y", F.floor(F.col("py") / cell_deg).cast("long"))
-    j = pts.join(poly, ["cell_x", "cell_y"])
-    j = j.filter(F.col("px").between(F.col("min_x"), F.col("max_x")) & F.col("py").between(F.col("min_y"), F.col("max_y")))
-    return j.filter(point_in_ring(F.col("px"), F.col("py"), F.col("ring"))).drop("cell_x", "cell_y")
+    order = Window.partitionBy(key).orderBy("vertex_no")
+    ends = Window.partitionBy(key).orderBy("vertex_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    e = boundaries_long.select(
+        key, "vertex_no", F.col("x").alias("x1"), F.col("y").alias("y1"),
+        F.coalesce(F.lead("x").over(order), F.first("x").over(ends)).alias("x2"),
+        F.coalesce(F.lead("y").over(order), F.first("y").over(ends)).alias("y2"),
+        F.coalesce(F.lead("vertex_no").over(order), F.first("vertex_no").over(ends)).alias("next_no"))
+
+    def row(c):
+        return F.floor(c / cell).cast("long")
+
+    low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
+    e = e.withColumn("cell_y", F.explode(F.sequence(row(low), row(high))))
+
+    def x_at(y):
+        return F.col("x1") + (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (F.col("y2") - F.col("y1"))
+
+    flat = high - low < FLAT * cell
+    xa, xb = x_at(F.greatest(low, F.col("cell_y") * cell)), x_at(F.least(high, (F.col("cell_y") + 1) * cell))
+    left = F.when(flat, F.least("x1", "x2")).otherwise(F.least(xa, xb)) - EDGE * cell
+    right = F.when(flat, F.greatest("x1", "x2")).otherwise(F.greatest(xa, xb)) + EDGE * cell
+    # first: the first column the edge reaches in this row; it is wholly to the right of all columns before
+    e = e.withColumn("first", row(left)).withColumn("last", row(right))
+    for end in ("1", "2"):
+        e = e.withColumn(f"up{end}", row(F.col(f"y{end}")) > F.col("cell_y")).withColumn(f"in{end}", row(F.col(f"y{end}")) == F.col("cell_y"))
+
+    listed = e.select(key, "cell_y", F.explode(F.sequence("first", "last")).alias("cell_x"), F.struct("x1", "y1", "x2", "y2").alias("edge"))
+    listed = listed.groupBy(key, "cell_x", "cell_y").agg(F.collect_list("edge").alias("edges"))
+    # a vertex inside the row belongs to two edges of the row and counts where only one of them is wholly to the right
+    v = e.where("in1").select(key, "cell_y", F.col("vertex_no").alias("v"), F.col("y1").alias("y"), "first").unionByName(
+        e.where("in2").select(key, "cell_y", F.col("next_no").alias("v"), F.col("y2").alias("y"), "first"))
+    v = v.groupBy(key, "cell_y", "v", "y").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b")
+    v = v.select(key, "cell_y", "y", F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("cell_x"))
+    ys = v.groupBy(key, "cell_x", "cell_y").agg(F.collect_list("y").alias("ys"))
+
+    # edges with one end above the row: every column before their first sees them
+    turns = e.where("up1 <> up2").groupBy(key, "cell_y", "first").agg((F.count(F.lit(1)) % 2).alias("odd")).where("odd = 1")
+    span = e.groupBy(key, "cell_y").agg(F.min("first").alias("a"))
+    # between two turns the parity is the same: one row a stretch, then its cells
+    later = Window.partitionBy(key, "cell_y").orderBy("first")
+    after = Window.partitionBy(key, "cell_y").orderBy(F.col("first").desc())
+    stretch = turns.join(span, [key, "cell_y"]).select(
+        key, "cell_y", F.coalesce(F.lag("first").over(later), F.col("a")).alias("from"), (F.col("first") - 1).alias("to"),
+        (F.row_number().over(after) % 2 == 1).alias("odd")).where("odd AND `from` <= `to`")
+    inside = stretch.select(key, "cell_y", F.explode(F.sequence("from", "to")).alias("cell_x"), F.lit(True).alias("inside"))
+
+    by = [key, "cell_x", "cell_y"]
+    return inside.join(listed, by, "full").join(ys, by, "full").select(
+        *by, F.coalesce("inside", F.lit(False)).alias("inside"),
+        F.coalesce("ys", F.array().cast("array<double>")).alias("ys"),
+        F.coalesce("edges", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")).alias("edges"))
+
+
+def contains_join(points: DataFrame, index: DataFrame, cell: float = 0.05) -> DataFrame:
+    """The rows of ``points`` (px, py) joined to the ``polygon_index`` rows of the polygons that they are in.
+
+    The same answer as the crossing-number test of the whole ring, from the point's cell alone.
+    """
+    pts = points.withColumn("cell_x", F.floor(F.col("px") / cell).cast("long")).withColumn(
+        "cell_y", F.floor(F.col("py") / cell).cast("long"))
+    j = pts.join(index, ["cell_x", "cell_y"])
+    px, py = F.col("px"), F.col("py")
+
+    def crossed(e):
+        straddles = (e["y1"] > py) != (e["y2"] > py)
+        return F.when(straddles, px < (e["x2"] - e["x1"]) * (py - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]).otherwise(False)
+
+    odd = (F.size(F.filter("edges", crossed)) + F.size(F.filter("ys", lambda y: y > py))) % 2 == 1
+    return j.where(odd != F.col("inside")).drop("cell_x", "cell_y", "inside", "ys", "edges")

@@ -58,7 +58,7 @@ def _o_req(radius, limit, radius_sql=None, where="TRUE"):
     rx, ry = _xy_sql("lat", "lon")
     px, py = _xy_sql("latitude", "longitude")
     rad = radius_sql or _sql_clamp("radius", radius)
-    return C.register_sql("requests_point", "cities", "boundaries") + f""",
+    return C.register_sql("requests_point", "cities", "boundaries", "regions") + f""",
 req0 AS (SELECT request_id, round(latitude, 7) AS lat, round(longitude, 7) AS lon,
                 {rad} AS radius, {_sql_clamp('max_results', limit)} AS k
          FROM requests_point),
@@ -254,7 +254,7 @@ def density_hotspots(spark, sf):
 @query("boundary_lookup", None)
 def boundary_lookup(spark, sf):
     """J13 + X18: first polygon (by id) containing each request point."""
-    polys = S.rings(derived(spark, sf, "boundaries"))
+    polys = S.polygon_index(derived(spark, sf, "boundaries"))
     meta = derived(spark, sf, "boundaries").select("boundary_id", "locality_name", "state_code", "lga_name").distinct()
     req = normalised_requests(spark, sf).select("request_id", F.col("req_lon").alias("px"), F.col("req_lat").alias("py"))
     hits = S.contains_join(req, polys)
@@ -264,6 +264,14 @@ def boundary_lookup(spark, sf):
         K.lga_category(F.col("lga_name")).alias("lga_category"))
 
 
+@query("region_lookup", None)
+def region_lookup(spark, sf):
+    """Every overlapping, concave region that contains each request point."""
+    req = normalised_requests(spark, sf).select("request_id", F.col("req_lon").alias("px"), F.col("req_lat").alias("py"))
+    index = S.polygon_index(derived(spark, sf, "regions"), key="region_id")
+    return S.contains_join(req, index).select("request_id", "region_id")
+
+
 @query("lga_category", None)
 def lga_category(spark, sf):
     """LGA category of every address's LGA name."""
@@ -421,6 +429,12 @@ inside AS (SELECT request_id, min(boundary_id) AS boundary_id FROM hits WHERE cr
 meta AS (SELECT DISTINCT boundary_id, locality_name, state_code, lga_name FROM boundaries)
 SELECT i.request_id, i.boundary_id, m.locality_name, m.state_code, m.lga_name, {_LGA_SQL} AS lga_category
 FROM inside i JOIN meta m ON m.boundary_id = i.boundary_id"""
+ORACLES["region_lookup"] = _o_req(PROXIMITY_RADIUS, PROXIMITY_LIMIT) + """,
+edges AS (SELECT region_id, x AS x1, y AS y1, coalesce(lead(x) OVER v, first_value(x) OVER v) AS x2,
+                 coalesce(lead(y) OVER v, first_value(y) OVER v) AS y2 FROM regions WINDOW v AS (PARTITION BY region_id ORDER BY vertex_no))
+SELECT r.request_id, e.region_id FROM req r CROSS JOIN edges e GROUP BY 1, 2
+HAVING sum(CASE WHEN (e.y1 > r.lat) <> (e.y2 > r.lat)
+                 AND r.lon < (e.x2 - e.x1) * (r.lat - e.y1) / (e.y2 - e.y1) + e.x1 THEN 1 ELSE 0 END) % 2 = 1"""
 ORACLES["lga_category"] = O + f"SELECT lga_name, {_LGA_SQL} AS lga_category, count(*) AS n FROM addresses GROUP BY lga_name"
 ORACLES["delivery_office"] = O + """SELECT postcode,
   CASE WHEN TRY_CAST(postcode AS INTEGER) BETWEEN 1000 AND 2999 THEN 'NSW'

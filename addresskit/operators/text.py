@@ -10,7 +10,9 @@ document-frequency table and the *rarest* term alone generates candidates
 through the inverted index (an equi-join on the token). Every other term is
 then verified on the candidate's own ``doc`` (an equi-join on the address key
 plus an array expression), so a very common term (a state code, a frequent
-suburb) never fans out the join. Prefix terms (J17) use edge n-grams (>= 3
+suburb) never fans out the join. Where index and documents are stored
+partitioned by token and by address key, neither moves: the requests and
+their candidates go to them. Prefix terms (J17) use edge n-grams (>= 3
 characters) of the tokens as the index keys.
 
 Relevance (D7) is our own, PostgreSQL's stemmer and ts_rank are not
@@ -153,19 +155,12 @@ def match_requests(requests: DataFrame, docs: DataFrame, terms_col: str = "terms
     rt = requests.select("request_id", F.explode(F.array_distinct(F.col(terms_col))).alias("term"))
     with_df = rt.join(df, rt.term == df.index_key, "left").select(
         "request_id", "term", F.coalesce("df", F.lit(0)).alias("df"))
-    # the two rarest terms per request; a term absent from the index rules the request out
+    # the rarest term per request; a term absent from the index rules the request out
     ranked = with_df.groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.struct("df", "term"))).alias("_t"), F.min("df").alias("min_df"))
-    ranked = ranked.filter(F.col("min_df") > 0).select(
-        "request_id", F.col("_t")[0]["term"].alias("term"),
-        F.when(F.size("_t") > 1, F.col("_t")[1]["term"]).alias("term2"))
-    cand = ranked.join(idx, ranked.term == idx.index_key).select("request_id", key, "term2")
-    # second rarest term checked on the index itself: a narrow equi-join on (key, token)
-    hit = idx.select(F.col(key), F.col("index_key").alias("term2"), F.lit(True).alias("_hit"))
-    cand = cand.join(hit, [key, "term2"], "left").filter(F.col("term2").isNull() | F.col("_hit"))
-    cand = cand.select("request_id", key)
-    terms = requests.select("request_id", F.array_distinct(F.col(terms_col)).alias("_terms"))
-    j = cand.join(terms, "request_id").join(docs, key)
+        F.min(F.struct("df", "term")).alias("_t"), F.sort_array(F.collect_list("term")).alias("_terms")).filter(F.col("_t.df") > 0)
+    ranked = ranked.select("request_id", F.col("_t.term").alias("term"), "_terms")
+    cand = ranked.join(idx, ranked.term == idx.index_key).select("request_id", key, "_terms")
+    j = cand.join(docs, key)
     w = _match_weights(F.col("doc"), F.col("_terms"), prefix)
     j = j.withColumn("_w", w).filter(F.forall("_w", lambda x: x.isNotNull()))
     mean_w = F.aggregate("_w", F.lit(0.0), lambda acc, x: acc + x) / F.size("_w")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import bodies as B
 from ..functions import geo as G
 from ..operators import spatial as S
-from ..sources.fixtures import derived
+from ..sources.fixtures import cte, derived
 from . import common as C
 from . import spatial as SP
 from . import text as TX
@@ -56,7 +57,7 @@ _ERR_SQL = """CASE WHEN op_type NOT IN ('proximity', 'boundary', 'statistical')
        WHEN op_type = 'proximity' AND max_results IS NOT NULL AND (max_results < 1 OR max_results > 50) THEN 'INVALID_LIMIT'
        END END"""
 
-O_API = C.register_sql("api_requests", "boundaries") + f""",
+O_API = C.register_sql("api_requests", "boundaries") + TX.O_TXT.removeprefix(C.register_sql("requests_text")) + TX._GEO + f""",
 api AS (SELECT *, {_ERR_SQL} AS error_code FROM api_requests)
 """
 
@@ -68,12 +69,45 @@ def request_errors(spark, sf):
     return r.select("request_id", "batch_id", "op_type", request_error_code(r).alias("error_code"))
 
 
+# The code that each case of the fixture must get by the rules of the request contract.
+EXPECTED_CODES = {
+    1: "MISSING_LOCATION", 2: "MISSING_LOCATION", 3: "INVALID_COORDINATES", 4: "INVALID_COORDINATES", 5: "COORDINATES_OUT_OF_BOUNDS",
+    6: "INVALID_ADDRESS", 7: "INVALID_ADDRESS", 8: "INVALID_RADIUS", 9: "INVALID_RADIUS", 10: "INVALID_RADIUS", 11: "INVALID_LIMIT",
+    12: "INVALID_PROPERTY_TYPES", 13: "INVALID_PROPERTY_TYPES", 14: "INVALID_INCLUDE_DISTANCE", 15: "INVALID_INCLUDE_BEARING",
+    16: "VALIDATION_ERROR", 18: "MISSING_COORDINATES", 19: "INVALID_COORDINATES", 20: "COORDINATES_OUT_OF_BOUNDS",
+    21: "INVALID_BOOLEAN_FLAG", 22: "INVALID_BOOLEAN_FLAG", 24: "MISSING_LOCATION", 25: "INVALID_COORDINATES",
+    26: "COORDINATES_OUT_OF_BOUNDS", 27: "INVALID_ADDRESS", 28: "INVALID_INCLUDE_HIERARCHY", 30: "MISSING_OPERATIONS",
+    31: "MISSING_OPERATIONS", 32: "INVALID_OPERATION_ID", 33: "INVALID_OPERATION_TYPE", 34: "MISSING_PARAMETERS",
+    35: "INVALID_OPERATION_ID", 36: "INVALID_BATCH_SIZE", 37: "INVALID_PROGRESS_CALLBACK", 38: "INVALID_FAIL_FAST", 39: "MISSING_QUERY",
+    40: "INVALID_LIMIT", 42: "MISSING_QUERY", 43: "MISSING_ADDRESS", 44: "MISSING_ADDRESS", 45: "ADDRESS_TOO_LONG",
+    47: "INVALID_COORDINATE_SYSTEM", 49: "MISSING_ADDRESS", 50: "ADDRESS_TOO_LONG", 52: "INVALID_COORDINATES", 53: "INVALID_LATITUDE",
+    54: "INVALID_LONGITUDE", 55: "INVALID_COORDINATE_SYSTEM", 56: "INVALID_RADIUS", 57: "INVALID_LIMIT", 58: "BATCH_TOO_LARGE"}
+
+
+@query("body_errors", cte("api_bodies") + ", expected AS (SELECT * FROM (VALUES "
+       + ", ".join(f"({k}, '{v}')" for k, v in EXPECTED_CODES.items()) + """) AS t(case_no, error_code))
+SELECT b.request_id, b.kind, e.error_code FROM api_bodies b LEFT JOIN expected e ON e.case_no = b.case_no""")
+def body_errors(spark, sf):
+    """the first broken rule of each JSON request body (proximity, boundary, statistical, batch, search, validate, geocode, reverse)."""
+    return B.with_error_code(derived(spark, sf, "api_bodies"), "kind", "body").select("request_id", "kind", "error_code")
+
+
 def batch_frame(spark, sf):
-    """Route each valid operation to its join, error rows for the rest, one row per operation."""
+    """Route each valid operation to its join, error rows for the rest, one row per operation.
+
+    An operation without coordinates is geocoded from its address first (P18); only those are.
+    """
     r = derived(spark, sf, "api_requests")
     r = r.withColumn("error_code", request_error_code(r))
+    has = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    texts = r.filter(F.col("error_code").isNull() & ~has).select("request_id", F.col("address").alias("address_text"))
+    found = TX.geocode_frame(spark, sf, texts).select("request_id", "success", F.col("latitude").alias("g_lat"), F.col("longitude").alias("g_lon"))
+    r = C.cut(r.join(found, "request_id", "left"))
+    r = r.withColumn("error_code", F.when(~F.col("success"), F.lit("GEOCODING_FAILED")).otherwise(F.col("error_code")))
+    lat = F.when(has, F.round("latitude", 7)).otherwise(F.col("g_lat"))
+    lon = F.when(has, F.round("longitude", 7)).otherwise(F.col("g_lon"))
     ok = r.filter(F.col("error_code").isNull()).select(
-        "request_id", "op_type", F.round("latitude", 7).alias("req_lat"), F.round("longitude", 7).alias("req_lon"),
+        "request_id", "op_type", lat.alias("req_lat"), lon.alias("req_lon"),
         F.coalesce("radius", F.lit(1000)).alias("radius"), F.coalesce("max_results", F.lit(10)).alias("k"))
     ok = ok.withColumn("rx", G.mercator_x(F.col("req_lon"))).withColumn("ry", G.mercator_y(F.col("req_lat")))
     pts = S.with_xy(C.addresses(spark, sf)).select("gnaf_pid", "x", "y")
@@ -90,7 +124,7 @@ def batch_frame(spark, sf):
 
     bnd_req = ok.filter(F.col("op_type") == "boundary").select("request_id", F.col("req_lon").alias("px"),
                                                                F.col("req_lat").alias("py"))
-    polys = S.rings(derived(spark, sf, "boundaries"))
+    polys = S.polygon_index(derived(spark, sf, "boundaries"))
     hits = S.contains_join(bnd_req, polys).groupBy("request_id").agg(F.min("boundary_id").alias("first_result"))
     bnd = bnd_req.select("request_id").join(hits, "request_id", "left").select(
         "request_id", F.when(F.col("first_result").isNotNull(), 1).otherwise(0).alias("result_count"),
@@ -116,8 +150,12 @@ _XY = SP._xy_sql
 _RX, _RY = _XY("lat", "lon")
 _PX, _PY = _XY("latitude", "longitude")
 O_BATCH = O_API + f""",
-ok AS (SELECT request_id, op_type, round(latitude, 7) AS lat, round(longitude, 7) AS lon, coalesce(radius, 1000) AS radius,
-              coalesce(max_results, 10) AS k FROM api WHERE error_code IS NULL),
+api2 AS (SELECT a.* REPLACE (CASE WHEN a.error_code IS NULL AND (a.latitude IS NULL OR a.longitude IS NULL) AND NOT g.success
+                                    THEN 'GEOCODING_FAILED' ELSE a.error_code END AS error_code),
+                g.latitude AS g_lat, g.longitude AS g_lon FROM api a JOIN geo g ON g.request_id = a.request_id),
+ok AS (SELECT request_id, op_type, CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN round(latitude, 7) ELSE g_lat END AS lat,
+              CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN round(longitude, 7) ELSE g_lon END AS lon,
+              coalesce(radius, 1000) AS radius, coalesce(max_results, 10) AS k FROM api2 WHERE error_code IS NULL),
 okxy AS (SELECT *, {_RX} AS rx, {_RY} AS ry FROM ok),
 pts AS (SELECT gnaf_pid, {_PX} AS x, {_PY} AS y FROM addresses),
 pp AS (SELECT r.request_id, p.gnaf_pid, round(sqrt((p.x - r.rx) * (p.x - r.rx) + (p.y - r.ry) * (p.y - r.ry))) AS dm,
@@ -137,12 +175,12 @@ bh AS (SELECT r.request_id, e.boundary_id FROM ok r CROSS JOIN edges e WHERE r.o
        HAVING sum(CASE WHEN (e.y1 > r.lat) <> (e.y2 > r.lat)
                         AND r.lon < (e.x2 - e.x1) * (r.lat - e.y1) / (e.y2 - e.y1) + e.x1 THEN 1 ELSE 0 END) % 2 = 1),
 bnd AS (SELECT request_id, min(boundary_id) AS first_result FROM bh GROUP BY 1),
-sp AS (SELECT r.request_id, p.gnaf_pid,
+sap AS (SELECT r.request_id, p.gnaf_pid,
               row_number() OVER (PARTITION BY r.request_id ORDER BY round(sqrt((p.x - r.rx) * (p.x - r.rx)
                 + (p.y - r.ry) * (p.y - r.ry)), 4), p.gnaf_pid) AS rk
        FROM okxy r JOIN pts p ON p.x BETWEEN r.rx - 100 AND r.rx + 100 AND p.y BETWEEN r.ry - 100 AND r.ry + 100
        WHERE r.op_type = 'statistical' AND sqrt((p.x - r.rx) * (p.x - r.rx) + (p.y - r.ry) * (p.y - r.ry)) <= 100),
-stat AS (SELECT request_id, gnaf_pid AS first_result FROM sp WHERE rk = 1),
+stat AS (SELECT request_id, gnaf_pid AS first_result FROM sap WHERE rk = 1),
 res AS (
   SELECT a.batch_id, a.request_id, a.op_type,
          coalesce(a.error_code,
@@ -154,7 +192,7 @@ res AS (
                    ELSE CASE WHEN s.first_result IS NULL THEN 0 ELSE 1 END END AS BIGINT) AS result_count,
          CASE WHEN a.error_code IS NOT NULL THEN NULL WHEN a.op_type = 'proximity' THEN p.first_result
               WHEN a.op_type = 'boundary' THEN b.first_result ELSE s.first_result END AS first_result
-  FROM api a LEFT JOIN prox p ON p.request_id = a.request_id LEFT JOIN bnd b ON b.request_id = a.request_id
+  FROM api2 a LEFT JOIN prox p ON p.request_id = a.request_id LEFT JOIN bnd b ON b.request_id = a.request_id
   LEFT JOIN stat s ON s.request_id = a.request_id)
 """
 
@@ -212,7 +250,18 @@ def _ip_long(ip):
             + F.element_at(p, 3).cast("long") * 256 + F.element_at(p, 4).cast("long"))
 
 
-IP_BUCKET_BITS = 8
+def prefixes(ranges):
+    """The blocks of addresses that make up each range ``base..last``: rows ``bits, block``, at most two for each size.
+
+    A block of size 2^bits is taken where the range begins at an odd or ends behind an even multiple of it, so that no
+    two of them make up a larger one; a range of any width has at most 64.
+    """
+    r = ranges.withColumn("bits", F.explode(F.sequence(F.lit(0), F.lit(32))))
+    size = F.expr("shiftleft(CAST(1 AS BIGINT), bits)")
+    low, high = F.floor((F.col("base") + size - 1) / size).cast("long"), F.floor((F.col("last") + 1) / size).cast("long")
+    r = r.withColumn("low", low).withColumn("high", high).where("low < high")
+    taken = F.array(F.when(F.col("low") % 2 == 1, F.col("low")), F.when(F.col("high") % 2 == 1, F.col("high") - 1))
+    return r.withColumn("block", F.explode(F.filter(taken, lambda x: x.isNotNull()))).drop("low", "high")
 
 
 @query("ip_enrich", C.register_sql("request_log", "ip_ranges") + """,
@@ -229,21 +278,18 @@ m AS (SELECT i.ip, r.cidr, r.country, row_number() OVER (PARTITION BY i.ip ORDER
       FROM ips i JOIN rng2 r ON i.v BETWEEN r.base AND r.last)
 SELECT ip, cidr, country FROM m WHERE rk = 1""")
 def ip_enrich(spark, sf):
-    """J22 re-aimed: longest-prefix CIDR match of each distinct client IP; bucketed range join on /24 blocks.
+    """J22 re-aimed: longest-prefix CIDR match of each distinct client IP, one equi-join on (block size, block).
 
-    Ranges are exploded over the /24 blocks they cover (a wide range costs
-    one row per block, bounded by the range table); each IP looks up its
-    block by equality, then the exact range test and the longest prefix win.
+    A range becomes its few blocks, however wide it is; an address looks up one block for each size that occurs (at most 33).
     """
     ipr = derived(spark, sf, "ip_ranges")
     base = _ip_long(F.split("cidr", "/").getItem(0))
     plen = F.split("cidr", "/").getItem(1).cast("int")
     r = ipr.select("cidr", "country", plen.alias("plen"), base.alias("base"))
-    r = r.withColumn("last", F.col("base") + F.expr("shiftleft(CAST(1 AS BIGINT), 32 - plen)") - 1)
-    r = r.withColumn("block", F.explode(F.sequence(F.shiftright("base", IP_BUCKET_BITS),
-                                                   F.shiftright("last", IP_BUCKET_BITS))))
+    r = prefixes(r.withColumn("last", F.col("base") + F.expr("shiftleft(CAST(1 AS BIGINT), 32 - plen)") - 1))
+    sizes = sorted(x["bits"] for x in r.select("bits").distinct().collect())  # at most 33
     ips = derived(spark, sf, "request_log").select("ip").filter(~F.col("ip").isin("127.0.0.1", "::1")).distinct()
-    ips = ips.withColumn("v", _ip_long(F.col("ip"))).withColumn("block", F.shiftright("v", IP_BUCKET_BITS))
-    j = ips.join(r, "block").filter(F.col("v").between(F.col("base"), F.col("last")))
+    ips = ips.withColumn("v", _ip_long(F.col("ip"))).withColumn("bits", F.explode(F.array(*[F.lit(x) for x in sizes]).cast("array<int>")))
+    j = ips.withColumn("block", F.expr("shiftright(v, bits)")).join(r, ["bits", "block"])
     best = S.top_k(j, "ip", [F.desc("plen"), F.col("cidr")], 1)
     return best.select("ip", "cidr", "country")

@@ -28,7 +28,12 @@ def requests(spark, sf):
 def docs(spark, sf):
     """Addresses with their search documents (kept lean: key, doc and ranking columns)."""
     d = T.with_docs(C.addresses(spark, sf), C.localities(spark, sf), C.streets(spark, sf))
-    return d.select("gnaf_pid", "doc", "confidence_score", "address_status")
+    return d.select("gnaf_pid", "doc", "confidence_score", "address_status").repartition(_stored(spark), "gnaf_pid")
+
+
+def _stored(spark) -> int:
+    """Partitions of the stored index and documents: those of any shuffle, so that joins find them in place."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 @C.memo(persist=True)
@@ -47,7 +52,7 @@ def search_base(spark, sf):
     j = a.join(st, "street_locality_pid", "left").join(loc, "s_locality_pid", "left")
     display = F.concat_ws(" ", "number_first", "s_street_name", "s_street_type", "l_locality_name", "l_state_code",
                           "l_postcode")
-    return j.withColumn("display", display)
+    return j.withColumn("display", display).repartition(_stored(spark), "gnaf_pid")
 
 
 # ------------------------------------------------------------ X1-X6, P15
@@ -96,7 +101,7 @@ def search_postings(spark, sf):
 @C.memo(persist=True)
 def index(spark, sf):
     """Inverted index (token -> address): the GIN-index counterpart, built once per session."""
-    return T.postings(docs(spark, sf).select("gnaf_pid", "doc"))
+    return T.postings(docs(spark, sf).select("gnaf_pid", "doc")).repartition(_stored(spark), "index_key")
 
 
 @C.memo(persist=True)
@@ -108,11 +113,16 @@ def doc_freq(spark, sf):
 def prefix_index(spark, sf):
     """Edge n-gram index (prefix -> CURRENT address with confidence >= 70) for the geocode search."""
     d = docs(spark, sf).filter((F.col("address_status") == "CURRENT") & (F.col("confidence_score") >= 70))
-    return T.postings(d.select("gnaf_pid", "doc"), prefix=True)
+    return T.postings(d.select("gnaf_pid", "doc"), prefix=True).repartition(_stored(spark), "index_key")
 
 
-def _matches(spark, sf, terms, prefix=False, doc_filter=None, req_ids=None):
-    r = requests(spark, sf)
+@C.memo(persist=True)
+def prefix_freq(spark, sf):
+    return T.document_frequency(prefix_index(spark, sf))
+
+
+def _matches(spark, sf, terms, prefix=False, doc_filter=None, req_ids=None, reqs=None):
+    r = requests(spark, sf) if reqs is None else reqs
     if req_ids is not None:
         r = r.join(req_ids, "request_id", "left_semi")
     req = r.select("request_id", terms.alias("terms"))
@@ -121,7 +131,7 @@ def _matches(spark, sf, terms, prefix=False, doc_filter=None, req_ids=None):
         d = d.filter(doc_filter)
     if prefix:
         idx = prefix_index(spark, sf)
-        m = T.match_requests(req, d.select("gnaf_pid", "doc"), prefix=True, index=idx)
+        m = T.match_requests(req, d.select("gnaf_pid", "doc"), prefix=True, index=idx, doc_freq=prefix_freq(spark, sf))
     elif doc_filter is None:
         m = T.match_requests(req, d.select("gnaf_pid", "doc"), index=index(spark, sf), doc_freq=doc_freq(spark, sf))
     else:
@@ -130,23 +140,47 @@ def _matches(spark, sf, terms, prefix=False, doc_filter=None, req_ids=None):
     return m.select("request_id", "gnaf_pid", "relevance")
 
 
-@query("search_addresses")
-def search_addresses(spark, sf):
-    """F9 + F11 + J4 + T1: all-terms match, optional state/postcode filters, bonus/relevance/confidence, the request's limit (10, at most 50)."""
+def _search(spark, sf, *columns):
+    """The ranked hits of every search request, with further columns of the search base."""
     r = requests(spark, sf).select(
         "request_id", T.street_number(F.col("address_text")).alias("num"), "state_filter", "postcode_filter",
         F.least(F.coalesce("max_results", F.lit(SEARCH_LIMIT)), F.lit(SEARCH_MAX)).alias("k"))
     m = _matches(spark, sf, T.query_terms(F.col("address_text")))
     b = search_base(spark, sf).select("gnaf_pid", "number_first", "display", "confidence_score", "l_state_code",
-                                      "l_postcode")
-    j = m.join(r, "request_id").join(b, "gnaf_pid")
+                                      "l_postcode", *columns)
+    j = m.join(b, "gnaf_pid").join(r, "request_id")
     j = j.filter((F.col("state_filter").isNull() | (F.upper("state_filter") == F.col("l_state_code")))
                  & (F.col("postcode_filter").isNull() | (F.col("postcode_filter") == F.col("l_postcode"))))
     j = j.withColumn("bonus", F.when(F.col("number_first") == F.col("num"), 100).otherwise(0))
-    top = S.top_k(j, "request_id", [F.desc("bonus"), F.desc("relevance"), F.desc("confidence_score"),
-                                    F.col("gnaf_pid")], SEARCH_MAX, F.col("k"))
-    return top.select("request_id", "gnaf_pid", F.col("display").alias("formatted_address"), "confidence_score",
-                      "relevance", "bonus", F.col("rank").cast("long").alias("rank"))
+    return S.top_k(j, "request_id", [F.desc("bonus"), F.desc("relevance"), F.desc("confidence_score"),
+                                     F.col("gnaf_pid")], SEARCH_MAX, F.col("k"))
+
+
+@query("search_addresses")
+def search_addresses(spark, sf):
+    """F9 + F11 + J4 + T1: all-terms match, optional state/postcode filters, bonus/relevance/confidence, the request's limit (10, at most 50)."""
+    return _search(spark, sf).select("request_id", "gnaf_pid", F.col("display").alias("formatted_address"), "confidence_score",
+                                     "relevance", "bonus", F.col("rank").cast("long").alias("rank"))
+
+
+def search_columns_of(hits, coordinates, components):
+    """The hit's coordinates and components, each only where the request asks for it."""
+    def asked(flag, c):
+        return F.when(flag, c)
+
+    located = [("latitude", F.col("latitude")), ("longitude", F.col("longitude")), ("precision", F.col("coordinate_precision"))]
+    parts = [("street_number", F.col("number_first")), ("street_name", F.col("s_street_name")), ("street_type", F.col("s_street_type")),
+             ("suburb", F.col("l_locality_name")), ("state", F.col("l_state_code")), ("postcode", F.coalesce("l_postcode", F.lit("")))]
+    return hits.select("request_id", "gnaf_pid", F.col("display").alias("formatted_address"), F.col("confidence_score").alias("confidence"),
+                       F.col("rank").cast("long").alias("rank"), *[asked(coordinates, c).alias(n) for n, c in located],
+                       *[asked(components, c).alias(n) for n, c in parts])
+
+
+@query("search_columns")
+def search_columns(spark, sf):
+    """Search results with coordinates for every second and components for every third request."""
+    hits = _search(spark, sf, "latitude", "longitude", "coordinate_precision", "s_street_name", "s_street_type", "l_locality_name")
+    return search_columns_of(hits, F.col("request_id") % 2 == 0, F.col("request_id") % 3 == 0)
 
 
 def _exact(spark, sf):
@@ -177,7 +211,7 @@ def _fuzzy(spark, sf, req_ids=None):
     m = _matches(spark, sf, T.query_terms(F.col("normalised")), req_ids=req_ids)
     b = search_base(spark, sf).select("gnaf_pid", "number_first", "display", "confidence_score",
                                       "coordinate_reliability")
-    j = m.join(r, "request_id").join(b, "gnaf_pid")
+    j = m.join(b, "gnaf_pid").join(r, "request_id")
     j = j.withColumn("bonus", F.when(F.col("number_first") == F.col("num"), 100).otherwise(0))
     score = F.greatest(F.col("confidence_score") * 0.6, F.col("relevance") * 40)
     return S.top_k(j, "request_id", [F.desc("bonus"), F.desc(score), F.col("gnaf_pid")], SUGGESTION_LIMIT)
@@ -196,7 +230,7 @@ def _suggestions(spark, sf, req_ids=None):
     m = _matches(spark, sf, T.suggestion_terms(F.col("normalised")),
                  doc_filter=F.col("confidence_score") >= MIN_SUGGESTION, req_ids=req_ids)
     b = search_base(spark, sf).select("gnaf_pid", "number_first", "display", "confidence_score")
-    j = m.join(r, "request_id").join(b, "gnaf_pid")
+    j = m.join(b, "gnaf_pid").join(r, "request_id")
     j = j.withColumn("bonus", F.when(F.col("number_first") == F.col("num"), 100).otherwise(0))
     return S.top_k(j, "request_id", [F.desc("bonus"), F.desc("relevance"), F.desc("confidence_score"),
                                      F.col("gnaf_pid")], SUGGESTION_LIMIT)
@@ -212,7 +246,18 @@ def address_suggestions(spark, sf):
 
 @query("validate_addresses")
 def validate_addresses(spark, sf):
-    """J18 + X21: exact -> fuzzy (best >= 80) -> suggestions; one response row per request.
+    """J18 + X21: exact -> fuzzy (best >= 80) -> suggestions; one response row per request."""
+    return validate(spark, sf)
+
+
+@query("validate_strict")
+def validate_strict(spark, sf):
+    """Every second request in strict mode, where only an exact match counts and nothing is suggested."""
+    return validate(spark, sf, strict=F.col("request_id") % 2 == 0)
+
+
+def validate(spark, sf, strict=None):
+    """The validation cascade; requests that meet ``strict`` stop after the exact match.
 
     Each stage runs only on the requests the previous stages left over
     (``left_anti``); every stage is a join, none loops over requests.
@@ -220,7 +265,8 @@ def validate_addresses(spark, sf):
     req = requests(spark, sf).select("request_id", "address_text")
     ids = req.select("request_id")
     ex = C.cut(_exact(spark, sf))
-    rest = ids.join(ex.select("request_id"), "request_id", "left_anti")
+    left = ids.join(ex.select("request_id"), "request_id", "left_anti")
+    rest = left if strict is None else left.where(~strict)
     fz = C.cut(_fuzzy(spark, sf, rest))
     fbest = fz.filter((F.col("rank") == 1) & (F.col("confidence_score") >= VALID_MATCH))
     fsug = fz.filter(F.col("rank") > 1).groupBy("request_id").agg(F.count(F.lit(1)).alias("n_suggestions"))
@@ -239,7 +285,8 @@ def validate_addresses(spark, sf):
     e = matched(ex, "exact", F.lit(0).cast("long"), F.lit(False))
     f = matched(fbest.join(fsug, "request_id", "left"), "fuzzy", F.coalesce("n_suggestions", F.lit(0)).cast("long"),
                 F.lit(True))
-    none = rest2.join(req, "request_id").join(sg, "request_id", "left").select(
+    unmatched = rest2 if strict is None else rest2.unionByName(left.where(strict))
+    none = unmatched.join(req, "request_id").join(sg, "request_id", "left").select(
         "request_id", F.lit("none").alias("match_type"), F.lit(False).alias("is_valid"),
         F.lit(0).cast("long").alias("confidence"), F.lit(None).cast("string").alias("gnaf_pid"),
         F.lit(None).cast("string").alias("standardized_address"),
@@ -250,9 +297,9 @@ def validate_addresses(spark, sf):
 
 
 # ------------------------------------------------------------ geocoding J17, J6, J19
-def _vector(spark, sf):
+def _vector(spark, sf, reqs=None):
     cond = (F.col("address_status") == "CURRENT") & (F.col("confidence_score") >= 70)
-    m = _matches(spark, sf, T.prefix_terms(F.col("address_text")), prefix=True, doc_filter=cond)
+    m = _matches(spark, sf, T.prefix_terms(F.col("address_text")), prefix=True, doc_filter=cond, reqs=reqs)
     a = C.addresses(spark, sf).select("gnaf_pid", "formatted_address", "confidence_score")
     j = m.join(a, "gnaf_pid")
     score = F.greatest(F.col("confidence_score") * 0.6, F.col("relevance") * 40)
@@ -267,9 +314,9 @@ def geocode_vector(spark, sf):
                       F.col("rank").cast("long").alias("rank"))
 
 
-def _component(spark, sf):
+def _component(spark, sf, reqs=None):
     """Equi-join on the house number (salted), then contains on street and locality."""
-    r = requests(spark, sf)
+    r = requests(spark, sf) if reqs is None else reqs
     s = T.positional_split(F.col("address_text"))
     req = r.select("request_id", s["number"].alias("number"), F.lower(s["street"]).alias("street_q"),
                    F.lower(s["locality"]).alias("locality_q"))
@@ -300,15 +347,20 @@ def geocode_component(spark, sf):
                       F.col("confidence").cast("long").alias("confidence"), F.col("rank").cast("long").alias("rank"))
 
 
-def geocode_frame(spark, sf):
-    """J19 + J5: vector best, else component best, else the failure row (0, 0, REGION, 3)."""
-    req = requests(spark, sf).select("request_id")
-    v = C.cut(_vector(spark, sf).filter(F.col("rank") == 1).select("request_id", "gnaf_pid"))
+def geocode_frame(spark, sf, reqs=None):
+    """J19 + J5: vector best, else component best, else the failure row (0, 0, REGION, 3).
+
+    ``reqs`` (request_id, address_text): the requests to geocode, the request table unless given. The component search runs on
+    those alone that the vector match left over.
+    """
+    reqs = (requests(spark, sf) if reqs is None else reqs).select("request_id", "address_text")
+    req = reqs.select("request_id")
+    v = C.cut(_vector(spark, sf, reqs).filter(F.col("rank") == 1).select("request_id", "gnaf_pid"))
     a = C.addresses(spark, sf).select("gnaf_pid", "latitude", "longitude", "coordinate_precision",
                                       "coordinate_reliability", F.col("confidence_score").alias("confidence"))
     vd = v.join(a, "gnaf_pid").withColumn("source", F.lit("vector"))
-    rest = req.join(v.select("request_id"), "request_id", "left_anti")
-    cp = _component(spark, sf).filter(F.col("rank") == 1).join(rest, "request_id", "left_semi").select(
+    rest = reqs.join(v.select("request_id"), "request_id", "left_anti")
+    cp = _component(spark, sf, rest).filter(F.col("rank") == 1).select(
         "request_id", "gnaf_pid", "latitude", "longitude", "coordinate_precision", "coordinate_reliability",
         "confidence", F.lit("component").alias("source"))
     found = vd.unionByName(cp)
@@ -323,6 +375,21 @@ def geocode_frame(spark, sf):
                       F.col("confidence").cast("long").alias("confidence"), "source")
 
 
+# Coordinate systems a request may name, the first one if it names none; both share their coordinates.
+COORDINATE_SYSTEMS = ["WGS84", "GDA2020"]
+
+
+@query("geocode_crs")
+def geocode_crs(spark, sf):
+    """Geocoded coordinates labelled with the system that the request asks for; an unknown system is an error."""
+    system = F.element_at(F.array(F.lit("WGS84"), F.lit("GDA2020"), F.lit("AGD66"), F.lit(None).cast("string")),
+                          (F.col("request_id") % 4 + 1).cast("int"))
+    g = geocode_frame(spark, sf).where("success").withColumn("asked", F.coalesce(system, F.lit(COORDINATE_SYSTEMS[0])))
+    known = F.col("asked").isin(*COORDINATE_SYSTEMS)
+    return g.select("request_id", F.when(known, F.col("latitude")).alias("latitude"), F.when(known, F.col("longitude")).alias("longitude"),
+                    F.when(known, F.col("asked")).alias("crs"), F.when(~known, F.lit("INVALID_COORDINATE_SYSTEM")).alias("error"))
+
+
 @query("geocode_addresses")
 def geocode_addresses(spark, sf):
     """Geocode cascade, one row per request."""
@@ -336,8 +403,10 @@ def resolve_coordinates(spark, sf):
         "request_id",
         F.when(F.col("request_id") % 3 != 0, F.round("latitude", 7)).alias("lat"),
         F.when(F.col("request_id") % 3 != 0, F.round("longitude", 7)).alias("lon"))
-    g = geocode_frame(spark, sf).select("request_id", "success", F.col("latitude").alias("g_lat"),
-                                        F.col("longitude").alias("g_lon"))
+    without = pts.where("lat IS NULL OR lon IS NULL").select("request_id")
+    texts = requests(spark, sf).join(without, "request_id", "left_semi")
+    g = geocode_frame(spark, sf, texts).select("request_id", "success", F.col("latitude").alias("g_lat"),
+                                               F.col("longitude").alias("g_lon"))
     j = pts.join(g, "request_id", "left")
     has = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     return j.select(
@@ -392,7 +461,8 @@ ndoc AS (SELECT gnaf_pid, count(*) AS n FROM post GROUP BY 1),
 sbase AS (
   SELECT a.gnaf_pid, a.number_first, a.confidence_score, a.coordinate_reliability, a.address_status,
          a.formatted_address, a.latitude, a.longitude, a.coordinate_precision,
-         l.state_code AS l_state_code, l.postcode AS l_postcode,
+         l.state_code AS l_state_code, l.postcode AS l_postcode, s.street_name AS s_street_name, s.street_type AS s_street_type,
+         l.locality_name AS l_locality_name,
          concat_ws(' ', a.number_first, s.street_name, s.street_type, l.locality_name, l.state_code, l.postcode) AS display
   FROM addresses a
   LEFT JOIN streets s ON a.street_locality_pid = s.street_locality_pid
@@ -435,7 +505,8 @@ ORACLES["search_postings"] = O_TXT + "SELECT gnaf_pid, token, weight FROM post"
 
 ORACLES["search_addresses"] = O_TXT + _match_sql("m", _qterms_sql("address_text")) + f""",
 j AS (
-  SELECT m.request_id, b.gnaf_pid, b.display, b.confidence_score, m.relevance,
+  SELECT m.request_id, b.gnaf_pid, b.display, b.confidence_score, m.relevance, b.latitude, b.longitude, b.coordinate_precision,
+         b.number_first, b.s_street_name, b.s_street_type, b.l_locality_name, b.l_state_code, b.l_postcode,
          CASE WHEN b.number_first = {_NUM.format(x='r.address_text')} THEN 100 ELSE 0 END AS bonus,
          least(coalesce(r.max_results, {SEARCH_LIMIT}), {SEARCH_MAX}) AS lim
   FROM m JOIN rq r ON r.request_id = m.request_id JOIN sbase b ON b.gnaf_pid = m.gnaf_pid
@@ -448,6 +519,16 @@ SELECT request_id, gnaf_pid, display AS formatted_address, confidence_score, rel
        CAST(rk AS BIGINT) AS rank
 FROM k WHERE rk <= lim"""
 
+_cut = ORACLES["search_addresses"].index("SELECT request_id, gnaf_pid, display AS formatted_address")
+ORACLES["search_columns"] = ORACLES["search_addresses"][:_cut] + """
+SELECT request_id, gnaf_pid, display AS formatted_address, confidence_score AS confidence, CAST(rk AS BIGINT) AS rank,
+       CASE WHEN request_id % 2 = 0 THEN latitude END AS latitude, CASE WHEN request_id % 2 = 0 THEN longitude END AS longitude,
+       CASE WHEN request_id % 2 = 0 THEN coordinate_precision END AS precision,
+       CASE WHEN request_id % 3 = 0 THEN number_first END AS street_number, CASE WHEN request_id % 3 = 0 THEN s_street_name END AS street_name,
+       CASE WHEN request_id % 3 = 0 THEN s_street_type END AS street_type, CASE WHEN request_id % 3 = 0 THEN l_locality_name END AS suburb,
+       CASE WHEN request_id % 3 = 0 THEN l_state_code END AS state, CASE WHEN request_id % 3 = 0 THEN coalesce(l_postcode, '') END AS postcode
+FROM k WHERE rk <= lim"""
+
 _EXACT = """,
 ex AS (
   SELECT request_id, gnaf_pid, display, confidence_score, coordinate_reliability FROM (
@@ -506,6 +587,17 @@ SELECT r.request_id, 'none', false, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CA
        concat_ws('|', 'INVALID_FORMAT', CASE WHEN length(q.address_text) < 10 THEN 'MISSING_COMPONENT' END)
 FROM rest2 r JOIN rq q ON q.request_id = r.request_id LEFT JOIN sg s ON s.request_id = r.request_id"""
 
+ORACLES["validate_strict"] = (
+    ORACLES["validate_addresses"]
+    .replace("rest AS (SELECT request_id FROM rq WHERE request_id NOT IN (SELECT request_id FROM ex)),",
+             "strict AS (SELECT request_id FROM rq WHERE request_id % 2 = 0 AND request_id NOT IN (SELECT request_id FROM ex)),\n"
+             "rest AS (SELECT request_id FROM rq WHERE request_id % 2 <> 0 AND request_id NOT IN (SELECT request_id FROM ex)),")
+    + """
+UNION ALL
+SELECT r.request_id, 'none', false, CAST(0 AS BIGINT), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(0 AS BIGINT),
+       concat_ws('|', 'INVALID_FORMAT', CASE WHEN length(q.address_text) < 10 THEN 'MISSING_COMPONENT' END)
+FROM strict r JOIN rq q ON q.request_id = r.request_id""")
+
 _VEC = _match_sql("vm", _pterms_sql("address_text"), prefix=True,
                   doc_where="b.address_status = 'CURRENT' AND b.confidence_score >= 70") + """,
 vk AS (SELECT vm.request_id, b.gnaf_pid, b.formatted_address, b.confidence_score, vm.relevance,
@@ -559,6 +651,10 @@ geo AS (
   WHERE request_id NOT IN (SELECT request_id FROM vbest) AND request_id NOT IN (SELECT request_id FROM cbest)
 )"""
 ORACLES["geocode_addresses"] = O_TXT + _GEO + "\nSELECT * FROM geo"
+ORACLES["geocode_crs"] = O_TXT + _GEO + """, a AS (
+  SELECT *, CASE request_id % 4 WHEN 1 THEN 'GDA2020' WHEN 2 THEN 'AGD66' ELSE 'WGS84' END AS asked FROM geo WHERE success)
+SELECT request_id, CASE WHEN asked <> 'AGD66' THEN latitude END AS latitude, CASE WHEN asked <> 'AGD66' THEN longitude END AS longitude,
+       CASE WHEN asked <> 'AGD66' THEN asked END AS crs, CASE WHEN asked = 'AGD66' THEN 'INVALID_COORDINATE_SYSTEM' END AS error FROM a"""
 ORACLES["resolve_coordinates"] = C.register_sql("requests_text", "requests_point").replace(
     "WITH ", "WITH ", 1) + O_TXT[len(C.register_sql("requests_text")):] + _GEO + """,
 pts AS (SELECT request_id, CASE WHEN request_id % 3 <> 0 THEN round(latitude, 7) END AS lat,

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
-from .alerts import threshold_alerts
+from .alerts import threshold_alerts, tiered_sql
 from .logs import AS_OF as LOG_AS_OF
 from .logs import O_LOG
 from .registry import ORACLES, query
@@ -233,11 +233,7 @@ def recent_alerts(spark, sf):
                       F.lit(False).alias("resolved"))
 
 
-# the oracle reuses the threshold-alert SQL with the 24 h filter
-ORACLES["recent_alerts"] = ORACLES["threshold_alerts"].replace(
-    "SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start, alert_type, severity, CAST(threshold AS DOUBLE) AS threshold,\n"
-    "       value FROM a WHERE severity IS NOT NULL",
-    "SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start, alert_type, severity, CAST(threshold AS DOUBLE) AS threshold,\n"
-    f"       value, false AS resolved FROM a WHERE severity IS NOT NULL AND ws >= TIMESTAMP '{LOG_AS_OF}' - INTERVAL 24 HOUR\n"
-    f"       AND ws < TIMESTAMP '{LOG_AS_OF}' ORDER BY ws DESC, alert_type LIMIT {ALERT_HISTORY}")
-_ = O_LOG
+ORACLES["recent_alerts"] = O_LOG + tiered_sql() + f"""SELECT strftime(ws, '%Y-%m-%d %H:%M:%S.%f') AS window_start, alert_type,
+       severity, CAST(threshold AS DOUBLE) AS threshold, value, false AS resolved
+FROM a WHERE severity IS NOT NULL AND ws >= TIMESTAMP '{LOG_AS_OF}' - INTERVAL 24 HOUR AND ws < TIMESTAMP '{LOG_AS_OF}'
+ORDER BY ws DESC, alert_type LIMIT {ALERT_HISTORY}"""

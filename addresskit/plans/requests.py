@@ -109,7 +109,7 @@ def batch_frame(spark, sf):
     ok = r.filter(F.col("error_code").isNull()).select(
         "request_id", "op_type", lat.alias("req_lat"), lon.alias("req_lon"),
         F.coalesce("radius", F.lit(1000)).alias("radius"), F.coalesce("max_results", F.lit(10)).alias("k"))
-    ok = ok.withColumn("rx", G.mercator_x(F.col("req_lon"))).withColumn("ry", G.mercator_y(F.col("req_lat")))
+    ok = C.cut(ok.withColumn("rx", G.mercator_x(F.col("req_lon"))).withColumn("ry", G.mercator_y(F.col("req_lat"))))
     pts = S.with_xy(C.addresses(spark, sf)).select("gnaf_pid", "x", "y")
 
     prox_req = ok.filter(F.col("op_type") == "proximity")

@@ -138,7 +138,7 @@ def test_traffic_anomaly_sees_empty_buckets(spark):
 
     at = ["2024-01-01 00:00:30"] * 20 + ["2024-01-01 00:11:00"] * 9  # the bucket at 00:05 is empty
     r = spark.createDataFrame([(t, 200, "1.1.1.1") for t in at], "t string, status_code int, ip string").select(
-        F.to_timestamp_ntz("t").alias("ts"), "status_code", "ip")
+        F.to_timestamp_ntz("t").alias("ts"), "status_code", "ip", F.lit("/r").alias("route"))
     got = [(x.n, x.prev_n, x.spike, x.drop) for x in anomalies(r).orderBy("bucket").collect()]
     assert got == [(20, 0, False, False), (0, 20, False, True), (9, 0, True, False)]
 

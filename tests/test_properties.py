@@ -26,6 +26,44 @@ def test_grid_join_equals_brute_force(spark):
     assert a == b and len(a) > 0
 
 
+def test_nearest_ranks_as_the_whole_radius_does_from_few_pairs(spark):
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.uniform(0, 1500, (4000, 2)), np.full((80, 2), 700.0), rng.uniform(9000, 20000, (30, 2))])
+    pts = spark.createDataFrame(pd.DataFrame({"gnaf_pid": [f"P{i * 7919 % 4110:05d}" for i in range(len(xy))],
+                                              "x": xy[:, 0], "y": xy[:, 1]}))
+    at = np.concatenate([rng.uniform(-300, 1800, (150, 2)), [[700.0, 701.0]], rng.uniform(2000, 20000, (40, 2))])
+    req = pd.DataFrame({"request_id": range(len(at)), "rx": at[:, 0], "ry": at[:, 1], "radius": 2000, "k": 1 + np.arange(len(at)) % 12})
+    # requests come twice, some from elsewhere with another k
+    again = req[:30].assign(k=3, rx=req["rx"][:30] + 400)
+    req = spark.createDataFrame(pd.concat([req, req[40:60], again]))
+    order = [F.round("distance_m").cast("long"), F.col("gnaf_pid")]
+
+    def ranked(pairs):
+        top = S.top_k(pairs, "request_id", order, 10, F.col("k")).withColumn("m", F.round("distance_m").cast("long"))
+        return sorted(map(tuple, top.select("request_id", "gnaf_pid", "m", "rank").collect()))
+
+    whole = S.within_distance(req, pts, F.col("radius"), cell_m=500.0)
+    near = S.nearest(req, pts, F.col("radius"), [F.col("gnaf_pid")], 10, F.col("k"))
+    assert ranked(near) == ranked(whole)
+    assert near.count() * 10 < whole.count()
+    empty = S.nearest(req.limit(0), pts, F.col("radius"), [F.col("gnaf_pid")], 10, F.col("k"))
+    assert empty.columns == near.columns and empty.count() == 0
+
+
+def test_distance_joins_do_not_broadcast_exploded_requests(spark):
+    """The estimate of an exploded side is that of the rows before; the session's limit must not matter."""
+    req = SP.normalised_requests(spark, SF_SMALL)
+    pts = S.with_xy(C.addresses(spark, SF_SMALL)).select("gnaf_pid", "x", "y")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+    try:
+        near = S.nearest(req, pts, F.col("radius"), [F.col("gnaf_pid")], 10, F.col("k"))
+        for pairs in (S.within_distance(req, pts, F.col("radius")), near):
+            plan = pairs._jdf.queryExecution().executedPlan().toString()
+            assert plan.index("SortMergeJoin") < (plan + "BroadcastHashJoin").index("BroadcastHashJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
 def test_point_in_ring(spark):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in [(0, 0), (2, 0), (2, 2), (0, 2)]])
     row = spark.range(1).select(S.point_in_ring(F.lit(1.0), F.lit(1.0), ring).alias("a"),

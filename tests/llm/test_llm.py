@@ -478,3 +478,27 @@ def test_pipeline_keeps_columns_and_clean_documents(spark):
     out = P.run(spark, SMALL)
     assert out.columns == [*docs.columns, "copy"] and 0.5 * docs.count() < out.select("doc_id").distinct().count() <= docs.count()
     assert [name for name, _ in P.STAGES] == ["language ID", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources to target weights"]
+
+
+def test_ngram_join_passes_rows_on_in_pieces(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from addresskit.llm import ngram_join
+
+    class Levels:
+        value = np.zeros(ngram_join.COUNTERS, np.uint8)
+
+    texts = pa.array([" ".join(f"w{i}x{j}" for j in range(200)) for i in range(50)])
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    whole = list(ngram_join._postings(Levels, 20)([batch]))
+    monkeypatch.setattr(ngram_join, "PIECE", 500)
+    pieces = list(ngram_join._postings(Levels, 20)([batch]))
+    assert max(b.num_rows for b in pieces) < 600 < sum(b.num_rows for b in whole)
+    assert pa.Table.from_batches(pieces).equals(pa.Table.from_batches(whole).combine_chunks())
+
+    # the test of two sets runs on columns, not on batches of whole sets
+    pairs = spark.createDataFrame([([1, 2, 3], [1, 2, 3, 4]), ([1, 2], [1, 2, 3]), ([5], [5]), ([5], [6])], "x array<long>, y array<long>")
+    assert [r[0] for r in pairs.select(ngram_join.similar_sets("x", "y").cast("boolean")).collect()] == [True, False, True, False]
+    rows = ngram_join.set_rows([7, 8], [np.array([1, 1 << 63], np.uint64), np.array([2], np.uint64)])
+    assert rows.to_pylist() == [{"cid": 7, "s": [1, -(1 << 63)]}, {"cid": 8, "s": [2]}]

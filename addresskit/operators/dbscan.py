@@ -13,8 +13,8 @@ DBSCAN with radius ``eps`` and ``min_pts`` over points (key, x, y):
   bounding boxes are within eps everywhere; boxes farther than eps apart are
   not linked; the remaining cell pairs are decided on 4x4 sub-cell boxes
   (bounded per cell pair): a sub-box pair within eps everywhere links them,
-  and only sub-box pairs that are neither certain nor excluded are checked
-  point by point;
+  and only sub-box pairs that are neither certain nor excluded are cut into
+  4x4 again, or checked point by point once they hold few points;
 * clusters are connected components of the core-cell graph, found by
   min-label propagation with pointer jumping, checkpointed each round;
 * a non-core point joins the smallest cluster label among core points within
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 
 STENCIL = [(dx, dy) for dx in range(-2, 3) for dy in range(-2, 3)]
 SUB_CELLS = 4
+FEW_PAIRS = 1024
+MAX_LEVEL = 12
 
 
 def _cut(df: DataFrame) -> DataFrame:
@@ -40,13 +42,18 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def _box_dist(ax0, ax1, ay0, ay1, bx0, bx1, by0, by1):
-    """(min, max) distance between two axis-aligned boxes."""
+def _box_dist2(ax0, ax1, ay0, ay1, bx0, bx1, by0, by1):
+    """(min, max) squared distance between two axis-aligned boxes."""
     dx_min = F.greatest(F.lit(0.0), bx0 - ax1, ax0 - bx1)
     dy_min = F.greatest(F.lit(0.0), by0 - ay1, ay0 - by1)
     dx_max = F.greatest(ax1 - bx0, bx1 - ax0)
     dy_max = F.greatest(ay1 - by0, by1 - ay0)
-    return F.sqrt(dx_min * dx_min + dy_min * dy_min), F.sqrt(dx_max * dx_max + dy_max * dy_max)
+    return dx_min * dx_min + dy_min * dy_min, dx_max * dx_max + dy_max * dy_max
+
+
+def _box_dist(*sides):
+    """(min, max) distance between two axis-aligned boxes."""
+    return tuple(F.sqrt(d) for d in _box_dist2(*sides))
 
 
 def _stencil(df: DataFrame) -> DataFrame:
@@ -55,6 +62,58 @@ def _stencil(df: DataFrame) -> DataFrame:
         .withColumn("ncy", F.col("cy") + F.col("_o.dy")).drop("_o")
 
 
+def linked_pairs(open_pairs: DataFrame, points: DataFrame, side: float, eps: float) -> DataFrame:
+    """The cell pairs (cid, nid) of ``open_pairs`` that hold two points within ``eps``; ``points`` has x, y, cx, cy, cid.
+
+    The bounding boxes of a pair's sub-cells decide it or leave sub-cell pairs open; those are cut into 4x4 again, and a
+    cell pair drops out as soon as one of its box pairs is certain. Few points are compared one by one, and boxes of
+    equal points are always decided, so the work follows the circle's resolution and not the square of the points.
+    """
+    found = None
+    pairs = open_pairs.select("cid", "nid", F.lit(0).cast("long").alias("sid"), F.lit(0).cast("long").alias("nsid"))
+    p = points.withColumn("sid", F.lit(0).cast("long"))
+    level = 0
+    while True:
+        level += 1
+        t = side / SUB_CELLS ** level
+        def part(v, c):
+            return F.floor((F.col(v) - F.col(c) * side) / t).cast("long")
+
+        p = p.withColumn("psid", F.col("sid")).withColumn("sid", F.shiftleft(part("x", "cx"), 32) + part("y", "cy"))
+        boxes = _cut(p.groupBy("cid", "psid", "sid").agg(
+            F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
+            F.count(F.lit(1)).alias("n")))
+        other = boxes.select(F.col("cid").alias("nid"), F.col("psid").alias("npsid"), F.col("sid").alias("nsid"),
+                             F.col("x0").alias("bx0"), F.col("x1").alias("bx1"), F.col("y0").alias("by0"),
+                             F.col("y1").alias("by1"), F.col("n").alias("bn"))
+        sp = pairs.select("cid", "nid", F.col("sid").alias("psid"), F.col("nsid").alias("npsid")) \
+            .join(boxes, ["cid", "psid"]).join(other, ["nid", "npsid"])
+        smin, smax = _box_dist2(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), F.col("bx0"), F.col("bx1"),
+                                F.col("by0"), F.col("by1"))
+        sp = sp.withColumn("_min", smin).withColumn("_max", smax).filter(F.col("_min") <= eps * eps)
+        sp = _cut(sp.select("cid", "nid", "psid", "npsid", "sid", "nsid", "_max", (F.col("n") * F.col("bn")).alias("_pairs")))
+        certain = sp.filter(F.col("_max") <= eps * eps).select("cid", "nid").distinct()
+        rest = sp.join(certain, ["cid", "nid"], "left_anti")
+        few = rest.filter(F.col("_pairs") <= FEW_PAIRS) if level < MAX_LEVEL else rest
+        pa = few.select("cid", "nid", "psid", "npsid", "sid", "nsid").join(
+            p.select("cid", "psid", "sid", F.col("x").alias("ax"), F.col("y").alias("ay")), ["cid", "psid", "sid"])
+        pb = p.select(F.col("cid").alias("nid"), F.col("psid").alias("npsid"), F.col("sid").alias("nsid"),
+                      F.col("x").alias("bx"), F.col("y").alias("by"))
+        dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+        checked = pa.join(pb, ["nid", "npsid", "nsid"]).filter(dx * dx + dy * dy <= eps * eps).select("cid", "nid")
+        linked = _cut(certain.unionByName(checked).distinct())
+        found = linked if found is None else found.unionByName(linked)
+        if level == MAX_LEVEL:
+            return found
+        rest = rest.filter(F.col("_pairs") > FEW_PAIRS).join(linked, ["cid", "nid"], "left_anti")
+        pairs = _cut(rest.select("cid", "nid", "sid", "nsid"))
+        if pairs.limit(1).count() == 0:
+            return found
+        used = pairs.select("cid", "sid").unionByName(
+            pairs.select(F.col("nid").alias("cid"), F.col("nsid").alias("sid"))).distinct()
+        p = _cut(p.drop("psid").join(used, ["cid", "sid"], "left_semi"))
+
+
 def dbscan(points: DataFrame, key: str, eps: float, min_pts: int) -> DataFrame:
     """Return (key, cluster, is_core); ``points`` has ``key``, x, y (metres)."""
     s = eps / math.sqrt(2.0)
@@ -98,32 +157,8 @@ def dbscan(points: DataFrame, key: str, eps: float, min_pts: int) -> DataFrame:
     ab = ab.withColumn("_min", bmin).withColumn("_max", bmax).filter(F.col("_min") <= eps)
     sure = ab.filter(F.col("_max") <= eps).select("cid", "nid")
     open_pairs = _cut(ab.filter(F.col("_max") > eps).select("cid", "nid"))
-    # undecided cell pairs: first the 4x4 sub-cell boxes of each cell's core points (at most 256 sub-box
-    # pairs per cell pair, whatever the point count); one sub-box pair within eps everywhere links the cells.
-    sub = SUB_CELLS
-    t = s / sub
-    cp = core.select("x", "y", F.concat_ws(":", "cx", "cy").alias("cid"),
-                     (F.floor(F.col("x") / t) * 100003 + F.floor(F.col("y") / t)).cast("long").alias("sid"))
-    sboxes = _cut(cp.groupBy("cid", "sid").agg(F.min("x").alias("x0"), F.max("x").alias("x1"),
-                                               F.min("y").alias("y0"), F.max("y").alias("y1")))
-    sa = open_pairs.join(sboxes, "cid")
-    sb = sboxes.select(F.col("cid").alias("nid"), F.col("sid").alias("nsid"), F.col("x0").alias("bx0"),
-                       F.col("x1").alias("bx1"), F.col("y0").alias("by0"), F.col("y1").alias("by1"))
-    sp = sa.join(sb, "nid")
-    smin, smax = _box_dist(F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), F.col("bx0"), F.col("bx1"),
-                           F.col("by0"), F.col("by1"))
-    sp = sp.withColumn("_min", smin).withColumn("_max", smax).filter(F.col("_min") <= eps)
-    sp = _cut(sp.select("cid", "nid", "sid", "nsid", "_max"))
-    sure_sub = sp.filter(F.col("_max") <= eps).select("cid", "nid").distinct()
-    # remaining sub-box pairs (no certain link for their cell pair): their points, pair by pair
-    rest = sp.join(sure_sub, ["cid", "nid"], "left_anti").select("cid", "nid", "sid", "nsid")
-    pa = rest.join(cp.select("cid", "sid", F.col("x").alias("ax"), F.col("y").alias("ay")), ["cid", "sid"])
-    pb = cp.select(F.col("cid").alias("nid"), F.col("sid").alias("nsid"), F.col("x").alias("bx"),
-                   F.col("y").alias("by"))
-    checked = pa.join(pb, ["nid", "nsid"]).filter(
-        (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 <= eps * eps).select("cid", "nid")
-    linked = sure_sub.unionByName(checked).distinct()
-    edges = _cut(sure.unionByName(linked).distinct())
+    core_points = core.select("x", "y", "cx", "cy", F.concat_ws(":", "cx", "cy").alias("cid"))
+    edges = _cut(sure.unionByName(linked_pairs(open_pairs, core_points, s, eps)).distinct())
 
     # connected components: min-label propagation with pointer jumping
     und = edges.unionByName(edges.select(F.col("nid").alias("cid"), F.col("cid").alias("nid")))

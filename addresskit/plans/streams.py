@@ -169,25 +169,26 @@ SLICES = 3
 
 
 def streamed(spark, rows, ts: str, last, watch, out_ts: str, name: str):
-    """The rows run through a stream in SLICES files in time order, and what the stream put out.
+    """The rows run through a stream in SLICES parts in time order, and what the stream put out.
 
-    A row of ``last`` two days after all others, in a second run from the same checkpoint, lets the watermark pass everything; what
-    comes of it is left out.
+    All tasks write: the rows once, then each part, which a run from the same checkpoint takes as one batch. A row of
+    ``last`` two days after all others, in a run of its own, lets the watermark pass everything; what comes of it is left out.
     """
     ST.use_rocksdb(spark)
     out = P.run_dir(spark, name)
+    rows.write.parquet(f"{out}/rows")
+    kept = spark.read.schema(rows.schema).parquet(f"{out}/rows")
+    rows, last = kept, kept if last is rows else last
     end = rows.agg(F.max(ts)).first()[0]
     if end is None:
         return _nothing(spark, rows, watch)
     cuts = rows.select(F.percentile_approx(F.unix_micros(ts), [i / SLICES for i in range(1, SLICES)])).first()[0]
     part = sum((F.when(F.unix_micros(ts) > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    for i in range(SLICES):
-        rows.where(part == i).coalesce(1).write.mode("append").parquet(f"{out}/src")
     later = F.lit(end).cast("timestamp") + F.expr("INTERVAL 2 DAYS")
-    for more in (None, last.limit(1).withColumn(ts, later).select(rows.columns)):
-        if more is not None:
-            more.coalesce(1).write.mode("append").parquet(f"{out}/src")
-        source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/src")
+    beyond = last.limit(1).withColumn(ts, later).select(rows.columns)
+    for more in (*[rows.where(part == i) for i in range(SLICES)], beyond):
+        more.write.mode("append").parquet(f"{out}/src")
+        source = spark.readStream.schema(rows.schema).parquet(f"{out}/src")
         W.into_files(watch(source), out).awaitTermination()
     got = spark.read.parquet(f"{out}/data").where(F.col(out_ts) <= F.lit(end).cast("timestamp"))
     return got.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in got.dtypes])

@@ -29,14 +29,15 @@ class Ordered(StatefulProcessor):
     """Holds rows back until the watermark has passed them; subclasses take them one by one, in order.
 
     ``ROW`` is the schema of what is kept of a row: first ``t`` (microseconds), then what breaks its ties. ``STATE`` is the schema of
-    the key's state. ``columns`` are those of the output. What waits is as much as comes within the watermark's delay.
+    the key's state. ``columns`` are those of the output. What waits is as much as comes within the watermark's delay: a list that
+    is read and written as a whole, with a timer for the first of its rows.
     """
 
     ROW, STATE, columns = "t long", "", ()
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", self.ROW, "held boolean")
+        self.waiting = handle.getListState("waiting", self.ROW)
         self.value = handle.getValueState("state", self.STATE)
         self.done: tuple[int, set] = (-1, set())
 
@@ -50,16 +51,20 @@ class Ordered(StatefulProcessor):
         self.handle.registerTimer(-(-int(t_us) // 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        due = set()
+        first = None
         for pdf in rows:
-            for row in self.kept(pdf):
-                row = (int(row[0]), *row[1:])
-                self.waiting.updateValue(row, (True,))
-                due.add(-(-row[0] // 1000))
-        for ms in due:
-            self.handle.registerTimer(ms)
+            kept = [(int(row[0]), *row[1:]) for row in self.kept(pdf)]
+            if kept:
+                self.waiting.appendList(kept)
+                first = min(kept[0][0] if first is None else first, *(row[0] for row in kept))
+        if first is not None:
+            self.due(first)
         return iter([])
 
+    def due(self, t_us: int) -> None:
+        """A timer at which rows of the time are taken."""
+        self.handle.registerTimer(-(-t_us // 1000))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
         if self.done[0] != now:
@@ -67,13 +72,18 @@ class Ordered(StatefulProcessor):
         if key in self.done[1]:  # an earlier timer of this batch took all there is
             return
         self.done[1].add(key)
-        ready = [tuple(k) for k, _ in self.waiting.iterator() if k[0] <= now]
+        waiting = set(map(tuple, self.waiting.get()))  # equal rows are one
+        ready = [row for row in waiting if row[0] <= now]
         state = tuple(self.value.get()) if self.value.exists() else None
         out: list[tuple] = []
         for row in self.ordered(ready):
             state = self.take(key, row, state, out)
-        for row in ready:
-            self.waiting.removeKey(row)
+        if len(ready) == len(waiting):
+            self.waiting.clear()
+        elif ready:
+            left = [row for row in waiting if row[0] > now]
+            self.waiting.put(left)
+            self.due(min(row[0] for row in left))
         state = self.passed(key, now, state, out)
         if state is None:
             self.value.clear()

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,80 @@ def test_security_hits_by_query_body_and_header(spark):
     got = sorted((r.request_id, r.event) for r in A.security_hits(df).collect())
     assert got == [(1, "suspicious_query_params"), (2, "suspicious_request_body"), (3, "suspicious_header"),
                    (5, "suspicious_header"), (5, "suspicious_query_params"), (5, "suspicious_request_body")]
+
+
+def test_parts_of_a_stream_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(P, "run_dir", lambda spark, name: f"{tmp_path}/{name}")
+    start = int(START.replace(tzinfo=dt.timezone.utc).timestamp())
+    rows = spark.range(0, 400, 1, 4).select(F.timestamp_seconds(F.lit(start) + (F.col("id") * 37) % 400).alias("ts"), F.lit(500).alias("status_code"),
+                                            F.lit("E").alias("error_name"))
+    got = streamed(spark, rows, "ts", rows, lambda s: W.error_burst_watch(s, 5), "window_start", "parts").collect()
+    assert len(list((tmp_path / "parts" / "src").glob("*.parquet"))) > 4  # three parts and the last row
+    want = {w: sum(w <= s < w + 300 for s in range(400)) for w in range(-240, 400, 60)}
+    assert {r.window_start: r.n_errors for r in got} == {START + dt.timedelta(seconds=w): n for w, n in want.items() if n > 5}
+
+
+class _Handle:
+    """Lists and values of one key in memory; ``timers`` holds what was asked for."""
+
+    def __init__(self):
+        self.timers = []
+
+    def getListState(self, name, schema):
+        return self
+
+    def getValueState(self, name, schema):
+        return _Value()
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    rows = ()
+
+    def appendList(self, rows):
+        self.rows = [*self.rows, *rows]
+
+    def put(self, rows):
+        self.rows = rows
+
+    def get(self):
+        return iter(self.rows)
+
+    def clear(self):
+        self.rows = ()
+
+
+class _Value:
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, held):
+        self.held = held
+
+    def clear(self):
+        self.held = None
+
+
+class _Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_waiting_rows_need_one_timer_a_batch():
+    quota, handle = ST.Quota(900_000_000, 5), _Handle()
+    quota.init(handle)
+    rows = pd.DataFrame({"t": [s * 1_000_000 for s in (*range(100), 5)], "request_id": [*range(100), 5]})  # one row twice
+    list(quota.handleInputRows(("c",), iter([rows]), _Now(0)))
+    assert handle.timers == [0]
+    first = pd.concat(quota.handleExpiredTimer(("c",), _Now(39_000), None))
+    assert first["request_id"].tolist() == list(range(40)) and 40_000 in handle.timers and len(handle.rows) == 60
+    assert pd.concat(quota.handleExpiredTimer(("c",), _Now(200_000), None))["rank_in_window"].tolist() == list(range(41, 101))
+    assert not handle.rows

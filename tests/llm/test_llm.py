@@ -502,3 +502,24 @@ def test_ngram_join_passes_rows_on_in_pieces(spark, monkeypatch):
     assert [r[0] for r in pairs.select(ngram_join.similar_sets("x", "y").cast("boolean")).collect()] == [True, False, True, False]
     rows = ngram_join.set_rows([7, 8], [np.array([1, 1 << 63], np.uint64), np.array([2], np.uint64)])
     assert rows.to_pylist() == [{"cid": 7, "s": [1, -(1 << 63)]}, {"cid": 8, "s": [2]}]
+
+
+def test_a_written_table_leaves_no_shuffle_files(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from addresskit.llm.common import SHUFFLE_CLEANUP, written
+
+    def files():
+        held = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in held.split("\n") if "/shuffle_" in f}
+
+    before, setting = files(), spark.conf.get(SHUFFLE_CLEANUP, "false")
+    out = written(spark.range(0, 5000, 1, 4).groupBy((F.col("id") % 1000).alias("k")).agg(F.count(F.lit(1)).alias("n")), "test")
+    for _ in range(50):
+        left = files() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 1000 and spark.conf.get(SHUFFLE_CLEANUP, "false") == setting

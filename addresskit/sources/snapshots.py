@@ -115,6 +115,8 @@ class SnapshotTable:
         ``order`` names a column of ``rows`` that says which row of a key is the last.
         """
         base = self._base(version)
+        if base.isEmpty():
+            return self._commit(self._write(upsert(self._folders(base), rows, key, update, order)), version)
         keys = rows.select(key).distinct()
         kept = self._without(base, self._touched(self._folders(base).join(keys, key, "left_semi")))
         current = self._folders(self._without(base, kept))

@@ -9,6 +9,7 @@ an explicit watermark (the reference polls stored logs and has none).
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +22,8 @@ from .stitching import log_events
 
 # Fixed value: a log that is silent for so long (seconds) has its last event put out.
 FLUSH_S = 5
+# A run over what is there takes it in so many batches, of so many files at least.
+BACKLOG, LEAST_FILES = 2, 8
 
 
 def run_dir(spark: SparkSession, name: str) -> str:
@@ -28,6 +31,11 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def backlog_files(spark: SparkSession, source: str) -> int:
+    """Files per batch with which what is under ``source`` is taken in BACKLOG batches, however many files it has."""
+    return max(LEAST_FILES, math.ceil(len(spark.read.text(source).inputFiles()) / BACKLOG))
+
+
 # ------------------------------------------------------------------ ST1 + S21
 def route_logs(batch: DataFrame, epoch: int, out: str) -> None:
     """A batch into the daily logs, its high and critical events into the alerts. Each epoch owns a folder that
@@ -43,7 +51,7 @@ def ingest_logs(spark: SparkSession, source: str, out: str, parse, available_now
     A running stream puts out the last event of a silent log after FLUSH_S; a run over what is there leaves it open for the next.
     """
     use_rocksdb(spark)
-    e = log_events(spark, source, flush_s=None if available_now else FLUSH_S).where(F.col("first").isNotNull())
+    e = log_events(spark, source, backlog_files(spark, source) if available_now else 1, None if available_now else FLUSH_S).where(F.col("first").isNotNull())
     parsed = parse(e.select("file", F.lit(None).cast("long").alias("line_no"), F.col("first").alias("line"), F.col("rest").alias("stack")))
     parsed = parsed.withColumn("day", F.to_date("ts"))
 
@@ -64,13 +72,14 @@ def register_refresh_stream(spark: SparkSession, source: str, schema, geocodes:
                             streets: DataFrame, table: SnapshotTable, layout, out: str, as_of_date: str):
     """ST15: new address-detail files -> load transform -> upsert into the stored register, a snapshot per batch.
 
-    Only the partitions that a batch touches are rewritten. A batch's snapshot has the batch's number and starts from the one
+    Only the partitions that a batch touches are rewritten; the files that are there are taken in BACKLOG batches, so the whole
+    register is not rewritten for every few files. A batch's snapshot has the batch's number and starts from the one
     before it, so a retried batch replaces its own; of two rows of a key in a batch the later by file and place counts.
     """
     from ..operators import register as R
 
     raw = spark.readStream.schema(schema).option("header", True).option("sep", "|") \
-        .option("maxFilesPerTrigger", 8).csv(source)
+        .option("maxFilesPerTrigger", backlog_files(spark, source)).csv(source)
     raw = raw.select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).alias("_came"))
     upd = ["formatted_address", "confidence_score", "completeness_score"]
 
@@ -80,8 +89,12 @@ def register_refresh_stream(spark: SparkSession, source: str, schema, geocodes:
         came = came.groupBy("address_detail_pid").agg(F.max("came").alias("came"))
         last = b.select("*", F.struct("_came.file", "_came.block", F.monotonically_increasing_id().alias("row")).alias("came"))
         last = last.join(came, ["address_detail_pid", "came"], "left_semi").drop("_came", "came")
-        rows = R.load_addresses(last, geocodes, localities, streets, as_of_date=as_of_date)
-        table.upsert(layout(rows).withColumn("_order", F.lit(0)), "address_detail_pid", upd, "_order", version=epoch)
+        rows = layout(R.load_addresses(last, geocodes, localities, streets, as_of_date=as_of_date)).withColumn("_order", F.lit(0))
+        rows.persist()  # its keys are read first, then its rows
+        try:
+            table.upsert(rows, "address_detail_pid", upd, "_order", version=epoch)
+        finally:
+            rows.unpersist()
 
     return (raw.writeStream.foreachBatch(apply).option("checkpointLocation", f"{out}/_checkpoint")
             .trigger(availableNow=True).start())

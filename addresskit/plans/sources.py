@@ -88,39 +88,56 @@ def dataset_manifest(spark, sf):
 
 
 # ------------------------------------------------------------------ multiline logs
+LOG_PART = 100_000  # line numbers
+
+
+def log_parts(lines):
+    """Numbered lines with the ``part`` of their log: one for each LOG_PART line numbers, moved to begin with an event.
+
+    Lines before a log's first event have none. Only a row per part is looked up.
+    """
+    d = lines.withColumn("_chunk", F.floor(F.col("line_no") / LOG_PART))
+    first = F.min(F.when(F.col("line").rlike(START_PATTERN), F.col("line_no"))).alias("_first")
+    chunks = d.groupBy("file", "_chunk").agg(first)
+    earlier = Window.partitionBy("file").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.withColumn("_before", F.last(F.when(F.col("_first").isNotNull(), F.col("_chunk")), ignorenulls=True).over(earlier))
+    part = F.when(F.col("line_no") >= F.col("_first"), F.col("_chunk")).otherwise(F.col("_before"))
+    return d.join(chunks, ["file", "_chunk"], "left").select(*lines.columns, part.alias("part"))
+
+
 def stage_logs(spark, sf, root: str | None = None) -> str:
     """The log files in a folder of their own, or staged once for all readers."""
     shared = root is None
     root = root or FS.staging_root(spark, sf) + "/logs"
     if shared and FS._fs_exists(spark, f"{root}/_SUCCESS"):
         return root
-    lines = derived(spark, sf, "log_lines")
-    # each log file is written by one task in line order (a file is a sequential artefact)
-    ordered = lines.repartition("file").sortWithinPartitions("file", "line_no")
+    # a log is a series of files in path order; no event is cut, so a task holds some parts of a log, not the whole of it
+    ordered = log_parts(derived(spark, sf, "log_lines")).repartitionByRange("file", "part").sortWithinPartitions("file", "part", "line_no")
     ordered.select("file", "line").write.mode("overwrite").partitionBy("file").text(root)
     return root
 
 
-def stitch(lines_df, start_pattern: str = START_PATTERN):
+def stitch(lines_df, start_pattern: str = START_PATTERN, log: str | None = None):
     """Glue continuation lines to the previous line that starts with a date.
 
-    Lines are ordered by (file, split start, position in split). Events are
-    numbered inside each split by a running count of start lines; lines before
-    a split's first start line belong to the last event of the nearest earlier
-    split that has one (a lookup on the small per-split table). Each event is
-    then one group of its own lines.
+    Lines are ordered by (log, file, split start, position in split); ``log`` names the column that says which log a file
+    belongs to (by default each file is a log). Events are numbered inside each split by a running count of start lines;
+    lines before a split's first start line belong to the last event of the nearest earlier split that has one (a lookup
+    on the small per-split table). Each event is then one group of its own lines.
     """
+    path = F.col("_metadata.file_path")
     d = lines_df.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+        (F.col(log) if log else path).alias("file"), path.alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("pos"), F.col("value").alias("line"))
     d = d.withColumn("is_start", F.col("line").rlike(start_pattern).cast("int"))
-    w = Window.partitionBy("file", "split").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("path", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("ev", F.sum("is_start").over(w))
-    splits = d.groupBy("file", "split").agg(F.max("ev").alias("n_ev"))
-    ws = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
-    owner = F.last(F.when(F.col("n_ev") > 0, F.struct("split", "n_ev")), ignorenulls=True).over(ws)
-    splits = splits.withColumn("prev_owner", owner).select("file", "split", "prev_owner")
-    d = d.join(splits, ["file", "split"])
+    splits = d.groupBy("file", "path", "block").agg(F.max("ev").alias("n_ev"))
+    ws = Window.partitionBy("file").orderBy("path", "block")
+    splits = splits.withColumn("split", F.row_number().over(ws))
+    owner = F.last(F.when(F.col("n_ev") > 0, F.struct("split", "n_ev")), ignorenulls=True)
+    splits = splits.withColumn("prev_owner", owner.over(ws.rowsBetween(Window.unboundedPreceding, -1)))
+    d = d.join(splits.select("path", "block", "split", "prev_owner"), ["path", "block"])
     own_split = F.when(F.col("ev") > 0, F.col("split")).otherwise(F.col("prev_owner.split"))
     own_ev = F.when(F.col("ev") > 0, F.col("ev")).otherwise(F.col("prev_owner.n_ev"))
     d = d.withColumn("e_split", own_split).withColumn("e_ev", own_ev)
@@ -135,8 +152,8 @@ def stitch(lines_df, start_pattern: str = START_PATTERN):
 def stitch_multiline(spark, sf):
     """Multi-line log events (stack lines glued to their event) from the staged log files."""
     root = stage_logs(spark, sf)
-    ev = stitch(spark.read.text(root))
-    return ev.select(F.regexp_extract("file", r"file=([^/]+)/", 1).alias("log_file"),
+    ev = stitch(spark.read.text(root), log="file")
+    return ev.select(F.col("file").alias("log_file"),
                      F.substring("first_line", 1, 23).alias("event_ts"), "n_lines", "event_text")
 
 

@@ -112,10 +112,11 @@ class Stitcher(StatefulProcessor):
         self.open = handle.getValueState("open", "first string, rest string, lines long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        parts = pd.concat(list(rows)).sort_values(["written", "path", "block", "kind"], kind="stable")
         if key[1]:  # whole events, on their way
-            yield parts[["file", "first", "rest", "lines"]]
+            for part in rows:
+                yield part[["file", "first", "rest", "lines"]]
             return
+        parts = pd.concat(list(rows)).sort_values(["written", "path", "block", "kind"], kind="stable")
         held = tuple(self.open.get()) if self.open.exists() else None
         out = []
         for part in parts.astype(object).where(parts.notna(), None).itertuples(index=False):

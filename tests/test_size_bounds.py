@@ -20,6 +20,49 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_log_is_several_files_that_begin_with_an_event(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sources, "LOG_PART", 200)
+    rows = [(log, n, f"2024-01-01 00:00:00.000 {log} {n}" if n % 7 == 3 and not 400 <= n < 900 else f"  more {n}") for log in ("a.log", "b.log") for n in range(2000)]
+    random.Random(1).shuffle(rows)
+    lines = spark.createDataFrame(rows, "file string, line_no long, line string")
+    monkeypatch.setattr(sources, "derived", lambda *_: lines)
+    monkeypatch.setattr(sources.FS, "staging_root", lambda *_: str(tmp_path))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = sorted((r.log_file, r.n_lines, r.event_text) for r in sources.stitch_multiline(spark, "none").collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want, here = [], {}
+    for log, _, line in sorted(rows):
+        if line[:4].isdigit() or log not in here:
+            here[log] = []
+            want.append((log, here[log]))
+        here[log].append(line)
+    assert got == sorted((log, len(ls), "\n".join(ls)) for log, ls in want)
+    for log in ("a.log", "b.log"):
+        files = sorted(glob.glob(f"{tmp_path}/logs/file={log}/*.txt"))
+        assert len(files) > 2
+        for path in files[1:]:
+            with open(path) as f:
+                assert f.read(4) == "2024"
+
+
+def test_whole_events_pass_the_state_batch_by_batch():
+    import pandas as pd
+
+    from addresskit.streaming.stitching import Stitcher
+
+    def rows():
+        for i in range(3):
+            taken.append(i)
+            yield pd.DataFrame({"file": ["f"], "written": [1], "path": ["p"], "block": [0], "kind": [0], "first": [f"e{i}"], "rest": [None], "lines": [1]})
+
+    taken = []
+    out = Stitcher(None).handleInputRows(("f", 3), rows(), None)
+    assert next(out)["first"].tolist() == ["e0"] and taken == [0]
+    assert [p["first"][0] for p in out] == ["e1", "e2"]
+
+
 def test_a_backlog_is_taken_in_few_batches(spark, tmp_path):
     raw = derived(spark, SF_SMALL, "address_detail")
     src = f"{tmp_path}/src"

@@ -54,7 +54,7 @@ def cluster_summary(spark, sf):
 def geohash(spark, sf):
     """X13 + W10: geohash (8 characters) per address, written in spatial order: range partitions on the
     grid cell, then sorted by geohash inside each partition (parquet min/max skipping on the cell)."""
-    a = C.addresses(spark, sf).select("gnaf_pid", "latitude", "longitude", "state_code")
+    a = C.unsaved(spark, sf)[0].select("gnaf_pid", "latitude", "longitude", "state_code")
     g = a.withColumn("geohash", D.geohash(F.col("latitude"), F.col("longitude"), 8)).withColumn(
         "cell", F.substring("geohash", 1, 4))
     return g.repartitionByRange("cell").sortWithinPartitions("geohash")

@@ -119,10 +119,10 @@ WHERE a.address_status = 'CURRENT'
 
 
 def _current(spark, sf):
-    a = C.addresses(spark, sf).select("address_detail_pid", "formatted_address", "confidence_score",
-                                      "address_status", "locality_pid", "street_locality_pid")
-    loc = C.localities(spark, sf).select("locality_pid", "locality_name", F.col("postcode").alias("locality_postcode"))
-    st = C.streets(spark, sf).select("street_locality_pid", "street_name", "street_type", "street_suffix")
+    a, loc, st = C.unsaved(spark, sf)
+    a = a.select("address_detail_pid", "formatted_address", "confidence_score", "address_status", "locality_pid", "street_locality_pid")
+    loc = loc.select("locality_pid", "locality_name", F.col("postcode").alias("locality_postcode"))
+    st = st.select("street_locality_pid", "street_name", "street_type", "street_suffix")
     cur = a.filter(F.col("address_status") == "CURRENT")
     j = cur.join(loc, "locality_pid", "left").join(st, "street_locality_pid", "left")
     return j.drop("locality_pid", "street_locality_pid")

@@ -76,3 +76,21 @@ def test_a_backlog_is_taken_in_few_batches(spark, tmp_path):
     got = table.read().select("address_detail_pid", "formatted_address").collect()
     want = C.addresses(spark, SF_SMALL).select("address_detail_pid", "formatted_address").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_words_and_weights_equal_the_plain_rule(spark):
+    texts = ["", " Unit 3, 12-14 O'Brien St. ", "é ü_1 x", "a\t\nb", "...", "MAIN main", None]
+    old = F.array_remove(F.split(F.regexp_replace(F.lower("t"), r"[^\w\s]", " "), r"\s+"), "")
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(old.alias("a"), T.words(F.col("t")).alias("b"))
+    assert all(r.a == r.b for r in df.collect())
+    rnd = random.Random(4)
+    sources_ = [("x", 1.0), ("y", 0.4), ("z", 0.2), ("v", 0.2)]
+    rows = [tuple([rnd.choice("abcdef") for _ in range(rnd.randint(0, 4))] for _ in sources_) for _ in range(60)]
+    df = spark.createDataFrame(rows, "x array<string>, y array<string>, z array<string>, v array<string>").select("*", T.weighted_doc(sources_).alias("doc"))
+    for r in df.collect():
+        want = {}
+        for c, w in sources_:
+            for t in r[c]:
+                want[t] = max(w, want.get(t, 0))
+        assert r.doc == want
+    assert "lambda" not in _plan(df)

@@ -35,16 +35,40 @@ from .tokens import mix, shingle_sets
 
 PERCENT = 75
 COUNTERS = 1 << 22  # of 4 bytes; counts only order shingles, so their number changes speed, never results
-PIECE = 1 << 18  # values that a task holds before it passes them on
+PIECE, ROWS = 1 << 18, 1 << 10  # values, and sets, that a task holds before it passes them on
 LONGS = 8  # of 64 bits, in which each shingle of a set flips one
 HOT_LEVEL, SALTS = 8, 16
 _U = np.uint64
 
 
-def content_id(s: np.ndarray) -> int:
-    """63-bit id of a set of hashes."""
-    both = int(np.bitwise_xor.reduce(mix(s ^ _U(0x5851F42D4C957F2D)))) + 31 * int(s.sum(dtype=np.uint64)) + len(s)
-    return int(mix(np.array([both & 0xFFFFFFFFFFFFFFFF], np.uint64))[0] >> _U(1))
+def content_ids(sets: list) -> np.ndarray:
+    """63-bit ids of sets of hashes, none of them empty."""
+    size = np.array([len(s) for s in sets], np.uint64)
+    start = np.cumsum(size).astype(np.int64) - size.astype(np.int64)
+    s = np.concatenate(sets)
+    both = np.bitwise_xor.reduceat(mix(s ^ _U(0x5851F42D4C957F2D)), start) + _U(31) * np.add.reduceat(s, start) + size
+    return (mix(both) >> _U(1)).view(np.int64)
+
+
+def _in_pieces(sets):
+    """Lists of (index, set), a few sets at a time."""
+    out, held = [], 0
+    for i, s in sets:
+        out.append((i, s))
+        held += len(s)
+        if held >= PIECE or len(out) >= ROWS:
+            yield out
+            out, held = [], 0
+    if out:
+        yield out
+
+
+def _flips(sets: list) -> list[bytes]:
+    """The bits that the members of each set flip."""
+    of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = of * (64 * LONGS) + (np.concatenate(sets) & _U(64 * LONGS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=len(sets) * 64 * LONGS).reshape(len(sets), -1) & 1
+    return [row.tobytes() for row in np.packbits(odd.astype(np.uint8), axis=1)]
 
 
 def _sets_and_counts(batches):
@@ -54,12 +78,14 @@ def _sets_and_counts(batches):
     total = np.zeros(COUNTERS, np.int32)
     for b in batches:
         n, cid, flips = [], [], []
-        for _, s in shingle_sets(b.column(1)):
-            n.append(len(s))
-            cid.append(content_id(s) if len(s) else None)
-            np.add.at(total, (s >> _U(42)).astype(np.int64), 1)
-            odd = np.bincount((s & _U(64 * LONGS - 1)).astype(np.int64), minlength=64 * LONGS) & 1
-            flips.append(np.packbits(odd.astype(np.uint8)).tobytes())
+        for piece in _in_pieces(shingle_sets(b.column(1))):
+            sets = [s for _, s in piece]
+            full = [s for s in sets if len(s)]
+            ids = iter(content_ids(full).tolist() if full else ())
+            n += [len(s) for s in sets]
+            cid += [next(ids) if len(s) else None for s in sets]
+            np.add.at(total, (np.concatenate(sets) >> _U(42)).astype(np.int64), 1)
+            flips += _flips(sets)
         rows = len(n)
         yield pa.RecordBatch.from_arrays([pa.array(b.column(0)), pa.array(n, pa.int64()), pa.array(cid, pa.int64()),
                                           pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int32()), pa.array(flips, pa.binary())],
@@ -116,11 +142,10 @@ def _postings(levels, small: int):
         level, done = levels.value, set()
         for b in batches:
             out, held = [], 0
-            for _, s in shingle_sets(b.column(0)):
+            # a set of one is similar to equal sets only
+            several = ((i, s) for i, s in shingle_sets(b.column(0)) if len(s) >= 2)
+            for s, cid in ((s, c) for piece in _in_pieces(several) for (_, s), c in zip(piece, content_ids([x for _, x in piece]).tolist(), strict=True)):
                 n = len(s)
-                if n < 2:
-                    continue  # similar to equal sets only
-                cid = content_id(s)
                 if cid in done:
                     continue
                 done.add(cid)
@@ -182,17 +207,10 @@ def similar(docs: DataFrame, pairs: DataFrame, firsts: DataFrame) -> DataFrame:
     def sets(batches):
         for b in batches:
             hold = may_hold(filt.value, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            cids, found, held = [], [], 0
-            for _, s in shingle_sets(b.column(1).filter(pa.array(hold))) if hold.any() else ():
-                if len(s):
-                    cids.append(content_id(s))
-                    found.append(s)
-                    held += len(s)
-                if held >= PIECE:
-                    yield set_rows(cids, found)
-                    cids, found, held = [], [], 0
-            if found:
-                yield set_rows(cids, found)
+            found = ((i, s) for i, s in shingle_sets(b.column(1).filter(pa.array(hold))) if len(s)) if hold.any() else ()
+            for piece in _in_pieces(found):
+                sets = [s for _, s in piece]
+                yield set_rows(content_ids(sets).tolist(), sets)
 
     made = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text").mapInArrow(sets, "cid long, s array<long>")
 

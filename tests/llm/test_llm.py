@@ -523,3 +523,65 @@ def test_a_written_table_leaves_no_shuffle_files(spark):
             break
         time.sleep(0.1)
     assert not left and out.count() == 1000 and spark.conf.get(SHUFFLE_CLEANUP, "false") == setting
+
+
+def test_lm_contexts_are_the_words_before(spark):
+    from addresskit.llm import pitman_yor as P
+
+    rng = random.Random(8)
+    follows = {f"w{i}": f"w{j}" for i, j in enumerate(rng.sample(range(3000), 3000))}  # each word has one next word
+
+    def walk(i):
+        out = [f"w{i}"]
+        while len(out) < 40:
+            out.append(follows[out[-1]])
+        return " ".join(out)
+
+    docs = spark.createDataFrame([(i, walk(rng.randrange(3000))) for i in range(1200)], "doc_id long, text string")
+    held = [r for r in P.score_documents(docs).collect() if r.held_out]
+    # 256 classes hold 12 words each, so no model of classes can tell the next word better than one of ten
+    assert held and 10 ** (-sum(r.score for r in held) / sum(r.n_tokens for r in held)) < 3
+
+
+def test_lm_equals_the_sampler_in_memory(spark, monkeypatch):
+    import numpy as np
+
+    from addresskit.llm import pitman_yor as P
+    from addresskit.llm.tokens import hash_word, mix
+
+    rng = random.Random(9)
+    texts = {i: " ".join(rng.choice("abcdefghijkl") * rng.choice((1, 1, 2)) for _ in range(rng.randint(0, 60))) for i in range(90)}
+    texts[90] = None
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(P, "GRID_BYTES", 200)
+    got = {r.doc_id: r for r in P.score_documents(docs).collect()}
+
+    tokens = {i: [*(int(hash_word(w).view(np.int64)) for w in words(t)), int(P.END)] for i, t in texts.items()}
+    pairs = {i: list(zip([int(P.BOS), *ws[:-1]], ws, strict=True)) for i, ws in tokens.items()}
+    n = collections.Counter(p for i, ps in pairs.items() if not P.is_held_out(i) for p in ps)
+    count, after = collections.Counter(), collections.Counter()
+    for (u, w), k in n.items():
+        count[w] += k
+        after[u] += k
+    v = len(count)
+    found = lambda c: [sum(x == k for x in c.values()) for k in (1, 2)]
+    d0, d1 = (min(0.95, max(0.1, a / max(1, a + 2 * b))) for a, b in (found(count), found(n)))
+    one = lambda x: np.array([x], np.int64).view(np.uint64)
+    t, kept = dict.fromkeys(n, 1), []
+    for s in range(P.SWEEPS + 1):
+        if s:
+            t = {(u, w): int(P.seat(np.array([k]), np.array([(1 + d1 * T[u]) * p[w]]), d1, mix(mix(mix(one(w)) ^ mix(one(u) + np.uint64(2001))) + np.uint64(s)))[0])
+                 for (u, w), k in n.items()}
+        c0, T = collections.Counter(), collections.Counter()
+        for (u, w), k in t.items():
+            c0[w] += k
+            T[u] += k
+        t0 = {w: int(P.seat(np.array([k]), np.array([(1 + d0 * all0) / (v + 1)]), d0, mix(mix(one(w)) + np.uint64(s)))[0]) if s else 1 for w, k in c0.items()}
+        all0 = sum(t0.values())
+        p = collections.defaultdict(lambda x=(1 + d0 * all0) / (v + 1) / (1 + sum(c0.values())): x)
+        p.update({w: (k - d0 * t0[w] + (1 + d0 * all0) / (v + 1)) / (1 + sum(c0.values())) for w, k in c0.items()})
+        kept.append((dict(t), T, p))
+    for i, ps in pairs.items():
+        score = sum(math.log10(sum((max(n[u, w] - d1 * t.get((u, w), 0), 0) + (1 + d1 * T[u]) * p[w]) / (1 + after[u])
+                                   for t, T, p in kept[P.BURN + 1:]) / len(kept[P.BURN + 1:])) for u, w in ps)
+        assert abs(got[i].score - score) < 1e-9 * abs(score) and got[i].n_tokens == len(ps)

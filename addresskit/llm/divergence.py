@@ -3,7 +3,8 @@
 Single-pass in-memory indexing: a task counts the terms of its documents in memory, per language and source, until the
 index holds ENTRIES entries, and spills it as a run sorted by term, cut into blocks of BLOCK postings per hash shard. A
 shard's blocks arrive ordered by their first term; a heap of the blocks that are begun merges them, so that the postings of
-all runs are summed, and a term's frequencies written or dropped, while little more than one block a run is open.
+all runs are summed, and a term's frequencies written or dropped, while little more than one block a run is open. Blocks of
+many runs that stay open are summed by term.
 
 Smoothed shares p and their distances are whole numbers. The distance of two sources over all kept terms is not summed term
 by term for each pair: it starts as if both had none of the terms, is corrected for the terms that one of them has (from a
@@ -102,11 +103,14 @@ class Merge:
     """Merges the blocks of one language and shard, which come in the order of their first terms.
 
     Begun blocks lie in a heap by their last terms. No later block has a term before the next one's first: up to there the heap
-    gives up its blocks, or what of them lies before it, and the frequencies of those terms are final.
+    gives up its blocks, or what of them lies before it, and the frequencies of those terms are final. Where many runs have a block
+    begun, little of it is final: then the begun blocks of a source become one, and the next look waits until as much has come again,
+    so that the work follows the postings and not the postings times the runs.
     """
 
-    def __init__(self, least: int):
-        self.least, self.begun, self.no, self.held, self.sources = least, [], 0, 0, {}
+    def __init__(self, least: int, at_once: int = POSTINGS_AT_ONCE):
+        self.least, self.at_once, self.begun, self.no, self.held, self.sources = least, at_once, [], 0, 0, {}
+        self.full = at_once
 
     def add(self, source: str, columns: list[pa.Array]) -> None:
         self._push(self.sources.setdefault(source, len(self.sources)), columns)
@@ -116,6 +120,20 @@ class Merge:
         self.no += 1
         self.held += len(columns[0])
 
+    def make_room(self, next_first: bytes):
+        """What is final before ``next_first``, as ``settle`` has it; what is not takes no more room than its distinct terms."""
+        settled = self.settle(next_first)
+        if 2 * self.held > self.at_once:
+            begun, self.begun, self.held = self.begun, [], 0
+            for source in self.sources.values():
+                own = [c for _, _, s, c in begun if s == source]
+                if own:
+                    t = pa.table([pa.concat_arrays([c[i] for c in own]) for i in range(3)], ["term", "n", "df"])
+                    t = t.group_by("term").aggregate([("n", "sum"), ("df", "sum")]).sort_by("term").combine_chunks()
+                    self._push(source, [t[c].combine_chunks() for c in ("term", "n_sum", "df_sum")])
+        self.full = max(self.at_once, 2 * self.held)
+        return settled
+
     def settle(self, next_first: bytes | None):
         """(terms, documents, sources, counts) of the kept terms before ``next_first`` (None: of all), in order."""
         done, on = [], []
@@ -150,7 +168,7 @@ class Merge:
 
 def merge_runs(batches, least: int, at_once: int = POSTINGS_AT_ONCE):
     """Batches of FREQUENCIES from batches of RUNS that are ordered by language, shard and first term."""
-    merge, place = Merge(least), None
+    merge, place = Merge(least, at_once), None
 
     def out(settled):
         if settled:
@@ -166,9 +184,9 @@ def merge_runs(batches, least: int, at_once: int = POSTINGS_AT_ONCE):
         for lang, shard, first, source, lo, hi in rows:
             if (lang, shard) != place:
                 yield from out(merge.settle(None))
-                merge, place = Merge(least), (lang, shard)
-            elif merge.held >= at_once:
-                yield from out(merge.settle(first))
+                merge, place = Merge(least, at_once), (lang, shard)
+            elif merge.held >= merge.full:
+                yield from out(merge.make_room(first))
             merge.add(source, [x[lo:hi] for x in flat])
     yield from out(merge.settle(None))
 

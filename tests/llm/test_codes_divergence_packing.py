@@ -298,3 +298,34 @@ def test_ids_are_those_of_the_tokenizers_library(monkeypatch):
     assert [enc.encode(t) for t in texts] == want
     monkeypatch.setattr(packing, "AT_ONCE", 7)  # long texts are cut where it makes no difference
     assert [enc.encode(t) for t in texts[:6000]] == want[:6000]
+
+
+def test_merge_of_many_runs_does_not_look_at_every_begun_block_again(monkeypatch):
+    import pyarrow as pa
+
+    from addresskit.llm import divergence as D
+
+    rng, rows, total = np.random.default_rng(4), [], collections.Counter()
+    for run in range(300):  # every run has one block, all of them over the whole range of terms
+        terms = sorted({f"t{i:03d}".encode() for i in rng.integers(0, 400, 25)})
+        rows.append((terms[0], f"s{run % 3}", terms))
+        total.update((t.decode(), f"s{run % 3}") for t in terms)
+    rows.sort()
+    batch = pa.RecordBatch.from_pydict({
+        "lang": ["en"] * 300, "shard": pa.array([0] * 300, pa.int32()), "first": pa.array([r[0] for r in rows], pa.binary()),
+        "source": [r[1] for r in rows], "terms": pa.array([r[2] for r in rows], pa.list_(pa.binary())),
+        "counts": pa.array([[2] * len(r[2]) for r in rows], pa.list_(pa.int64())),
+        "documents": pa.array([[1] * len(r[2]) for r in rows], pa.list_(pa.int64()))})
+    pushed, push = [], D.Merge._push
+    monkeypatch.setattr(D.Merge, "_push", lambda self, *block: (pushed.append(1), push(self, *block))[1])
+    got, documents = {}, {}
+    for b in D.merge_runs([batch.slice(i, 7) for i in range(0, 300, 7)], 10, at_once=200):
+        for term, n, sources, counts in zip(*(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            documents[term] = n
+            got.update({(term, s): c for s, c in zip(sources, counts, strict=True)})
+    whole = collections.Counter()
+    for (term, _), n in total.items():
+        whole[term] += n
+    assert documents == {t: n for t, n in whole.items() if n >= 10}
+    assert got == {(t, s): 2 * n for (t, s), n in total.items() if whole[t] >= 10}
+    assert len(pushed) < 3 * 300
